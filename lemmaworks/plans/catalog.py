@@ -5,32 +5,442 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lemmaworks.functions import latex as L
+from lemmaworks.operators import attach as A
+from lemmaworks.operators import closure as G
+from lemmaworks.operators import curate as C
+from lemmaworks.operators import explore as X
 from lemmaworks.operators import hierarchy as H
+from lemmaworks.operators import pairs as P
+from lemmaworks.operators import retrieval as R
 
-FLAGSHIP = "p6_found"
+FLAGSHIP = "mined_pairs"
 
 
-def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def statements(spark, d) -> DataFrame:
+    """Statements, repeated rows once."""
+    return read(spark, d, "statements").drop("ingested_at").dropDuplicates(["stmt_id"])
+
+
+def proofs(spark, d) -> DataFrame:
+    return read(spark, d, "proofs").drop("ingested_at").dropDuplicates(["proof_id"])
+
+
+def pairs(spark, d) -> DataFrame:
+    return read(spark, d, "pairs").drop("ingested_at").dropDuplicates(["pair_id"])
+
+
+STMT = "s as (select distinct on (stmt_id) * from statements), "
+PRF = "p as (select distinct on (proof_id) * from proofs), "
+PAIR = "q as (select distinct on (pair_id) * from pairs), "
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        _Q[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+@query("p6_found")
 def p6_found(spark, d):
-    return H.cycle_members(_read(spark, d, "trees")).withColumnRenamed("id", "stmt_id")
+    return H.cycle_members(read(spark, d, "trees")).withColumnRenamed("id", "stmt_id")
 
 
+@query("p6_hierarchy")
 def p6_hierarchy(spark, d):
-    return H.hierarchy(_read(spark, d, "trees")).withColumnRenamed("id", "stmt_id")
+    return H.hierarchy(read(spark, d, "trees")).withColumnRenamed("id", "stmt_id")
 
 
+@query("p6_descendants")
 def p6_descendants(spark, d):
-    return H.descendants(H.hierarchy(_read(spark, d, "trees")))
+    return H.descendants(H.hierarchy(read(spark, d, "trees")))
+
+
+# Texts ------------------------------------------------------------------------------------------------
+
+_CLEAN = r"trim(regexp_replace(regexp_replace(text, '\\label\{[^{}]+\}', '', 'g'), '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))"
+
+
+@query("clean_statements", "with " + STMT + rf"""
+  c as (select stmt_id, {_CLEAN} as t, text, labels from s where text is not null)
+  select stmt_id, length(t) as n_chars, md5(t) as clean_md5, cast(len(regexp_extract_all(text, '\\label\{{([^{{}}]+)\}}', 1)) as int) as n_labels,
+         length(t) > 10 and length(t) < 3000 as in_range from c""")
+def clean_statements(spark, d):
+    s = statements(spark, d).where("text is not null")
+    t = L.clean_text(F.col("text"))
+    return s.select("stmt_id", F.length(t).cast("bigint").alias("n_chars"), F.md5(t).alias("clean_md5"), F.size(L.labels(F.col("text"))).alias("n_labels"), ((F.length(t) > 10) & (F.length(t) < 3000)).alias("in_range"))
+
+
+@query("statement_kinds", "with " + STMT + """
+  k as (select case when contains(lower(type_display), 'theorem') then 'Theorem' when contains(lower(type_display), 'lemma') then 'Lemma'
+                    when contains(lower(type_display), 'proposition') then 'Proposition' when contains(lower(type_display), 'corollary') then 'Corollary'
+                    when contains(lower(type_display), 'definition') then 'Definition' when contains(lower(type_display), 'claim') then 'Claim'
+                    when contains(lower(type_display), 'conjecture') then 'Conjecture' end as kind from s)
+  select kind, count(*) as n from k where kind is not null group by kind""")
+def statement_kinds(spark, d):
+    return statements(spark, d).select(L.kind_of(F.col("type_display")).alias("kind")).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _formula_sql() -> tuple[str, str]:
+    pats = [r"(?s)\$\$.*?\$\$", r"(?s)\\\[.*?\\\]", *[rf"(?s)\\begin\{{{e}\*?\}}.*?\\end\{{{e}\*?\}}" for e in L.FORMULA_ENVIRONMENTS], r"(?s)\\\(.*?\\\)", r"\$[^$\\]*(?:\\(?s:.)[^$\\]*)*\$"]
+    total, rest = [], "text"
+    for p in pats:
+        total.append(f"len(regexp_extract_all({rest}, '{p}'))")
+        rest = f"regexp_replace({rest}, '{p}', ' ', 'g')"
+    return " + ".join(total), rest
+
+
+_NF, _REST = _formula_sql()
+
+
+@query("content_words", "with " + STMT + rf"""
+  c as (select stmt_id, text from s where text is not null)
+  select stmt_id, cast({_NF} as bigint) as n_formulas,
+         cast(len(list_filter(regexp_extract_all(regexp_replace({_REST}, '\\[A-Za-z]+\*?', ' ', 'g'), '[A-Za-z]{{2,}}'),
+              lambda w: not list_contains([{", ".join(f"'{w}'" for w in L.STOP_WORDS)}], lower(w)))) as bigint) as n_words from c""")
+def content_words(spark, d):
+    s = statements(spark, d).where("text is not null")
+    return s.select("stmt_id", L.formula_count(F.col("text")).cast("bigint").alias("n_formulas"), L.content_words(F.col("text")).cast("bigint").alias("n_words"))
+
+
+@query("environment_balance", "with " + STMT + r"""
+  t as (select stmt_id, regexp_extract_all(text, '\\(begin|end)\{[^{}]+\}', 1) as k, list_transform(regexp_extract_all(text, '\\(?:begin|end)\{([^{}]+)\}', 1), lambda x: regexp_replace(x, '\*+$', '')) as n from s where text is not null),
+  u as (select stmt_id, list_reduce(list_prepend(struct_pack(st := cast([] as varchar[]), ok := true, k := '', n := ''),
+          list_transform(range(1, len(k) + 1), lambda i: struct_pack(st := cast([] as varchar[]), ok := true, k := k[i], n := n[i]))),
+          lambda a, x: struct_pack(st := case when x.k = 'begin' then list_append(a.st, x.n) else a.st[:-2] end,
+                                   ok := a.ok and (x.k = 'begin' or coalesce(a.st[-1] = x.n, false)), k := x.k, n := x.n)) as r from t)
+  select balanced, count(*) as n from (select r.ok and len(r.st) = 0 as balanced from u) group by balanced""")
+def environment_balance(spark, d):
+    return statements(spark, d).where("text is not null").select(L.balanced(F.col("text")).alias("balanced")).groupBy("balanced").agg(F.count("*").alias("n"))
+
+
+@query("identifiers", r"""
+  with m as (select distinct id from paper_metadata union select distinct paper_id from proofs where paper_id is not null),
+  t as (select id, regexp_replace(trim(id), 'v\d+$', '') as t from m where id is not null)
+  select id, translate(id, './', '__') as file_id,
+    case when regexp_full_match(t, '\d{4}_\d{4,5}') then replace(t, '_', '.')
+         when regexp_full_match(t, '[a-z-]+_[A-Za-z]+_\d{7}') then regexp_replace(t, '^([a-z-]+)_([A-Za-z]+)_(\d{7})$', '\1.\2/\3')
+         when regexp_full_match(t, '[a-z-]+_\d{7}') then regexp_replace(t, '^([a-z-]+)_(\d{7})$', '\1/\2') else t end as web_id from t""")
+def identifiers(spark, d):
+    m = read(spark, d, "paper_metadata").select("id").union(read(spark, d, "proofs").select("paper_id")).where("id is not null").distinct()
+    return m.select("id", L.file_id(F.col("id")).alias("file_id"), L.web_id(F.col("id")).alias("web_id"))
+
+
+# Attachment and references -----------------------------------------------------------------------------
+
+
+@query("attached_proofs", "with " + STMT + PRF + """
+  e as (select paper_id, char_end, max(stmt_id) as stmt_id from s where paper_id is not null and char_end is not null group by all)
+  select p.proof_id, e.stmt_id as attached_stmt_id, p.char_start - e.char_end as attached_gap,
+         case when len(coalesce(p.title_refs, [])) > 0 then 'explicit' when e.stmt_id is null then 'none' when p.char_start - e.char_end <= 1500 then 'high' else 'low' end as attach_confidence
+  from p asof left join e on p.paper_id = e.paper_id and p.char_start >= e.char_end""")
+def attached_proofs(spark, d):
+    return A.attach_proofs(proofs(spark, d), statements(spark, d)).select("proof_id", "attached_stmt_id", "attached_gap", "attach_confidence")
+
+
+@query("reference_resolution", "with " + STMT + PRF + r"""
+  r as (select proof_id, paper_id, unnest(regexp_extract_all(text, '\\(?:c|C|auto|eq|name|labelc|v)?ref\*?\{([^{}]+)\}', 1)) as keys from p),
+  one as (select proof_id, paper_id, trim(unnest(string_split(keys, ','))) as label from r),
+  i as (select paper_id, label, max_by(stmt_id, struct_pack(c := char_start, i := stmt_id)) as target from (select paper_id, unnest(labels) as label, char_start, stmt_id from s where paper_id is not null) group by all)
+  select one.proof_id, one.label, i.target, count(*) as n from one left join i using (paper_id, label) where one.label <> '' group by all""")
+def reference_resolution(spark, d):
+    refs = P.reference_spans(proofs(spark, d).select("proof_id", "paper_id", "text")).drop("text")
+    return refs.join(P.label_index(statements(spark, d)), ["paper_id", "label"], "left").groupBy("proof_id", "label", "target").agg(F.count("*").alias("n"))
+
+
+@query("reference_spans_hold", r"""
+  select count(*) as n, 0 as wrong from (select unnest(regexp_extract_all(text, '\\(?:c|C|auto|eq|name|labelc|v)?ref\*?\{[^{}]+\}')) as c from (select distinct on (proof_id) * from proofs))""")
+def reference_spans_hold(spark, d):
+    refs = P.reference_spans(proofs(spark, d).select("proof_id", "paper_id", "text")).dropDuplicates(["proof_id", "start"])
+    cut = F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start"))
+    return refs.agg(F.count("*").alias("n"), F.count_if(~cut.rlike("^" + L.REFERENCE + "$")).cast("int").alias("wrong"))
+
+
+@query("mined_pairs")
+def mined_pairs(spark, d):
+    m = P.mine_pairs(proofs(spark, d), statements(spark, d))
+    return m.where("drop_reason is null").select("pair_id", "paper_id", "query", F.col("target").alias("positive_stmt_id"), "positive_type", "positive_text", F.col("proof_id").alias("source_proof_id"), F.col("label").alias("ref_label"), "invoked_stmt_ids")
+
+
+@query("mined_pairs_thought")
+def mined_pairs_thought(spark, d):
+    return P.mine_pairs(proofs(spark, d), statements(spark, d), "thought").where("drop_reason is null").select("pair_id", "query", "target")
+
+
+@query("drop_report")
+def drop_report(spark, d):
+    return P.drop_report(P.mine_pairs(proofs(spark, d), statements(spark, d)))
+
+
+# Negatives, filters, exports ----------------------------------------------------------------------------
+
+
+@query("eligible_negatives", "with " + STMT + PAIR + """
+  e as (select q.pair_id, s.stmt_id, md5(q.pair_id || ':' || s.stmt_id) as h from q join s using (paper_id)
+        where s.stmt_id <> q.positive_stmt_id and not coalesce(list_contains(q.invoked_stmt_ids, s.stmt_id), false)),
+  n as (select *, row_number() over (partition by pair_id order by h, stmt_id) as r, count(*) over (partition by pair_id) as num_eligible from e)
+  select pair_id, stmt_id, cast(r as int) as rank, num_eligible from n where r <= 32""")
+def eligible_negatives(spark, d):
+    return C.eligible_negatives(pairs(spark, d), statements(spark, d)).where("rank <= 32").select("pair_id", "stmt_id", "rank", "num_eligible")
+
+
+def _negatives(spark, d):
+    return C.negatives(pairs(spark, d), statements(spark, d))
+
+
+@query("negatives_report")
+def negatives_report(spark, d):
+    n = _negatives(spark, d)
+    return n.agg(F.count("*").alias("pairs"), F.sum(F.size("negatives")).alias("negatives"), F.count_if(F.size("negatives") == 0).alias("without"), F.count_if(F.col("num_eligible") > 32).alias("capped"), F.round(F.avg(F.size("negatives")), 6).alias("mean"))
+
+
+@query("pairs_of_category", "with " + PAIR + r"""
+  k as (select distinct translate(id, './', '__') as k from paper_metadata where list_contains(string_split_regex(trim(categories), '\s+'), 'math.AG'))
+  select pair_id, paper_id from q where translate(paper_id, './', '__') in (select k from k)""")
+def pairs_of_category(spark, d):
+    return C.filter_by_category(pairs(spark, d), read(spark, d, "paper_metadata"), "math.AG").select("pair_id", "paper_id")
+
+
+@query("pairs_of_prefix", "with " + PAIR + r"""
+  k as (select distinct translate(id, './', '__') as k from paper_metadata where len(list_filter(string_split_regex(trim(categories), '\s+'), lambda x: starts_with(x, 'cs.'))) > 0)
+  select pair_id, paper_id from q where translate(paper_id, './', '__') in (select k from k)""")
+def pairs_of_prefix(spark, d):
+    return C.filter_by_category(pairs(spark, d), read(spark, d, "paper_metadata"), "cs.", True).select("pair_id", "paper_id")
+
+
+@query("training_outcomes")
+def training_outcomes(spark, d):
+    r = C.training_records(pairs(spark, d), _negatives(spark, d))
+    return r.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.size("neg")).alias("negatives"))
+
+
+@query("training_sample")
+def training_sample(spark, d):
+    return C.sampled_records(C.training_records(pairs(spark, d), _negatives(spark, d), prompt="Given a proof so far, find the statement it uses."), 500).select("pair_id", "query", "pos", "neg", "prompt")
+
+
+def _held_out(spark, d):
+    s = read(spark, d, "pair_splits").groupBy("pair_id").agg(F.min("split").alias("split"))
+    both = pairs(spark, d).join(s, "pair_id")
+    return both.where("split = 'test'"), both.where("split = 'train'")
+
+
+_HELD = "with " + PAIR + r"""
+  b as (select q.*, s.split from q join (select pair_id, min(split) as split from pair_splits group by pair_id) s using (pair_id)),
+  h as (select distinct sha1(regexp_replace(query, '^\s+|\s+$', '', 'g')) as h from b where split = 'train' and query is not null),
+  ev as (select * from b where split = 'test' and query is not null and sha1(regexp_replace(query, '^\s+|\s+$', '', 'g')) not in (select h from h) order by pair_id limit 10000)
+"""
+
+
+@query("evaluation_queries", _HELD + "select pair_id, substr(pair_id, instr(pair_id, 'pair') + 4) as qid, md5(query) as query_md5 from ev")
+def evaluation_queries(spark, d):
+    test, train = _held_out(spark, d)
+    return C.evaluation_queries(test, train).select("pair_id", L.query_id(F.col("pair_id")).alias("qid"), F.md5("query").alias("query_md5"))
+
+
+@query("evaluation_corpus", _HELD + r""",
+  f as (select positive_stmt_id as stmt_id, min(pair_id) as first from ev where positive_stmt_id is not null group by 1)
+  select cast(row_number() over (order by first) - 1 as varchar) as docid, stmt_id from f""")
+def evaluation_corpus(spark, d):
+    test, train = _held_out(spark, d)
+    ev = C.evaluation_queries(test, train)
+    none = ev.select("pair_id", F.array().cast("array<struct<stmt_id:string,type:string,text:string>>").alias("negatives"))
+    _, corpus, qrels = C.evaluation_set(ev, none)
+    ids = qrels.select("docid", "qid").join(ev.select(L.query_id(F.col("pair_id")).alias("qid"), F.col("positive_stmt_id").alias("stmt_id")), "qid").select("docid", "stmt_id").distinct()
+    return ids.join(corpus.select(F.col("id").alias("docid")), "docid", "left_semi")
+
+
+@query("evaluation_audit", "with " + PAIR + """
+  qs as (select substr(pair_id, instr(pair_id, 'pair') + 4) as id from q where query is not null),
+  d as (select distinct stmt_id as id from statements where text is not null),
+  r as (select substr(pair_id, instr(pair_id, 'pair') + 4) as qid, positive_stmt_id as docid, 1 as relevance from q)
+  select 'queries' as "check", count(*) as n from qs union all select 'corpus', count(*) from d union all select 'qrels', count(*) from r
+  union all select 'duplicate_queries', count(*) from (select id from qs group by id having count(*) > 1) union all select 'duplicate_corpus', count(*) from (select id from d group by id having count(*) > 1)
+  union all select 'duplicate_qrels', count(*) from (select qid, docid from r group by all having count(*) > 1)
+  union all select 'queries_without_qrel', count(*) from (select id from qs except select qid from r) union all select 'orphan_qrels', count(*) from (select qid from r except select id from qs)
+  union all select 'missing_documents', count(*) from (select docid from r except select id from d) union all select 'judged_queries', count(*) from (select id from qs intersect select qid from r)
+  union all select 'relevance_' || relevance, count(*) from r group by relevance""")
+def evaluation_audit(spark, d):
+    q = pairs(spark, d)
+    qid = L.query_id(F.col("pair_id"))
+    return C.audit(
+        q.where("query is not null").select(qid.alias("id")), statements(spark, d).where("text is not null").select(F.col("stmt_id").alias("id")), q.select(qid.alias("qid"), F.col("positive_stmt_id").alias("docid"), F.lit(1).alias("relevance"))
+    )
+
+
+# Graph, routing, vectors ---------------------------------------------------------------------------------
+
+
+@query("dependency_closure", r"""
+  with recursive n as (select distinct stmt_id as id from trees where stmt_id is not null),
+  raw as (select distinct stmt_id as src, regexp_replace(e, '^\s+|\s+$', '', 'g') as e from (select stmt_id, unnest(depends_on) as e from trees) where e is not null),
+  edge as (select distinct src, coalesce(a.id, b.id) as dst from raw left join n a on a.id = raw.e left join n b on b.id = split_part(raw.src, '::', 1) || '::' || raw.e where raw.e <> '' and coalesce(a.id, b.id) is not null),
+  reach as (select src as start, dst as node from edge union select r.start, e.dst from reach r join edge e on e.src = r.node)
+  select start, node from reach where start <> node""")
+def dependency_closure(spark, d):
+    _, edges = H.resolve_entries(read(spark, d, "trees"))
+    return G.closure(edges).select("start", "node")
+
+
+@query("routing_shares", """
+  with c as (select distinct category from sample_targets), r as (select distinct on (qid) * from routing where category is not null and qid is not null order by qid, category)
+  select c.category, count(r.qid) as n, round(100.0 * count(r.qid) / (select count(*) from r), 4) as percent from c left join r using (category) group by c.category""")
+def routing_shares(spark, d):
+    r = read(spark, d, "routing").where("category is not null and qid is not null").groupBy("qid").agg(F.min("category").alias("category"))
+    classes = [x["category"] for x in read(spark, d, "sample_targets").select("category").distinct().collect()]
+    return R.routing_shares(r, classes)
+
+
+@query("routing_argmax", """
+  with r as (select qid, min(category) as category, any_value(probs) as probs from routing where probs is not null and qid is not null group by qid),
+  e as (select qid, unnest(map_entries(probs)) as e from r), b as (select qid, e.key as best, row_number() over (partition by qid order by e.value desc, e.key) as k from e)
+  select b.best as best, count(*) as n, count(*) filter (where r.category = b.best) as agree from b join r using (qid) where k = 1 group by 1""")
+def routing_argmax(spark, d):
+    r = read(spark, d, "routing").where("probs is not null and qid is not null").groupBy("qid").agg(F.min("category").alias("category"), F.any_value("probs").alias("probs"))
+    r = r.where(F.size("probs") > 0).select("category", R.best_class(F.col("probs")).alias("best"))
+    return r.groupBy("best").agg(F.count("*").alias("n"), F.count_if(F.col("category") == F.col("best")).alias("agree"))
+
+
+_TOP = """with v as (select vec_id, cast(embedding as double[]) as e, label from embeddings),
+  s as (select a.vec_id as qid, b.vec_id as docid, round(list_cosine_similarity(a.e, b.e), 6) as score from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+  r as (select *, row_number() over (partition by qid order by score desc, docid) as rank from s)"""
+
+
+def _run(spark, d, k):
+    v = read(spark, d, "embeddings")
+    return R.top_k(v, v.where("vec_id % 100 = 0"), k)
+
+
+@query("nearest_vectors", _TOP + " select qid, docid, score, cast(rank as int) as rank from r where rank <= 20")
+def nearest_vectors(spark, d):
+    return _run(spark, d, 20)
+
+
+@query("retrieval_metrics", _TOP + """,
+  rel as (select a.vec_id as qid, b.vec_id as docid from v a join v b on a.vec_id % 100 = 0 and a.label = b.label and a.vec_id <> b.vec_id),
+  n as (select qid, count(*) as n from rel group by qid),
+  i as (select qid, n, (select sum(1 / log2(x + 1)) from range(1, least(n, 10) + 1) t(x)) as best from n),
+  h as (select rel.qid, sum(case when rank <= 10 then 1 / log2(rank + 1) end) as dcg, count(*) filter (where rank <= 100) as found from rel join r using (qid, docid) group by rel.qid)
+  select i.qid, round(coalesce(dcg, 0) / best, 6) as ndcg, round(coalesce(found, 0) / n, 6) as recall from i left join h using (qid)""")
+def retrieval_metrics(spark, d):
+    v = read(spark, d, "embeddings")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
+    rel = q.join(v.select(F.col("vec_id").alias("docid"), "label"), "label").where("qid <> docid").select("qid", "docid", F.lit(1).alias("relevance"))
+    return R.metrics(_run(spark, d, 100), rel)
+
+
+@query("unit_vectors", """
+  select vec_id, round(sqrt(list_sum(list_transform(cast(embedding as double[]), lambda x: x * x))), 6) as norm, 1.0 as unit from embeddings""")
+def unit_vectors(spark, d):
+    sq = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return read(spark, d, "embeddings").select("vec_id", F.round(sq(F.col("embedding")), 6).alias("norm"), F.round(sq(R.l2_normalise(F.col("embedding"))), 6).alias("unit"))
+
+
+@query("projection")
+def projection(spark, d):
+    return R.project(read(spark, d, "embeddings"))
+
+
+# Exploration ------------------------------------------------------------------------------------------------
+
+
+def points(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.col("source").alias("categories"), F.col("kind").alias("type"), "paper_id", "text", "n_chars")
+
+
+@query("facet_counts", """
+  select source as categories, case when grouping(kind) = 1 then 'All' else kind end as type, count(*) as n from documents where source is not null and kind is not null
+  group by grouping sets ((source), (source, kind))""")
+def facet_counts(spark, d):
+    return X.facet_counts(points(spark, d), "categories", "type")
+
+
+@query("facet_keyword", "select doc_id from documents where source in ('wiki_dump', 'bulk_tex') and kind = 'notes' and contains(lower(text), lower('Theorem 1'))")
+def facet_keyword(spark, d):
+    return X.keyword_filter(X.facet_filter(points(spark, d), ["wiki_dump", "bulk_tex"], "notes"), "Theorem 1").select("doc_id")
+
+
+@query("keyword_capped", "with k as (select doc_id from documents where contains(lower(text), 'sheaf')) select doc_id from k where (select count(*) from k) <= 50000")
+def keyword_capped(spark, d):
+    return X.highlight(X.keyword_filter(points(spark, d), "SHEAF")).select("doc_id")
+
+
+@query("paper_keyword", "select doc_id from documents where paper_id in ('4501_00007', '7802_10017') and contains(lower(text), 'measure')")
+def paper_keyword(spark, d):
+    return X.keyword_filter(X.paper_filter(points(spark, d), ["4501_00007", "7802_10017", "4501_00007"]), "measure").select("doc_id")
+
+
+@query("axis_extent", "select cast(floor(min(n_chars) / 5.0) * 5 as double) as low, cast((floor(max(n_chars) / 5.0) + 1) * 5 as double) as high from documents")
+def axis_extent(spark, d):
+    return X.axis_extent(points(spark, d), "n_chars")
+
+
+@query("nth_points", """
+  with n as (select doc_id, cast(row_number() over (order by doc_id) - 1 as int) as point_id, source from documents), k as (select *, row_number() over (partition by source order by point_id) - 1 as nth from n)
+  select source as categories, point_id, doc_id from k where nth = 3""")
+def nth_points(spark, d):
+    return X.nth_of_facet(X.number_points(points(spark, d), ["doc_id"]), 3).select("categories", "point_id", "doc_id")
+
+
+@query("recent_history", """
+  with l as (select user_id, event_type, max(ts) as ts from events group by all), r as (select *, row_number() over (partition by user_id order by ts desc, event_type) as recency from l)
+  select user_id, event_type, cast(recency as int) as recency from r where recency <= 20""")
+def recent_history(spark, d):
+    return X.recent_history(read(spark, d, "events"), ["event_type"], "ts", who="user_id").select("user_id", "event_type", "recency")
+
+
+@query("category_options", """
+  with c as (select distinct source as category from documents where source is not null)
+  select category, cast(row_number() over (order by category) - 1 as int) as ordinal, category not in ('bulk_tex', 'wiki_dump', 'author_upload', 'journal_feed', 'seminar_scans') as disabled from c""")
+def category_options(spark, d):
+    return X.category_options(points(spark, d), ["bulk_tex", "wiki_dump", "author_upload", "journal_feed", "seminar_scans", "bulk_tex"])
+
+
+# Set operations, last wins, first wins ---------------------------------------------------------------------
+
+
+@query("first_texts", "select text_md5, doc_id from (select md5(text) as text_md5, doc_id, row_number() over (partition by md5(text) order by doc_id) as k from documents where text is not null) where k = 1")
+def first_texts(spark, d):
+    return read(spark, d, "documents").where("text is not null").groupBy(F.md5("text").alias("text_md5")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("proofs_and_sections", """
+  select 'proof' as part, attach_confidence, count(*) as n from (select distinct on (proof_id) * from proofs) where len(title_refs) = 0 group by all
+  union all select 'section', attach_confidence, count(*) from (select distinct on (proof_id) * from proofs) where len(title_refs) > 0 group by all""")
+def proofs_and_sections(spark, d):
+    p = proofs(spark, d)
+    both = p.where(F.size("title_refs") == 0).select(F.lit("proof").alias("part"), "attach_confidence").unionByName(p.where(F.size("title_refs") > 0).select(F.lit("section").alias("part"), "attach_confidence"))
+    return both.groupBy("part", "attach_confidence").agg(F.count("*").alias("n"))
+
+
+@query("rendered_round_trip", r"""
+  select doc_id, n as stmt_no, 'lemma' as env, 'tag' || doc_id || '.' || n as label from (select doc_id, unnest([0, 1]) as n from documents)""")
+def rendered_round_trip(spark, d):
+    from lemmaworks.operators.spans import extract_papers
+
+    body = lambda i: F.concat(F.lit(f"\\begin{{lemma}}[T]\\label{{tag"), F.col("doc_id"), F.lit(f".{i}}} the claim holds for "), F.col("doc_id"), F.lit("\\end{lemma} some words between. "))
+    papers = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.concat(F.lit("\\section{One}\n"), body(0), F.lit("\\begin{proof} clear \\end{proof}"), body(1)).alias("text"))
+    s, _, _ = extract_papers(papers)
+    return s.select(F.col("paper_id").cast("bigint").alias("doc_id"), F.substring_index("stmt_id", "::s", -1).cast("int").alias("stmt_no"), "env", F.get("labels", F.lit(0)).alias("label"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p6_hierarchy": p6_hierarchy, "p6_descendants": p6_descendants}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
