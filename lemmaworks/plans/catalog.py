@@ -438,6 +438,24 @@ def rendered_round_trip(spark, d):
     return s.select(F.col("paper_id").cast("bigint").alias("doc_id"), F.substring_index("stmt_id", "::s", -1).cast("int").alias("stmt_no"), "env", F.get("labels", F.lit(0)).alias("label"))
 
 
+@query("windowed_events", "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def windowed_events(spark, d):
+    from lemmaworks.streaming.incremental import windowed_events as w
+
+    return w(read(spark, d, "events"))
+
+
+@query("model_answers", r"""
+  with a as (select doc_id, '<think>' || doc_id || '</think> noise [{"id": "' || doc_id || '", "n": ' || (doc_id % 7) || '}] end' as answer from documents)
+  select doc_id, cast(doc_id as varchar) as id, doc_id % 7 as n, 2 as blocks from a""")
+def model_answers(spark, d):
+    k = F.col("doc_id").cast("string")
+    answer = F.concat(F.lit("<think>"), k, F.lit('</think> noise [{"id": "'), k, F.lit('", "n": '), (F.col("doc_id") % 7).cast("string"), F.lit("}] end"))
+    blocks = F.concat(F.lit("<think>x</think> one<|sep|> two <|sep|>one<|sep|> <|end|>"))
+    j = L.json_array(answer, "array<struct<id:string,n:bigint>>")
+    return read(spark, d, "documents").select("doc_id", F.get(j, F.lit(0))["id"].alias("id"), F.get(j, F.lit(0))["n"].alias("n"), F.size(L.definition_blocks(blocks)).alias("blocks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
