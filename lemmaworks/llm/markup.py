@@ -362,7 +362,7 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[tuple[str, list[tuple[in
                 c, d = rnd.choice([("<b>", "</b>"), ("<pre><code>", "</code></pre>"), ("<li>", "</li>"), ("{\\it ", "}"), ("\\textbf{", "}"), ("\\begin{itemize}", "\\end{itemize}"), ("**", "**"), ("<a href=x>", "</a>")])
                 add(" ")
                 wrap(c, d, None, depth + 1)
-                add(rnd.choice([" ", " " + rnd.choice(_SIGNS) + " "]))
+                add(rnd.choice([" ", " " + rnd.choice(_SIGNS) + " "]) + rnd.choice(_WORDS))
             add(b, True)
 
         for _ in range(rnd.randint(3, 9)):
