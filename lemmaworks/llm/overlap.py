@@ -1,10 +1,11 @@
 """Records of evaluation splits that stand, exactly or almost, in the training split: winnowing.
 
-Each text gives the rolling hashes of its runs of ``K`` words; in every window of ``WINDOW`` hashes the
-smallest is kept (winnowing), so any common run of ``K + WINDOW - 1`` words gives a common fingerprint.
-Fingerprints are joined between the splits; the seeds of a pair are chained along their diagonals, and
-pairs whose chains cover enough are extended to an exact comparison of their words.  Texts too short for
-such runs also give fingerprints of two words, and every text gives one of its whole multiset of words.
+"Almost the same" counts words in any order, so candidates are the pairs that share one of their rarest words
+(``prefixes.py``), which loses none at the threshold; their words are compared exactly.  For the pairs found,
+each text gives the rolling hashes of its runs of ``K`` words; in every window of ``WINDOW`` hashes the smallest
+is kept (winnowing), so any common run of ``K + WINDOW - 1`` words gives a common fingerprint.  Fingerprints are
+joined between the splits and the seeds of a pair are chained along their diagonals: what they cover is the
+copied part.  Texts too short for such runs also give fingerprints of two words.
 
 Texts with equal multisets of words are one content, so copies are joined once.
 """
@@ -16,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmaworks.llm.prefixes import close_pairs, flat_tokens
 from lemmaworks.llm.words import list_array, mix, occurrences, row_sums, word_hashes, word_list
 from lemmaworks.session import ship_code, stage
 
 K, WINDOW = 10, 8
 #: Texts of fewer words than this (and their possible partners) also give fingerprints of two words.
 SHORT = 28
-#: Seeds that a pair of longer texts needs before its words are compared; a common run of
-#: K + 2 * WINDOW words has at least two.
-MIN_SEEDS = 2
 #: Column type of fingerprint kinds: long runs, pairs of words, whole text.
 RUN, PAIR, WHOLE = 0, 1, 2
 
@@ -132,6 +131,33 @@ def common_words(pairs: DataFrame) -> DataFrame:
     return pairs.select(*cols, "sa", "sb").mapInArrow(run, heads + ", shared int")
 
 
+def sides(words: DataFrame, train: str) -> DataFrame:
+    """(c, n, toks, side) of contents (tid, n, seq, salt, split), each once a side: 32-bit occurrence tokens, apart by field; side 1 is training."""
+    src = words.select("tid", "n", "seq", "salt", (F.col("split") == train).cast("tinyint").alias("side")).dropDuplicates(["tid", "side"])
+
+    def run(batches):
+        for b in batches:
+            lens = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            tok, row = occurrences(flat_tokens(b.column(2)), lens)
+            tok = mix(tok ^ b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)[row], 7).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array(tok.view(np.int32), lens, pa.int32()), b.column(4)], names=["c", "n", "toks", "side"])
+
+    return src.mapInArrow(run, "c bigint, n int, toks array<int>, side tinyint")
+
+
+def chains(words: DataFrame, links: DataFrame) -> DataFrame:
+    """(tid_eval, tid_train, seeds, chained) of links with a common fingerprint: how many, and the words that they cover on their diagonals."""
+    ends = links.select("tid_eval", "tid_train")
+    name = lambda s: fingerprints(words.join(ends.select(F.col(f"tid_{s}").alias("tid")).distinct(), "tid", "left_semi").dropDuplicates(["tid"])).select(
+        F.col("tid").alias(f"tid_{s}"), F.col("pos").alias(f"p_{s}"), "fp", "kind"
+    )
+    seeds = ends.join(name("eval"), "tid_eval").join(name("train"), ["tid_train", "fp", "kind"])
+    # seeds on one diagonal are collinear; overlapping ones cover their union, at most K words each
+    chain = seeds.groupBy("tid_eval", "tid_train", (F.col("p_eval") - F.col("p_train")).alias("diagonal")).agg(F.count("*").alias("seeds"), F.min("p_eval").alias("lo"), F.max("p_eval").alias("hi"))
+    span = F.least(F.col("seeds") * K, F.col("hi") - F.col("lo") + K)
+    return chain.groupBy("tid_eval", "tid_train").agg(F.sum("seeds").alias("seeds"), F.sum(span).alias("chained"))
+
+
 def overlaps(df: DataFrame, id_col: str, split_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train") -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` of all texts of ``text_cols``.
 
@@ -149,28 +175,16 @@ def overlaps(df: DataFrame, id_col: str, split_col: str, text_cols: list[str], t
     words = contents(rows, ["field", "id", "split"], "text").withColumn("tid", F.xxhash64("field", "c1", "c2", "n")).withColumn("salt", F.xxhash64("field"))
     words = stage(words.where("n > 0").select("field", "id", "split", "tid", "salt", "n", "seq"), "contents")
     members = words.select("field", "id", "split", "tid").distinct()
-    name = lambda df, s: df.select(F.col("tid").alias(f"tid_{s}"), F.col("pos").alias(f"p_{s}"), F.col("n").alias(f"n_{s}"), "fp", "kind")
-    e, t = name(fingerprints(words.where(F.col("split") != train)), "eval"), name(fingerprints(words.where(F.col("split") == train)), "train")
-    longer, shorter = F.greatest("n_eval", "n_train"), F.least("n_eval", "n_train")
-    seeds = e.join(t, ["fp", "kind"]).where((F.col("tid_eval") != F.col("tid_train")) & (shorter >= longer * F.lit(threshold) - F.lit(1e-9)))
-    # chaining: seeds on one diagonal are collinear; overlapping ones cover their union, at most K words each
-    chain = seeds.repartition("tid_eval", "tid_train").groupBy("tid_eval", "tid_train", (F.col("p_eval") - F.col("p_train")).alias("diagonal")).agg(
-        F.count("*").alias("seeds"), F.min("p_eval").alias("lo"), F.max("p_eval").alias("hi"), F.max(shorter).alias("shorter"), F.max("kind").alias("kind"), F.max("n_eval").alias("n_eval"), F.max("n_train").alias("n_train")
-    )
-    span = F.least(F.col("seeds") * K, F.col("hi") - F.col("lo") + K)
-    met = chain.groupBy("tid_eval", "tid_train").agg(
-        F.sum("seeds").alias("seeds"), F.sum(span).alias("chained"), F.max("shorter").alias("shorter"), F.max("kind").alias("kind"), F.max("n_eval").alias("n_eval"), F.max("n_train").alias("n_train")
-    )
-    met = stage(met.where((F.col("seeds") >= MIN_SEEDS) | (F.col("shorter") < SHORT) | (F.col("kind") == WHOLE)), "chains")
-    need = met.select(F.col("tid_eval").alias("tid")).union(met.select("tid_train")).distinct()
-    few = words.select("tid", "field", "seq").join(need, "tid", "left_semi").dropDuplicates(["tid"])
-    a = few.select(F.col("tid").alias("tid_eval"), "field", F.col("seq").alias("sa"))
-    b = few.select(F.col("tid").alias("tid_train"), F.col("seq").alias("sb"))
-    both = met.join(a, "tid_eval").join(b, "tid_train")
-    near = common_words(both.select("field", "tid_eval", "tid_train", "n_eval", "n_train", "seeds", "chained", "sa", "sb"))
+    cand = stage(close_pairs(stage(sides(words, train), "sides"), threshold).toDF("tid_eval", "tid_train"), "near")
+    few = words.join(cand.select(F.col("tid_eval").alias("tid")).union(cand.select("tid_train")).distinct(), "tid", "left_semi").dropDuplicates(["tid"])
+    side = lambda s, seq: few.select(F.col("tid").alias(f"tid_{s}"), F.col("n").alias(f"n_{s}"), F.col("seq").alias(seq))
+    both = cand.join(side("eval", "sa"), "tid_eval").join(side("train", "sb"), "tid_train").join(few.select(F.col("tid").alias("tid_eval"), "field"), "tid_eval")
+    near = common_words(both.select("field", "tid_eval", "tid_train", "n_eval", "n_train", "sa", "sb"))
     most = F.greatest("n_eval", "n_train")
-    near = near.where(F.col("shared") >= most * F.lit(threshold) - F.lit(1e-9)).select(
-        "field", "tid_eval", "tid_train", "n_eval", "n_train", "shared", (F.col("shared") / most).alias("similarity"), "seeds", F.least("chained", "n_eval").alias("chained")
+    near = stage(near.where(F.col("shared") >= most * F.lit(threshold) - F.lit(1e-9)), "near_links")
+    near = near.join(chains(words, near), ["tid_eval", "tid_train"], "left").select(
+        "field", "tid_eval", "tid_train", "n_eval", "n_train", "shared", (F.col("shared") / most).alias("similarity"),
+        F.coalesce("seeds", F.lit(0)).cast("long").alias("seeds"), F.least(F.coalesce("chained", F.lit(0)), "n_eval").cast("long").alias("chained"),
     )
     both_sides = words.groupBy("field", "tid", "n").agg(F.bool_or(F.col("split") == train).alias("x"), F.bool_or(F.col("split") != train).alias("y")).where("x and y")
     same = both_sides.select(

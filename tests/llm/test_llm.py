@@ -2,10 +2,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lemmaworks.llm import components, markup, mixing, mojibake, neardup, overlap, sample, splits, tokens
+from lemmaworks.llm import components, markup, mixing, mojibake, neardup, overlap, prefixes, sample, splits, tokens
 from lemmaworks.llm.words import word_list
 
 VOCAB = [f"w{i}" for i in range(400)]
@@ -120,6 +121,44 @@ def test_overlaps(spark):
     assert overlap.overlap_pairs(df.limit(0), "pair_id", "split", ["query"]).collect() == []
 
 
+def scattered(rnd, count, sizes):
+    """Texts and copies with single words replaced all over, from 0.7 to 0.95 alike: {id: text}."""
+    out = {}
+    for i in range(count):
+        w = [rnd.choice(VOCAB) for _ in range(rnd.choice(sizes))]
+        out[f"a{i}"] = " ".join(w)
+        for at in rnd.sample(range(len(w)), int(len(w) * (0.05 + 0.25 * (i % 6) / 5))):
+            w[at] = f"new{rnd.randrange(300)}"
+        out[f"b{i}"] = " ".join(w)
+    return out
+
+
+def test_overlaps_of_scattered_edits(spark):
+    rnd = random.Random(16)
+    texts = scattered(rnd, 90, [12, 30, 45, 60, 120, 400])
+    every9 = [f"u{i}" for i in range(63)]
+    texts |= {"a_ninth": " ".join(every9), "b_ninth": " ".join("x" if i % 9 == 8 else w for i, w in enumerate(every9))}
+    df = spark.createDataFrame([(i, "train" if i[0] == "a" else "test", t, None, "s") for i, t in texts.items()], "pair_id string, split string, query string, positive_text string, source string")
+    got = {(r["id_a"], r["id_b"]) for r in overlap.overlap_pairs(df, "pair_id", "split", ["query", "positive_text"]).collect()}
+    want = {(a, b) for a in texts for b in texts if a[0] == "a" and b[0] == "b" and near(texts[a], texts[b])}
+    assert got == want and ("a_ninth", "b_ninth") in want and len(want) >= 75
+    members, links = overlap.overlaps(df, "pair_id", "split", ["query"])
+    ninth = links.join(members.where("id = 'b_ninth'"), F.col("tid") == F.col("tid_eval")).first()
+    assert ninth["chained"] == 0 and ninth["shared"] == 56
+
+
+def test_prefix_cells():
+    tok = np.repeat(np.uint64(5), 60)
+    counts = np.full(prefixes.BUCKETS, prefixes.CELL * 2 + 1)
+    row, key, half = prefixes.cells(np.arange(60), tok, np.arange(60).astype(np.uint64), counts)
+    met = Counter()
+    for a in range(len(row)):
+        for b in range(a):
+            if key[a] == key[b] and (half[a] == 2 or half[a] != half[b]):
+                met[frozenset((row[a], row[b]))] += 1
+    assert len(set(key)) == 6 and len(met) == 60 * 59 // 2 and set(met.values()) == {1}
+
+
 # Markup -------------------------------------------------------------------------------------------------------
 
 MARKED = ["a <b>b</b>", "x &nbsp; y", "<!-- c --> d", "**bold** text", "a _b_ c", "`code` x", "# Title\n\ntext", "- one\n- two", "> said", "~~no~~ yes", "[a](#b) c", "[[a|b]] c", "''it'' x", "== H ==\nx", "{{cite|a}} b", "\\emph{a} b", "{\\it a} b", "\\begin{itemize}\\item a\\end{itemize}", "x \\qed", "a\\label{b}", "see~\\ref{x}", "```\nx\n```", "\\begin{verbatim}\nx\n\\end{verbatim}", "<pre><code>x</code></pre>", "<math>x</math> y", "a<br/>b", "\\begin{equation} x \\end{equation}"]
