@@ -1,17 +1,10 @@
 """Near-duplicate texts by a parity-sketch join.
 
-A text is the multiset of its words (``words.py``).  Each occurrence token flips one bit of a sketch, so
-the Hamming distance of two sketches never exceeds the symmetric difference of the multisets.  The
-sketch of a text of ``n`` tokens has ``B`` blocks of 64 bits, ``B`` growing with ``n`` by size bands, and
-each of ``partitions`` independent sketches spreads the tokens over its blocks anew.
-Two texts become candidates if one block is equal (pigeonhole: fewer than ``B`` differences leave a
-block untouched; beyond that several independent sketches make a miss unlikely).  A text joins the band
-of its own size and, as a guest, the next one, where its largest possible partners are.  Candidates are cut by
-the Hamming distance of a 128-bit sketch and verified on the tokens themselves.
-
-Texts with equal multisets form a class, named by a hash; classes are joined, not texts, so copies cost
-nothing.  Hot blocks are split by the adaptive skew join, and what leaves the join are pairs of
-*different* classes only.
+A text is the multiset of its words (``words.py``).  Texts with equal multisets form a class, named by a hash;
+classes are joined, not texts, so copies cost nothing.  Two classes become candidates if they share one of their
+rarest tokens, as any two at the threshold do (``prefixes.py``), and if their parity sketches are close enough:
+the Hamming distance of two sketches never exceeds the symmetric difference of the multisets.  Candidates are
+verified on the tokens themselves, so that nothing is missed or added at any similarity from the threshold on.
 """
 
 from __future__ import annotations
@@ -22,13 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmaworks.llm.components import connected_components
+from lemmaworks.llm.prefixes import close_pairs
 from lemmaworks.llm.words import list_array, mix, occurrences, row_sums, word_hashes, word_list
 from lemmaworks.session import ship_code, stage
 
-#: Tokens of a block and independent sketches; measured against brute force in tests/llm.
-TOKENS_PER_BLOCK = 9.0
-PARTITIONS = 2
-
 
 def tokenise(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, n, c1, c2, toks)`` for every distinct row with a text: number of words, two commutative
@@ -53,83 +43,13 @@ def tokenise(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, f"id {kind}, n int, c1 bigint, c2 bigint, toks array<int>")
 
 
-def block_keys(n: np.ndarray, tok: np.ndarray, row: np.ndarray, threshold: float, per_block: float, partitions: int):
-    """Keys of all sketch blocks of all rows: (row of each key, 64-bit key, whether in the band of a larger partner)."""
-    # band j holds the sizes from r^j on, r = 1 / threshold: the larger text of a pair is in the band of the smaller one or in the next
-    r = np.log(1.0 / threshold)
-    band = np.floor(np.log(np.maximum(n, 1)) / r + 1e-9).astype(np.int64)
-    # short texts take blocks of fewer tokens, so that the pigeonhole holds for them outright
-    size = lambda j: np.where(np.exp(r * (j + 1)) <= 16, 8, np.maximum(np.rint(np.exp(r * (j + 0.5)) / per_block), 4)).astype(np.int64)
-    rows, keys, tops = [], [], []
-    for p in range(partitions):
-        h = mix(tok, 10 + p)
-        for which in range(2):
-            lev = band + which
-            blocks = size(lev)
-            first = np.r_[0, np.cumsum(blocks)]
-            cell = np.zeros(first[-1], np.uint64)
-            at = first[row] + ((h >> np.uint64(8)) % blocks[row].astype(np.uint64)).astype(np.int64)
-            np.bitwise_xor.at(cell, at, np.uint64(1) << (h & np.uint64(63)))
-            owner = np.repeat(np.arange(len(n)), blocks)
-            j = np.arange(first[-1]) - first[owner]
-            salt = (np.uint64(p) << np.uint64(48)) | (lev[owner].astype(np.uint64) << np.uint64(40)) | j.astype(np.uint64)
-            rows.append(owner)
-            keys.append(mix(cell ^ mix(salt, 99), 98))
-            tops.append(np.full(len(owner), which, np.int8))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(tops)
-
-
-def parity_fold(tok: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
-    """The 128-bit sketch of each row as two 64-bit words."""
-    out = np.zeros(n_rows * 2, np.uint64)
-    h = mix(tok, 50)
-    np.bitwise_xor.at(out, row * 2 + ((h >> np.uint64(6)) & np.uint64(1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out.reshape(n_rows, 2)
-
-
-def candidate_pairs(toks: DataFrame, threshold: float, per_block: float | None = None, partitions: int | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of classes of ``toks`` (c1, n, toks) that share a block and pass the Hamming bound.
-
-    Copies need not be taken out before: a class gives each of its keys once, whatever the number of its texts.
-    """
-    per_block, partitions = per_block or TOKENS_PER_BLOCK, partitions or PARTITIONS
+def candidate_pairs(toks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of classes of ``toks`` (c1, n, toks): all at or above the threshold, and few others."""
+    one = toks.where("n > 0").select(F.col("c1").alias("c"), "n", "toks").dropDuplicates(["c"])
+    return close_pairs(stage(one.withColumn("side", F.lit(2).cast("tinyint")), "classes"), threshold)
 
-    def arrays(b):
-        n = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        tok = b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
-        return n, tok, np.repeat(np.arange(len(n)), n)
 
-    def keys(batches):
-        for b in batches:
-            n, tok, row = arrays(b)
-            r, k, top = block_keys(n, tok, row, threshold, per_block, partitions)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b.column(0).take(pa.array(r)), pa.array(top)], names=["k", "c", "top"])
-
-    def folds(batches):
-        for b in batches:
-            n, tok, row = arrays(b)
-            s = parity_fold(tok, row, len(n)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(s[:, i])) for i in range(2)]], names=["c", "n", "s0", "s1"])
-
-    src = toks.select("c1", "n", "toks").where("n > 0")
-    k = src.mapInArrow(keys, "k bigint, c bigint, top tinyint").repartition("k").distinct()
-    f = src.mapInArrow(folds, "c bigint, n int, s0 bigint, s1 bigint").dropDuplicates(["c"])
-    # two texts that are both guests of a band meet in their own
-    met = k.alias("x").join(k.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.top") + F.col("y.top") < 2))
-    met = met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).repartition("a").distinct()
-    side = lambda s: f.select(F.col("c").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "s0", "s1")])
-    far = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(2)), F.lit(0))
-    longer = F.greatest("a_n", "b_n")
-    # at least ceil(t * longer) common tokens, hence at most a_n + b_n - 2 ceil(t * longer) differences
-    most = F.col("a_n") + F.col("b_n") - 2 * F.ceil(longer * F.lit(threshold) - F.lit(1e-9))
-    return met.join(side("a"), "a").join(side("b"), "b").where(far <= most).select("a", "b")
-
-
-def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, per_block: float | None = None, partitions: int | None = None
-) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts and links between classes.
 
     ``members``: (id, c, n), one row for each distinct id and class; ``c`` names the class.  ``links``: (a, b,
@@ -140,7 +60,7 @@ def near_duplicates(
     """
     toks = stage(tokenise(df.select(id_col, text_col), id_col, text_col), "words")
     members = toks.select("id", F.when(F.col("n") > 0, F.col("c1")).alias("c"), "n").distinct()
-    cand = stage(candidate_pairs(toks, threshold, per_block, partitions), "candidates")
+    cand = stage(candidate_pairs(toks, threshold), "candidates")
     return members, verify(cand, toks, threshold)
 
 

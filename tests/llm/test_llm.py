@@ -133,6 +133,14 @@ def scattered(rnd, count, sizes):
     return out
 
 
+def test_near_duplicates_of_scattered_edits(spark):
+    texts = scattered(random.Random(17), 90, [12, 30, 45, 60, 120, 400])
+    df = spark.createDataFrame(list(texts.items()), "stmt_id string, text string")
+    got = {(r["id_a"], r["id_b"]) for r in neardup.duplicate_pairs(df, "stmt_id", "text").collect()}
+    want = {(a, b) for a in texts for b in texts if a < b and near(texts[a], texts[b])}
+    assert got == want and len(want) >= 75
+
+
 def test_overlaps_of_scattered_edits(spark):
     rnd = random.Random(16)
     texts = scattered(rnd, 90, [12, 30, 45, 60, 120, 400])
