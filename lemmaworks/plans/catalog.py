@@ -438,6 +438,49 @@ def rendered_round_trip(spark, d):
     return s.select(F.col("paper_id").cast("bigint").alias("doc_id"), F.substring_index("stmt_id", "::s", -1).cast("int").alias("stmt_no"), "env", F.get("labels", F.lit(0)).alias("label"))
 
 
+def records_of(papers: DataFrame) -> DataFrame:
+    """Statements, proofs and proof sections that the extraction finds in papers (paper_id, text), one row each."""
+    from lemmaworks.operators.spans import extract_papers
+
+    s, p, c = extract_papers(papers)
+    none = lambda k: F.lit(None).cast(k)
+    out = s.select("paper_id", F.lit("statement").alias("part"), F.col("stmt_id").alias("id"), "env", "type", F.col("labels").alias("keys"), "text", "char_start", "char_end", F.lit(False).alias("truncated"), none("string").alias("attached_stmt_id"), none("int").alias("attached_gap"), none("string").alias("attach_confidence"))
+    for part, t in (("proof", p), ("section", c)):
+        out = out.unionByName(t.select("paper_id", F.lit(part).alias("part"), F.col("proof_id").alias("id"), F.lit(part).alias("env"), none("string").alias("type"), F.col("title_refs").alias("keys"), "text", "char_start", "char_end", "truncated", "attached_stmt_id", "attached_gap", "attach_confidence"))
+    return out
+
+
+@query("document_records")
+def document_records(spark, d):
+    return records_of(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), "text").distinct())
+
+
+def rendered_papers(spark, d) -> DataFrame:
+    """(paper_id, text): the papers that the rows of statements and proofs come from, put together in order of position."""
+    at = ["paper_id", F.coalesce("char_start", F.lit(0)).alias("at")]
+    # the stored label lists were cut out of the texts, which still hold them, or not: those that are missing are written
+    lost = F.filter("labels", lambda x: ~F.contains("text", F.concat(F.lit("\\label{"), x, F.lit("}"))))
+    shown = F.array_join(F.transform(F.coalesce(lost, F.array().cast("array<string>")), lambda x: F.concat(F.lit("\\label{"), x, F.lit("}"))), "")
+    s = statements(spark, d).where("text is not null").select(*at, F.col("stmt_id").alias("id"), F.concat(F.lit("\\begin{"), "env", F.lit("}"), shown, F.lit("\n"), "text", F.lit("\n\\end{"), "env", F.lit("}")).alias("piece"), F.concat(F.lit("\\newtheorem{"), "env", F.lit("}{"), "type_display", F.lit("}\n")).alias("head"))
+    p = proofs(spark, d).where("text is not null").select(*at, F.col("proof_id").alias("id"), F.concat(F.lit("\\begin{proof}"), F.coalesce(F.concat(F.lit("["), "title_arg", F.lit("]")), F.lit("")), F.lit("\n"), "text", F.lit("\n\\end{proof}")).alias("piece"), F.lit(None).cast("string").alias("head"))
+    rows = s.unionByName(p).where("paper_id is not null")
+    whole = rows.groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_set("head")), "").alias("head"), F.array_sort(F.collect_list(F.struct("at", "id", "piece"))).alias("pieces"))
+    return whole.select("paper_id", F.concat("head", F.array_join(F.transform("pieces", lambda x: x["piece"]), "\n\n")).alias("text"))
+
+
+@query("rendered_records")
+def rendered_records(spark, d):
+    return records_of(rendered_papers(spark, d))
+
+
+@query("answered_texts", "select doc_id, text from (select distinct doc_id, text from documents) where text is not null")
+def answered_texts(spark, d):
+    t = read(spark, d, "documents").select("doc_id", "text").distinct().where("text is not null")
+    answer = F.concat(F.lit("<think>[no]</think> noise "), F.to_json(F.array(F.struct("doc_id", "text"))), F.lit(" end"))
+    j = F.get(L.json_array(answer, "array<struct<doc_id:bigint,text:string>>"), F.lit(0))
+    return t.select(j["doc_id"].alias("doc_id"), j["text"].alias("text"))
+
+
 @query("windowed_events", "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
 def windowed_events(spark, d):
     from lemmaworks.streaming.incremental import windowed_events as w

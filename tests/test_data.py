@@ -2,6 +2,7 @@ import glob
 import json
 import math
 import os
+import re
 from decimal import Decimal
 
 import duckdb
@@ -149,3 +150,40 @@ def test_incremental(spark, tmp_path):
     I.stream_new_files(spark, src, tasks.schema, str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b.select("k"))
     I.stream_new_files(spark, src, tasks.schema, str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b.select("k"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_records_of_papers(spark):
+    paper = "\\newcommand{\\R}{\\mathbb{R}}\n\\newtheorem{satz}{Theorem}\n\\begin{satz}\\label{a} every \\R\\ is fine \\begin{proof} inner \\end{proof}\\end{satz} words % \\begin{lemma} gone gone gone \\end{lemma}\n\\begin{proof}[of \\ref{a}] clear \\R\\end{proof}\n\\section{Proof of Theorem \\ref{a}} body of it \\section{End}"
+    got = catalog.records_of(spark.createDataFrame([("x", paper), ("y", None)], "paper_id string, text string")).collect()
+    s, p, c = ([r for r in got if r["part"] == k] for k in ("statement", "proof", "section"))
+    assert len(s) == 1 and s[0]["env"] == "satz" and s[0]["text"] == "\\label{a} every {\\mathbb{R}}\\ is fine" and s[0]["keys"] == ["a"]
+    assert sorted(r["text"] for r in p) == ["clear {\\mathbb{R}}", "inner"] and {r["attach_confidence"] for r in p} == {"none", "explicit"}
+    assert len(c) == 1 and c[0]["text"] == "body of it" and c[0]["attached_stmt_id"] == s[0]["id"]
+
+
+def cut(text, env):
+    """Bodies of an environment, by plain search."""
+    at, out = 0, []
+    while (a := text.find(f"\\begin{{{env}}}", at)) >= 0 and (b := text.find(f"\\end{{{env}}}", a)) >= 0:
+        out.append(text[a + len(env) + 8 : b])
+        at = b
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_records_of_tables(spark):
+    docs = {(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").collect()}
+    plain = {str(i): re.sub(r"(?<!\\)%.*", "", t) for i, t in docs if "\\newtheorem" not in t}
+    names = ("theorem thm mainthm maintheorem lemma lem lemm proposition prop propo corollary cor coro definition defn defi def claim conjecture conj").split()
+    want = {}
+    for i, t in plain.items():
+        n = sum(10 < len(re.sub(r"^\[[^\]]*\]", "", x).strip()) < 3000 for e in names for x in cut(t, e))
+        want |= {(i, "statement"): n} if n else {}
+        want |= {(i, "proof"): len(cut(t, "proof"))} if cut(t, "proof") else {}
+    got = {(r["paper_id"], r["part"]): r["count"] for r in catalog.queries()["document_records"](spark, DATA).groupBy("paper_id", "part").count().collect()}
+    assert {k: v for k, v in got.items() if k[0] in plain and k[1] != "section"} == want and want
+    # every stored row comes back under its paper, and nothing else
+    rows = lambda t, k: {r[k]: r for r in spark.read.parquet(f"{DATA}/{t}.parquet").where("text is not null").collect()}.values()
+    stored = [("statement", r["paper_id"]) for r in rows("statements", "stmt_id") if r["paper_id"]] + [("proof", r["paper_id"]) for r in rows("proofs", "proof_id") if r["paper_id"]]
+    found = [(r["part"], r["paper_id"]) for r in catalog.queries()["rendered_records"](spark, DATA).collect() if r["part"] != "section"]
+    assert sorted(found) == sorted(stored)
