@@ -54,7 +54,7 @@ TOKEN = re.compile(
     r"|(?P<sign>[<>&|^#=~\[\]\\]))"
 )
 #: A text without any of these outside formulas holds no node but text. Also used on the JVM.
-SUSPECT = r"[\\<>&*_`~#{}|=^]|''|\[\[|\]\(|(?:^|\n)[ \t]*(?:[-+:;]|[0-9]{1,3}[.)])[ \t]"
+SUSPECT = r"[\\<>&*_`~#{}|=^]|''|\[\[|\]\(|(?:^|\n)[ \t]*(?:(?:[-+:;]|[0-9]{1,3}[.)])[ \t]|-{3,}[ \t]*(?:\n|\r|$))"
 JVM_FORMULA = r"\$\$[^$]*\$\$|\$[^$]*\$|\\\([\s\S]*?\\\)|\\\[[\s\S]*?\\\]|\\begin\{equation\*\}[\s\S]*?\\end\{equation\*\}"
 #: Commands whose argument is a key and not text, and commands that become a heading (fixed values).
 KEY_COMMANDS = frozenset("label ref eqref cref Cref autoref nameref vref pageref cite citep citet hspace vspace hspace* vspace* color input include includegraphics bibliography bibliographystyle usepackage documentclass setcounter".split())

@@ -182,6 +182,14 @@ def test_markup(spark):
     assert clean["null"] is None and all(clean[r[1]] == r[2] for r in rows if not r[3])
 
 
+def test_rule_lines(spark):
+    rows = [("f", str(i), t) for i, t in enumerate(["one\n\n---\n\ntwo", "one\n----\ntwo", "---\none", "one\n-----"])] + [("f", "dash", "one --- two"), ("f", "word", "one\n---two")]
+    got = {r["record_id"] for r in markup.marked_records(spark.createDataFrame(rows, "field string, record_id string, text string"), ["field", "record_id"]).collect()}
+    assert got == {"0", "1", "2", "3"}
+    seen = [bool(re.search(markup.SUSPECT, re.sub(markup.JVM_FORMULA, " ", t))) for t in MARKED]
+    assert all(seen)
+
+
 def test_rendering():
     m = markup.default_model()
     show = lambda t: markup.render(m.marginals(markup.parse(t)))
