@@ -1,9 +1,9 @@
 """Mixing sources to target shares of tokens by weighted fair queueing.
 
 Each source queues its documents in hash order, whole rounds of repeats one after the other.  A copy's
-virtual finish time is the running total of tokens of its source divided by the target share; all copies
-are range-sorted by it, and the mix is what finishes within the budget.  So at any point of the order
-every source has had its share, and a source that runs out falls short without moving the others.
+virtual finish time is the running total of tokens of its source divided by the target share, and the mix
+is what finishes within the budget.  Finish times only filter the copies; no mixed order is made.  A source
+that runs out falls short without moving the others.
 """
 
 from __future__ import annotations
