@@ -9,44 +9,31 @@ verified on the tokens themselves, so that nothing is missed or added at any sim
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmaworks.llm.components import connected_components
-from lemmaworks.llm.prefixes import close_pairs
-from lemmaworks.llm.words import list_array, mix, occurrences, row_sums, word_hashes, word_list
+from lemmaworks.llm.prefixes import close_links, close_pairs
+from lemmaworks.llm.words import list_array, mix, occurrences, row_sums, word_hashes
 from lemmaworks.session import ship_code, stage
 
 
 def tokenise(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n, c1, c2, toks)`` for every distinct row with a text: number of words, two commutative
-    64-bit hashes that name the class of equal multisets, and the sorted 32-bit occurrence tokens."""
+    """``(id, n, c, toks)`` for every row with an id and a text: number of words, a commutative 64-bit hash that names
+    the class of equal multisets, and the 64-bit occurrence tokens."""
     ship_code(df.sparkSession)
-    src = df.select(F.col(id_col).alias("id"), word_list(F.col(text_col)).alias("w")).where("id is not null and w is not null")
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             words, lens = word_hashes(b.column(1))
             tok, _ = occurrences(words, lens)
-            c1, c2 = row_sums(mix(tok, 1), lens), row_sums(mix(tok, 2), lens)
-            row = np.repeat(np.arange(len(lens)), lens)
-            small = tok.astype(np.uint32)
-            small = small[np.lexsort((small, row))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(lens, pa.int32()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), list_array(small.view(np.int32), lens, pa.int32())],
-                names=["id", "n", "c1", "c2", "toks"],
-            )
+            c = row_sums(mix(tok, 1), lens)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens, pa.int32()), pa.array(c.view("int64")), list_array(tok.view("int64"), lens, pa.int64())], names=["id", "n", "c", "toks"])
 
-    return src.mapInArrow(run, f"id {kind}, n int, c1 bigint, c2 bigint, toks array<int>")
-
-
-def candidate_pairs(toks: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of classes of ``toks`` (c1, n, toks): all at or above the threshold, and few others."""
-    one = toks.where("n > 0").select(F.col("c1").alias("c"), "n", "toks").dropDuplicates(["c"])
-    return close_pairs(stage(one.withColumn("side", F.lit(2).cast("tinyint")), "classes"), threshold)
+    return src.mapInArrow(run, f"id {kind}, n int, c bigint, toks array<bigint>")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
@@ -59,23 +46,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     extra columns are ignored.
     """
     toks = stage(tokenise(df.select(id_col, text_col), id_col, text_col), "words")
-    members = toks.select("id", F.when(F.col("n") > 0, F.col("c1")).alias("c"), "n").distinct()
-    cand = stage(candidate_pairs(toks, threshold), "candidates")
-    return members, verify(cand, toks, threshold)
-
-
-def verify(cand: DataFrame, toks: DataFrame, threshold: float) -> DataFrame:
-    """Exact overlap of the candidates' tokens; keeps pairs at or above the threshold."""
-    need = cand.select(F.col("a").alias("c1")).union(cand.select(F.col("b").alias("c1"))).distinct()
-    few = toks.join(need, "c1", "left_semi").select("c1", "n", "toks").dropDuplicates(["c1"])
-    side = lambda s: few.select(F.col("c1").alias(s), F.col("n").alias(f"n_{s}"), F.col("toks").alias(f"t_{s}"))
-    both = cand.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    return (
-        both.select("a", "b", shared.alias("shared"), F.greatest("n_a", "n_b").alias("longer"))
-        .where(F.col("shared") >= F.col("longer") * F.lit(threshold) - F.lit(1e-9))
-        .select("a", "b", "shared", (F.col("shared") / F.col("longer")).alias("similarity"))
-    )
+    members = toks.select("id", F.when(F.col("n") > 0, F.col("c")).alias("c"), "n").distinct()
+    cand = stage(close_pairs(toks.select("c", "n", "toks", F.lit(2).cast("tinyint").alias("side")), threshold), "candidates")
+    links = close_links(toks, cand, threshold)
+    return members, links.select("a", "b", "shared", (F.col("shared") / F.greatest("n_a", "n_b")).alias("similarity"))
 
 
 def duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7) -> DataFrame:

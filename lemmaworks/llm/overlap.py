@@ -1,197 +1,180 @@
-"""Records of evaluation splits that stand, exactly or almost, in the training split: winnowing.
+"""Records of evaluation splits that stand, exactly or almost, in the training split.
 
 "Almost the same" counts words in any order, so candidates are the pairs that share one of their rarest words
-(``prefixes.py``), which loses none at the threshold; their words are compared exactly.  For the pairs found,
-each text gives the rolling hashes of its runs of ``K`` words; in every window of ``WINDOW`` hashes the smallest
-is kept (winnowing), so any common run of ``K + WINDOW - 1`` words gives a common fingerprint.  Fingerprints are
-joined between the splits and the seeds of a pair are chained along their diagonals: what they cover is the
-copied part.  Texts too short for such runs also give fingerprints of two words.
+(``prefixes.py``), which loses none at the threshold; their words are compared exactly.  What a pair has in common
+in one order is reported by winnowing: each text gives the rolling hashes of its runs of ``K`` words, and in every
+window of ``WINDOW`` hashes the smallest is kept, so that any common run of ``K + WINDOW - 1`` words gives a common
+fingerprint, a *seed*.  The longest collinear chain of seeds is extended by alignment: word by word from each seed
+in both directions, then by the longest rising chain of equal words in the gaps.  Coverage is the share of aligned
+words of the evaluation text.
 
 Texts with equal multisets of words are one content, so copies are joined once.
 """
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaworks.llm.prefixes import close_pairs, flat_tokens
-from lemmaworks.llm.words import list_array, mix, occurrences, row_sums, word_hashes, word_list
+from lemmaworks.llm.prefixes import close_links, close_pairs
+from lemmaworks.llm.words import list_array, mix, occurrences, row_sums, word_hashes
 from lemmaworks.session import ship_code, stage
 
-K, WINDOW = 10, 8
-#: Texts of fewer words than this (and their possible partners) also give fingerprints of two words.
-SHORT = 28
-#: Column type of fingerprint kinds: long runs, pairs of words, whole text.
-RUN, PAIR, WHOLE = 0, 1, 2
+K, WINDOW = 5, 4
+#: Pairs of equal words of one gap that are all looked at.
+ALL_PAIRS = 100_000
 
 
-def contents(df: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
-    """key columns + (n, c1, c2, seq): number of words, class of the multiset, 32-bit words in order."""
+def contents(df: DataFrame, key_cols: list[str], text_col: str, ordered: bool = False) -> DataFrame:
+    """key columns + (n, tid, toks[, seq]) of rows with a text: number of words, name of the content (the multiset of words, of
+    the field in the first key column), 64-bit occurrence tokens, and with ``ordered`` the words as they stand."""
     ship_code(df.sparkSession)
-    src = df.select(*key_cols, word_list(F.col(text_col)).alias("w")).where("w is not null")
+    src = df.select(*key_cols, F.col(text_col).alias("t")).where("t is not null")
     k = len(key_cols)
+    names = [*key_cols, "n", "tid", "toks", *(["seq"] if ordered else [])]
     heads = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in key_cols)
 
     def run(batches):
         for b in batches:
+            fields = b.column(0).dictionary_encode()
+            salts = np.array([int.from_bytes(hashlib.blake2b(str(f).encode(), digest_size=8).digest(), "little") for f in fields.dictionary.to_pylist()], np.uint64)
+            salt = salts[fields.indices.to_numpy(zero_copy_only=False)]
             words, lens = word_hashes(b.column(k))
-            tok, _ = occurrences(words, lens)
-            c1, c2 = row_sums(mix(tok, 1), lens), row_sums(mix(tok, 2), lens)
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(i) for i in range(k)], pa.array(lens, pa.int32()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), list_array(words.astype(np.uint32).view(np.int32), lens, pa.int32())],
-                names=[*key_cols, "n", "c1", "c2", "seq"],
-            )
+            tok, row = occurrences(words, lens)
+            tok = mix(tok ^ salt[row], 7)
+            tid = mix(row_sums(mix(tok, 1), lens) ^ salt, 8)
+            out = [*[b.column(i) for i in range(k)], pa.array(lens, pa.int32()), pa.array(tid.view(np.int64)), list_array(tok.view(np.int64), lens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out + ([list_array(words.view(np.int64), lens, pa.int64())] if ordered else []), names=names)
 
-    return src.mapInArrow(run, f"{heads}, n int, c1 bigint, c2 bigint, seq array<int>")
+    return src.mapInArrow(run, f"{heads}, n int, tid bigint, toks array<bigint>" + (", seq array<bigint>" if ordered else ""))
 
 
-def rolling(words: np.ndarray, row: np.ndarray, pos: np.ndarray, lens: np.ndarray, k: int):
-    """Hashes of all runs of k words inside rows: (hash, row, position)."""
-    if len(words) < k:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    m = len(words) - k + 1
+def rolling(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    m = max(0, len(words) - k + 1)
     h = np.zeros(m, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(k):
+        for j in range(k if m else 0):
             h = h * np.uint64(0x100000001B3) + words[j : j + m]
-    inside = pos[:m] + k <= lens[row[:m]]
-    return mix(h, 20 + k)[inside], row[:m][inside], pos[:m][inside]
+    return mix(h, 20 + k)
 
 
-def winnow(h: np.ndarray, row: np.ndarray, pos: np.ndarray, w: int):
-    """Indices of the minima of every window of w consecutive hashes of a row (all of a shorter row's minimum)."""
-    n = len(h)
-    if not n:
+def winnow(h: np.ndarray, w: int) -> np.ndarray:
+    """Places of the (rightmost) minima of every window of w consecutive hashes; of fewer hashes, of all."""
+    if not len(h):
         return np.zeros(0, np.int64)
-    # position of the (rightmost) minimum of the window that starts at i and stays in i's row
-    best = np.arange(n)
-    for j in range(1, w):
-        other = np.minimum(np.arange(n) + j, n - 1)
-        same = (np.arange(n) + j < n) & (row[other] == row)
-        better = same & (h[other] <= h[best])
-        best = np.where(better, other, best)
-    first = np.r_[True, row[1:] != row[:-1]]
-    start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    count = np.bincount(row)[row]
-    whole = (np.arange(n) - start) <= np.maximum(count - w, 0)  # windows that fit; at least the first
-    return np.unique(best[whole])
-
-
-def fingerprints(texts: DataFrame) -> DataFrame:
-    """(tid, fp, pos, kind, n) of contents (tid, n, seq), each once; ``fp`` differs by kind and by field (in ``tid``'s rows' ``salt``)."""
-
-    def run(batches):
-        for b in batches:
-            tid, salt = b.column(0), mix(b.column(3).to_numpy(zero_copy_only=False).view(np.uint64), 40)
-            lens = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            words = mix(b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64), 5)
-            row = np.repeat(np.arange(len(lens)), lens)
-            pos = np.arange(len(words)) - np.repeat(np.r_[0, np.cumsum(lens)[:-1]], lens) if len(words) else np.zeros(0, np.int64)
-            h, r, p = rolling(words, row, pos, lens, K)
-            keep = winnow(h, r, p, WINDOW)
-            short = lens[row] < SHORT / 0.7 if len(row) else np.zeros(0, bool)
-            h2, r2, p2 = rolling(words[short], row[short], pos[short], lens, 2)
-            full = np.flatnonzero(lens > 0)
-            whole = row_sums(mix(words, 6), lens)
-            rows = np.concatenate([r[keep], r2, full])
-            fp = np.concatenate([h[keep], mix(h2, 31), mix(whole[full], 32)]) ^ salt[rows]
-            kind = np.concatenate([np.full(len(keep), RUN), np.full(len(h2), PAIR), np.full(len(full), WHOLE)])
-            at = np.concatenate([p[keep], p2, np.zeros(len(full), np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [tid.take(pa.array(rows)), pa.array(fp.view(np.int64)), pa.array(at, pa.int32()), pa.array(kind, pa.int8()), pa.array(lens[rows], pa.int32())], names=["tid", "fp", "pos", "kind", "n"]
-            )
-
-    return texts.select("tid", "n", "seq", "salt").mapInArrow(run, "tid bigint, fp bigint, pos int, kind tinyint, n int").repartition("fp").distinct()
-
-
-def common_words(pairs: DataFrame) -> DataFrame:
-    """pairs (tid_eval, tid_train, sa, sb, ...) with ``shared``, the overlap of the words with repetition."""
-    cols = [c for c in pairs.columns if c not in ("sa", "sb")]
-    heads = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in cols)
+    w = min(w, len(h))
+    view = np.lib.stride_tricks.sliding_window_view(h, w)[:, ::-1]
+    return np.unique(np.arange(len(view)) + w - 1 - view.argmin(axis=1))
+
+
+def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest chain of pairs that rises in both numbers."""
+    tails, ends, back = [], [], {}
+    for i, j in sorted(pairs, key=lambda p: (p[0], -p[1])):
+        at = bisect_left(tails, j)
+        back[i, j] = ends[at - 1] if at else None
+        if at == len(tails):
+            tails.append(j)
+            ends.append((i, j))
+        else:
+            tails[at], ends[at] = j, (i, j)
+    out, p = [], ends[-1] if ends else None
+    while p is not None:
+        out.append(p)
+        p = back[p]
+    return out[::-1]
+
+
+def matched(a: list[int], b: list[int], lo: tuple[int, int], hi: tuple[int, int]) -> list[tuple[int, int]]:
+    """A longest rising chain of equal words between two places: equal ends first, then all pairs of equal words; where these
+    are more than ALL_PAIRS, only the k-th copy of a word with the k-th."""
+    (i, j), (p, q) = lo, hi
+    front, tail = [], []
+    while i < p and j < q and a[i] == b[j]:
+        front.append((i, j))
+        i, j = i + 1, j + 1
+    while i < p and j < q and a[p - 1] == b[q - 1]:
+        p, q = p - 1, q - 1
+        tail.append((p, q))
+    where: dict[int, list[int]] = {}
+    for y in range(q - 1, j - 1, -1):
+        where.setdefault(b[y], []).append(y)
+    if sum(len(where.get(w, ())) for w in a[i:p]) <= ALL_PAIRS:
+        inner = [(x, y) for x in range(i, p) for y in where.get(a[x], ())]
+    else:
+        inner = [(x, where[a[x]].pop()) for x in range(i, p) if where.get(a[x])]
+    return front + rising(inner) + tail[::-1]
+
+
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """(seeds, aligned words) of two texts: collinear seeds, each extended to words, and what stands equal between them."""
+    ha, hb = rolling(a, K), rolling(b, K)
+    pa_, pb = winnow(ha, WINDOW), winnow(hb, WINDOW)
+    at: dict[int, list[int]] = {}
+    for p in pb.tolist():
+        at.setdefault(int(hb[p]), []).append(p)
+    # a fingerprint that stands often on both sides is met copy by copy, so seeds stay linear in the texts
+    seeds = []
+    for p in reversed(pa_.tolist()):
+        if at.get(int(ha[p])):
+            seeds.append((p, at[int(ha[p])].pop()))
+    chain = rising(seeds)
+    x, y = a.tolist(), b.tolist()
+    aligned, lo = 0, (0, 0)
+    for i, j in [*chain, (len(x), len(y))]:
+        if i >= lo[0] and j >= lo[1]:
+            got = matched(x, y, lo, (i, j))
+            aligned += len(got)
+            lo = (i, j)
+    return len(chain), aligned
+
+
+def chains(links: DataFrame, words: DataFrame) -> DataFrame:
+    """links + (seeds, aligned): see ``align``; ``words`` has (tid, seq)."""
+    few = words.join(links.select(F.col("tid_eval").alias("tid")).union(links.select("tid_train")).distinct(), "tid", "left_semi").groupBy("tid").agg(F.min("seq").alias("seq"))
+    side = lambda s: few.select(F.col("tid").alias(f"tid_{s}"), F.col("seq").alias(f"s_{s}"))
+    both = links.join(side("eval"), "tid_eval").join(side("train"), "tid_train")
+    cols = links.columns
+    heads = ", ".join(f"{c} {links.schema[c].dataType.simpleString()}" for c in cols)
 
     def run(batches):
         for b in batches:
-            toks, rows = [], []
-            for name in ("sa", "sb"):
-                arr = b.column(name)
-                lens = arr.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                t, r = occurrences(arr.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64), lens)
-                toks.append(t)
-                rows.append(r)
-            t, r = np.concatenate(toks), np.concatenate(rows)
-            order = np.lexsort((t, r))
-            t, r = t[order], r[order]
-            twice = (t[1:] == t[:-1]) & (r[1:] == r[:-1])
-            shared = np.bincount(r[1:][twice], minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(shared, pa.int32())], names=[*cols, "shared"])
-
-    return pairs.select(*cols, "sa", "sb").mapInArrow(run, heads + ", shared int")
-
-
-def sides(words: DataFrame, train: str) -> DataFrame:
-    """(c, n, toks, side) of contents (tid, n, seq, salt, split), each once a side: 32-bit occurrence tokens, apart by field; side 1 is training."""
-    src = words.select("tid", "n", "seq", "salt", (F.col("split") == train).cast("tinyint").alias("side")).dropDuplicates(["tid", "side"])
+            seq = [[x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in b.column(f"s_{s}")] for s in ("eval", "train")]
+            got = [align(x, y) for x, y in zip(*seq)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=[*cols, "seeds", "aligned"])
 
-    def run(batches):
-        for b in batches:
-            lens = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            tok, row = occurrences(flat_tokens(b.column(2)), lens)
-            tok = mix(tok ^ b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)[row], 7).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array(tok.view(np.int32), lens, pa.int32()), b.column(4)], names=["c", "n", "toks", "side"])
+    return both.select(*cols, "s_eval", "s_train").mapInArrow(run, heads + ", seeds bigint, aligned bigint")
 
-    return src.mapInArrow(run, "c bigint, n int, toks array<int>, side tinyint")
 
-
-def chains(words: DataFrame, links: DataFrame) -> DataFrame:
-    """(tid_eval, tid_train, seeds, chained) of links with a common fingerprint: how many, and the words that they cover on their diagonals."""
-    ends = links.select("tid_eval", "tid_train")
-    name = lambda s: fingerprints(words.join(ends.select(F.col(f"tid_{s}").alias("tid")).distinct(), "tid", "left_semi").dropDuplicates(["tid"])).select(
-        F.col("tid").alias(f"tid_{s}"), F.col("pos").alias(f"p_{s}"), "fp", "kind"
-    )
-    seeds = ends.join(name("eval"), "tid_eval").join(name("train"), ["tid_train", "fp", "kind"])
-    # seeds on one diagonal are collinear; overlapping ones cover their union, at most K words each
-    chain = seeds.groupBy("tid_eval", "tid_train", (F.col("p_eval") - F.col("p_train")).alias("diagonal")).agg(F.count("*").alias("seeds"), F.min("p_eval").alias("lo"), F.max("p_eval").alias("hi"))
-    span = F.least(F.col("seeds") * K, F.col("hi") - F.col("lo") + K)
-    return chain.groupBy("tid_eval", "tid_train").agg(F.sum("seeds").alias("seeds"), F.sum(span).alias("chained"))
-
-
-def overlaps(df: DataFrame, id_col: str, split_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train") -> tuple[DataFrame, DataFrame]:
+def overlaps(df: DataFrame, id_col: str, split_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train", ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` of all texts of ``text_cols``.
 
-    members: (field, id, split, tid); ``tid`` names a content of a field.  links: (field, tid_eval,
-    tid_train, n_eval, n_train, shared, similarity, seeds, chained): contents of an evaluation and of the
-    training split with at least ``threshold`` of the longer text's words in common; equal contents link
-    a tid to itself.  ``chained`` is the number of words that chained seeds cover.  Rows without id, split
-    or text, and texts without words, are left out; repeated rows count once.
+    members: (field, id, split, tid); ``tid`` names a content of a field.  links: (tid_eval, tid_train, n_eval,
+    n_train, shared, similarity): contents of an evaluation and of the training split with at least ``threshold``
+    of the longer text's words in common; equal contents link a tid to itself.  With ``ordered`` also ``seeds`` and
+    ``aligned`` (words in one order, see ``align``).  Rows without id, split or text, and texts without words, are
+    left out; repeated rows count once.
     """
     base = df.where(F.col(id_col).isNotNull() & F.col(split_col).isNotNull())
     parts = [base.select(F.lit(c).alias("field"), F.col(id_col).alias("id"), F.col(split_col).alias("split"), F.col(c).alias("text")) for c in text_cols]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    words = contents(rows, ["field", "id", "split"], "text").withColumn("tid", F.xxhash64("field", "c1", "c2", "n")).withColumn("salt", F.xxhash64("field"))
-    words = stage(words.where("n > 0").select("field", "id", "split", "tid", "salt", "n", "seq"), "contents")
+    words = stage(contents(rows, ["field", "id", "split"], "text", ordered).where("n > 0"), "contents")
     members = words.select("field", "id", "split", "tid").distinct()
-    cand = stage(close_pairs(stage(sides(words, train), "sides"), threshold).toDF("tid_eval", "tid_train"), "near")
-    few = words.join(cand.select(F.col("tid_eval").alias("tid")).union(cand.select("tid_train")).distinct(), "tid", "left_semi").dropDuplicates(["tid"])
-    side = lambda s, seq: few.select(F.col("tid").alias(f"tid_{s}"), F.col("n").alias(f"n_{s}"), F.col("seq").alias(seq))
-    both = cand.join(side("eval", "sa"), "tid_eval").join(side("train", "sb"), "tid_train").join(few.select(F.col("tid").alias("tid_eval"), "field"), "tid_eval")
-    near = common_words(both.select("field", "tid_eval", "tid_train", "n_eval", "n_train", "sa", "sb"))
-    most = F.greatest("n_eval", "n_train")
-    near = stage(near.where(F.col("shared") >= most * F.lit(threshold) - F.lit(1e-9)), "near_links")
-    near = near.join(chains(words, near), ["tid_eval", "tid_train"], "left").select(
-        "field", "tid_eval", "tid_train", "n_eval", "n_train", "shared", (F.col("shared") / most).alias("similarity"),
-        F.coalesce("seeds", F.lit(0)).cast("long").alias("seeds"), F.least(F.coalesce("chained", F.lit(0)), "n_eval").cast("long").alias("chained"),
-    )
-    both_sides = words.groupBy("field", "tid", "n").agg(F.bool_or(F.col("split") == train).alias("x"), F.bool_or(F.col("split") != train).alias("y")).where("x and y")
-    same = both_sides.select(
-        "field", F.col("tid").alias("tid_eval"), F.col("tid").alias("tid_train"), F.col("n").alias("n_eval"), F.col("n").alias("n_train"), F.col("n").alias("shared"),
-        F.lit(1.0).alias("similarity"), F.col("n").cast("long").alias("seeds"), F.col("n").cast("long").alias("chained"),
-    )
-    return members, near.unionByName(same)
+    texts = words.select(F.col("tid").alias("c"), "n", "toks", (F.col("split") == train).cast("tinyint").alias("side"))
+    cand = stage(close_pairs(texts, threshold), "near")
+    near = close_links(texts, cand, threshold).select(F.col("a").alias("tid_eval"), F.col("b").alias("tid_train"), F.col("n_a").alias("n_eval"), F.col("n_b").alias("n_train"), F.col("shared").cast("long").alias("shared"))
+    both_sides = words.groupBy("tid", "n").agg(F.bool_or(F.col("split") == train).alias("x"), F.bool_or(F.col("split") != train).alias("y")).where("x and y")
+    same = both_sides.select(F.col("tid").alias("tid_eval"), F.col("tid").alias("tid_train"), F.col("n").alias("n_eval"), F.col("n").alias("n_train"), F.col("n").cast("long").alias("shared"))
+    links = near.unionByName(same).withColumn("similarity", F.col("shared") / F.greatest("n_eval", "n_train"))
+    return members, chains(stage(links, "links"), words) if ordered else links
 
 
 def overlap_pairs(df: DataFrame, id_col: str, split_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train") -> DataFrame:
@@ -204,9 +187,13 @@ def overlap_pairs(df: DataFrame, id_col: str, split_col: str, text_cols: list[st
 
 
 def overlap_report(df: DataFrame, id_col: str, split_col: str, source_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train") -> DataFrame:
-    """(split, source, records, overlapping, exact, mean_coverage) of each evaluation split and source."""
-    members, links = overlaps(df, id_col, split_col, text_cols, threshold, train)
-    best = links.groupBy("tid_eval").agg(F.max("similarity").alias("similarity"), F.max(F.col("chained") / F.col("n_eval")).alias("coverage"))
+    """(split, source, records, overlapping, exact, mean_coverage) of each evaluation split and source.
+
+    ``exact`` counts records with all words of a training text, in any order; coverage is the best share of a record's
+    words that stands in one order in a training text, averaged over the overlapping records.
+    """
+    members, links = overlaps(df, id_col, split_col, text_cols, threshold, train, ordered=True)
+    best = links.groupBy("tid_eval").agg(F.max("similarity").alias("similarity"), F.max(F.col("aligned") / F.col("n_eval")).alias("coverage"))
     hit = members.where(F.col("split") != train).join(best, F.col("tid") == F.col("tid_eval")).groupBy("id").agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
     rec = df.where(F.col(id_col).isNotNull() & F.col(split_col).isNotNull() & (F.col(split_col) != train)).select(F.col(id_col).alias("id"), F.col(split_col).alias("split"), F.col(source_col).alias("source")).distinct()
     return rec.join(hit, "id", "left").groupBy("split", "source").agg(

@@ -1,13 +1,17 @@
-"""Candidates of a join on shared words that loses no pair: prefix filter on the rarest tokens.
+"""Candidates of a join on shared words that loses no pair: prefix filter on the rarest tokens, parity sketches behind it.
 
 The occurrence tokens of all texts are put in one order, rarest first.  A text of ``n`` tokens needs at least
 ``o = ceil(threshold * n)`` of them in a partner, so two partners have a token in common among the first
 ``n - o + 1`` of each, whatever was changed and wherever.  Rarity is counted by buckets of token hashes, a table
 of fixed size; any order keeps the filter complete, the counts only make it narrow.
 
-Rows of one token are compared by the Hamming distance of 384-bit parity sketches (each token flips one bit),
-which never exceeds the symmetric difference of the texts.  The rows of a frequent token are dealt to cells of
-bounded size, so that no task holds or compares all of them.
+At the first token that a pair has in common, at places i and j, all that it shares stands at or behind these
+places.  So each row of a token carries the parity sketch of its *rest* (each token flips one bit), and the rests
+may differ in at most ``(n - i) + (m - j) - 2 o`` tokens, which the Hamming distance of their sketches never exceeds.
+Distances of all rows of a token are one product of matrices of signs.
+
+Rows travel as packed blocks, one for each bucket of tokens and task.  The rows of a frequent token are dealt to
+cells of bounded size, so that no task holds or compares all of them.
 """
 
 from __future__ import annotations
@@ -20,37 +24,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmaworks.llm.words import mix
+from lemmaworks.session import partitions_for
 
 BUCKETS = 1 << 18
 #: 64-bit words of a sketch, and those that are compared first.
-SKETCH, FIRST = 6, 4
+SKETCH, FIRST = 4, 2
+BITS = 64 * FIRST
 #: Texts of a token that are compared in one cell, about.
-CELL = 8192
-#: Tile of one comparison, for the cache.
-ROWS, COLUMNS = 64, 1024
+CELL = 1 << 15
+#: Cells of no more rows than this are compared by shifts, many at a time.
+SMALL = 24
+#: Tile of one product, and classes of rows by how long a partner they may have.
+ROWS, COLUMNS, BANDS = 256, 2048, 4
+#: Rows that a task compares at a time, about, and bytes of packed rows that a task keeps before it sends them.
+BLOCK_ROWS, KEEP_BYTES = 200_000, 64 << 20
+#: Texts sorted at a time; their number takes 14 bits of a sort key.
+SLICE = 1 << 14
 
 
 def flat_tokens(col: pa.Array) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+    """The tokens of a column of lists of 64-bit integers."""
+    return col.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def short(tok: np.ndarray) -> np.ndarray:
+    """The 32 bits by which candidates are searched; two tokens that fall together only make more candidates."""
+    return tok & np.uint64(0xFFFFFFFF)
 
 
 def bucket(tok: np.ndarray) -> np.ndarray:
-    return (mix(tok, 60) % np.uint64(BUCKETS)).astype(np.int64)
+    return (mix(tok, 60) >> np.uint64(46)).astype(np.int64)
+
+
+def new_rows(seen: set, c: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Places of the classes that this task meets for the first time: a class of very many copies leaves a task once."""
+    key = mix(c.view(np.uint64), 65) + side.astype(np.uint64)
+    _, at = np.unique(key, return_index=True)
+    at = np.array([i for i, k in zip(at.tolist(), key[at].tolist()) if k not in seen], np.int64)
+    seen.update(key[at].tolist())
+    return np.sort(at)
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
-    """How many tokens of ``texts`` (toks) fall in each bucket."""
+    """How many tokens of ``texts`` (c, n, toks, side) fall in each bucket; copies that one task holds count once."""
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total, seen = np.zeros(BUCKETS, np.int64), set()
         for b in batches:
-            total += np.bincount(bucket(flat_tokens(b.column(0))), minlength=BUCKETS)
+            b = b.take(pa.array(new_rows(seen, b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False))))
+            total += np.bincount(bucket(short(flat_tokens(b.column(1)))), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["b", "k"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in texts.select("toks").mapInArrow(run, "b int, k bigint").groupBy("b").agg(F.sum("k").alias("k")).collect():
-        out[r["b"]] = r["k"]
+    rows = texts.select("c", "toks", "side").mapInArrow(run, "b int, k bigint").groupBy("b").agg(F.sum("k").alias("k")).toPandas()
+    out[rows["b"].to_numpy(np.int64)] = rows["k"].to_numpy(np.int64)
     return out
 
 
@@ -59,133 +87,262 @@ def needed(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(n * threshold - 1e-9).astype(np.int64)
 
 
-def prefix(tok: np.ndarray, n: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, token) of the rarest tokens of each row; tokens that no other text has are left out."""
+def entries(tok: np.ndarray, n: np.ndarray, counts: np.ndarray, place: np.ndarray, threshold: float):
+    """(row, token, rest, sketch) of the rarest tokens of each of up to SLICE rows: ``rest`` tokens stand at or behind the
+    token, and ``sketch`` (SKETCH columns) is theirs.  Tokens that no other text has are left out.  ``place`` puts the
+    buckets in their order."""
     row = np.repeat(np.arange(len(n)), n)
-    k = counts[bucket(tok)]
-    order = np.lexsort((tok, k, row))
-    first = np.r_[0, np.cumsum(n)[:-1]] if len(n) else n
-    rank = np.arange(len(tok)) - first[row]
-    keep = order[(rank < (n - needed(n, threshold) + 1)[row]) & (k[order] > 1)]
-    return row[keep], tok[keep]
-
-
-def sketches(tok: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The parity sketch of each row, SKETCH words of 64 bits."""
-    out = np.zeros(len(n) * SKETCH, np.uint64)
+    tok = short(tok)
+    key = np.sort((row.astype(np.uint64) << np.uint64(50)) | (place[bucket(tok)].astype(np.uint64) << np.uint64(32)) | tok)
+    tok = short(key)
+    ends = np.cumsum(n)
+    at = np.arange(len(tok)) - (ends - n)[row]
+    keep = np.flatnonzero(at < (n - needed(n, threshold) + 1)[row])
+    keep = keep[counts[bucket(tok[keep])] > 1]
     h = mix(tok, 50)
-    np.bitwise_xor.at(out, np.repeat(np.arange(len(n)), n) * SKETCH + ((h >> np.uint64(6)) % np.uint64(SKETCH)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out.reshape(len(n), SKETCH)
+    bit, word = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(SKETCH)
+    sketch = np.empty((len(keep), SKETCH), np.uint64)
+    for w in range(SKETCH):
+        upto = np.r_[np.uint64(0), np.bitwise_xor.accumulate(np.where(word == w, bit, np.uint64(0)))] if len(tok) else np.zeros(1, np.uint64)
+        sketch[:, w] = upto[ends[row[keep]]] ^ upto[keep]
+    return row[keep], tok[keep], n[row[keep]] - at[keep], sketch
 
 
 def cells(row: np.ndarray, tok: np.ndarray, c: np.ndarray, counts: np.ndarray):
     """(row, key, half) of every cell of every token: part i of a token meets itself (half 2) and, as half 0 or 1, each other part."""
+    at, key, half = _cells(tok, c[row], counts)
+    return row[at], key, half
+
+
+def _cells(tok: np.ndarray, c: np.ndarray, counts: np.ndarray):
     parts = -(-counts[bucket(tok)] // CELL)
-    own = (mix(c[row], 61) % parts.astype(np.uint64)).astype(np.int64)
-    at = np.repeat(np.arange(len(row)), parts)
+    own = (mix(c, 61) % parts.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(tok)), parts)
     other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
     mine = own[at]
     lo, hi = np.minimum(mine, other), np.maximum(mine, other)
     key = mix(mix(tok[at], 62) ^ mix((lo.astype(np.uint64) << np.uint64(32)) | hi.astype(np.uint64), 63), 64)
-    return row[at], key, np.where(lo == hi, 2, (mine == hi).astype(np.int64)).astype(np.int8)
+    return at, key, np.where(lo == hi, 2, (mine == hi).astype(np.int64)).astype(np.int8)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of equal weight, which packs better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def from_planes(raw: np.ndarray, kind, m: int) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(-1, m).T).view(kind).ravel()
+
+
+def pack(key: np.ndarray, c: np.ndarray, n: np.ndarray, rest: np.ndarray, role: np.ndarray, sketch: np.ndarray) -> bytes:
+    """Rows, sorted by key, as one block."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    head = np.array([len(key), len(first)], np.int64)
+    return b"".join([head.tobytes(), key[first].tobytes(), np.diff(np.r_[first, len(key)]).astype(np.int64).tobytes(), c.tobytes(), sketch.tobytes(), planes(n.astype(np.int32)), planes(rest.astype(np.int32)), role.tobytes()])
+
+
+def unpack(block: bytes):
+    m, u = np.frombuffer(block, np.int64, 2)
+    at = 16
+    out = []
+    for kind, count in ((np.uint64, u), (np.int64, u), (np.int64, m), (np.uint64, m * SKETCH)):
+        out.append(np.frombuffer(block, kind, count, at))
+        at += 8 * int(count)
+    key, times, c, sketch = out
+    n, rest = (from_planes(np.frombuffer(block, np.uint8, 4 * m, at + 4 * int(m) * i), np.int32, int(m)).astype(np.int64) for i in (0, 1))
+    return np.repeat(key, times), c, n, rest, np.frombuffer(block, np.int8, m, at + 8 * int(m)), sketch.reshape(-1, SKETCH)
+
+
+def signs(sketch: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1).astype(np.float32) * np.float32(2) - np.float32(1)
 
 
-def close(n: np.ndarray, s: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i of x, j of y) of rows whose sizes and sketches allow the threshold; of ``x is y``, each at least one way round."""
-    same = x is y
+def distance(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    bits = np.bitwise_count(sketch[a] ^ sketch[b])
+    return sum(bits[:, w].astype(np.int64) for w in range(SKETCH))
+
+
+def close(n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i of x, j of y), n[i] <= n[j], of rows of one token whose sizes, places and sketches allow the threshold."""
     y = y[np.argsort(n[y], kind="stable")]
-    x = x[np.argsort(n[x], kind="stable")]
-    ny, oy, sy = n[y], needed(n[y], threshold), np.ascontiguousarray(s[y].T)
-    differ, bits, far = np.empty((ROWS, COLUMNS), np.uint64), np.empty((ROWS, COLUMNS), np.uint8), np.empty((ROWS, COLUMNS), np.uint8)
-    for i in range(0, len(x), ROWS):
-        xs = x[i : i + ROWS]
-        nx, sx = n[xs], s[xs]
-        ox = needed(nx, threshold)
-        lo = i if same else np.searchsorted(ny, ox[0])
-        hi = np.searchsorted(ny, nx[-1] / threshold + 1e-6, side="right")
-        # no row of the block may differ from a partner in more; a distance of 256 would count as 0, which only lets a pair through
-        bound = np.clip(ny[lo:hi] + nx[-1] - 2 * np.maximum(ox[0], oy[lo:hi]), -1, 255)
-        for j in range(lo, hi, COLUMNS):
-            e = min(j + COLUMNS, hi)
-            d, t, f = (z[: len(xs), : e - j] for z in (differ, bits, far))
-            for w in range(FIRST):
-                np.bitwise_xor(sx[:, w, None], sy[w, None, j:e], out=d)
-                np.bitwise_count(d, out=t if w else f)
-                if w:
-                    np.add(f, t, out=f)
-            most = bound[j - lo : e - lo]
-            a, b = np.nonzero(f <= most.astype(np.uint8) if most.min() >= 0 else f <= most)
-            if len(a):
-                p, q = nx[a], ny[j + b]
-                left = f[a, b] + np.bitwise_count(sx[a, FIRST:] ^ sy[FIRST:, j + b].T).sum(axis=1, dtype=np.int64)
-                both = np.maximum(ox[a], oy[j + b])
-                ok = (left <= p + q - 2 * both) & (np.minimum(p, q) >= both)
-                yield xs[a[ok]], y[j + b[ok]]
-
-
-def runs(batches, width: int):
-    """The rows of sorted batches, cut so that no key (column 0) is divided."""
-    kept = None
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if kept is not None:
-            cols = [np.concatenate(p) for p in zip(kept, cols)]
-        last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0
-        if last:
-            yield [c[:last] for c in cols]
-        kept = [c[last:] for c in cols]
-    if kept is not None and len(kept[0]):
-        yield kept
+    ny, oy = n[y], needed(n[y], threshold)
+    # distance <= rest + rest - 2 o as one product: dot - BITS + 2 rest_x + (2 rest_y - 4 o) >= 0
+    right = np.empty((BITS + 2, len(y)), np.float32)
+    right[:BITS] = signs(sketch[y, :FIRST]).T
+    right[BITS], right[BITS + 1] = 1, 2 * rest[y] - 4 * oy
+    limit = np.floor(rest[x] / threshold + 1e-6).astype(np.int64)  # the longest partner
+    bands = BANDS if len(x) > 2 * ROWS else 1
+    band = np.clip((limit / n[x] - 1) / (1 / threshold - 1 + 1e-9) * bands, 0, bands - 1).astype(np.int64)
+    for k in range(bands):
+        at = np.flatnonzero(band == k)
+        at = at[np.argsort(n[x[at]], kind="stable")]
+        for lo in range(0, len(at), ROWS):
+            rows = at[lo : lo + ROWS]
+            xs = x[rows]
+            left = np.empty((len(xs), BITS + 2), np.float32)
+            left[:, :BITS] = signs(sketch[xs, :FIRST])
+            left[:, BITS], left[:, BITS + 1] = 2 * rest[xs] - BITS, 1
+            first, last = np.searchsorted(ny, n[xs[0]]), np.searchsorted(ny, limit[rows].max(), side="right")
+            for j in range(first, last, COLUMNS):
+                e = min(j + COLUMNS, last)
+                hit = np.flatnonzero((left @ right[:, j:e]).ravel() > -0.5)
+                if len(hit):
+                    p, q = hit // (e - j), j + hit % (e - j)
+                    a, b = xs[p], y[q]
+                    ok = (n[a] <= n[b]) & (distance(sketch, a, b) <= rest[a] + rest[b] - 2 * oy[q])
+                    yield a[ok], b[ok]
+
+
+def close_small(key: np.ndarray, n: np.ndarray, rest: np.ndarray, side: np.ndarray, half: np.ndarray, sketch: np.ndarray, small: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for all pairs of rows of one key whose cell is small; key is sorted."""
+    at = np.flatnonzero(small)
+    for d in range(1, SMALL):
+        at = at[at + d < len(key)]
+        at = at[key[at] == key[at + d]]
+        if not len(at):
+            return
+        a, b = at, at + d
+        may = (side[a] == 2) | (side[a] != side[b])
+        may &= (half[a] == 2) | (half[a] != half[b])
+        a, b = a[may], b[may]
+        ok = distance(sketch, a, b) <= rest[a] + rest[b] - 2 * needed(np.maximum(n[a], n[b]), threshold)
+        yield a[ok], b[ok]
+
+
+def compared(cols: list[np.ndarray], threshold: float) -> np.ndarray | None:
+    """Unique (a, b) among the rows (key, c, n, rest, role, sketch) of whole cells."""
+    order = np.argsort(cols[0], kind="stable")
+    key, c, n, rest, role, sketch = (x[order] for x in cols)
+    side, half = role // 3, role % 3
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[starts, len(key)])
+    found = list(close_small(key, n, rest, side, half, sketch, np.repeat((size > 1) & (size <= SMALL), size), threshold))
+    for lo, k in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        g, d, h = np.arange(lo, lo + k), side[lo : lo + k], half[lo : lo + k]
+        two, own = d[0] < 2, h[0] == 2
+        if two and own:
+            tries = [(d == 0, d == 1), (d == 1, d == 0)]
+        elif two:
+            tries = [((d == s) & (h == v), (d == 1 - s) & (h == 1 - v)) for s in (0, 1) for v in (0, 1)]
+        elif own:
+            tries = [(h == 2, h == 2)]
+        else:
+            tries = [(h == 0, h == 1), (h == 1, h == 0)]
+        for x, y in tries:
+            found += close(n, rest, sketch, g[x], g[y], threshold)
+    if not found:
+        return None
+    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    # of sides 0 and 1 side 0 comes first, else the smaller class
+    turn = (side[i] == 1) | ((side[i] == 2) & (c[i] > c[j]))
+    a, b = np.where(turn, c[j], c[i]), np.where(turn, c[i], c[j])
+    ok = a != b
+    return np.unique(np.stack([a[ok], b[ok]], axis=1), axis=0)
 
 
 def close_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of ``texts`` (c bigint, n int, toks array<int>, side tinyint), each (c, side) once: every pair of different
-    c with at least ``threshold`` of the longer text's tokens in common, and others that their sketches do not rule out.
+    """(a, b) of ``texts`` (c bigint, n int, toks array<bigint>, side tinyint): every pair of different c with at least
+    ``threshold`` of the longer text's tokens in common, and others that their sketches do not rule out.  Rows may repeat.
 
     a and b are of side 0 and 1; or, of texts of side 2, a < b.
     """
     spark = texts.sparkSession
-    counts = spark.sparkContext.broadcast(rarity(texts))
-    names = ["k", "c", "n", "role", *[f"s{i}" for i in range(SKETCH)]]
-
-    def keys(batches):
-        for b in batches:
-            c, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            tok, side = flat_tokens(b.column(2)), b.column(3).to_numpy(zero_copy_only=False)
-            s = sketches(tok, n).view(np.int64)
-            row, t = prefix(tok, n, counts.value, threshold)
-            row, key, half = cells(row, t, c.view(np.uint64), counts.value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(c[row]), pa.array(n[row], pa.int32()), pa.array((side[row] * 3 + half).astype(np.int8)), *[pa.array(np.ascontiguousarray(s[row, i])) for i in range(SKETCH)]], names=names
-            )
+    texts = texts.where("n > 0")
+    counts = rarity(texts)
+    place = np.empty(BUCKETS, np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
+    buckets = max(partitions_for(spark), int(counts.sum() * (1 - threshold)) // BLOCK_ROWS)
+    shared = spark.sparkContext.broadcast((counts, place))
+
+    def rows(batches):
+        counts, place = shared.value
+        kept: dict[int, list] = {}
+        size, seen = 0, set()
+
+        def send():
+            nonlocal kept, size
+            whole = [np.concatenate(x) for x in zip(*kept.pop(0))] if kept else []
+            size = 0
+            if not whole:
+                return
+            b = (whole[0] % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((whole[0], b))
+            whole = [x[order] for x in whole]
+            cut = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0, True])
+            names, blocks = b[order][cut[:-1]], [pack(*(x[lo:hi] for x in whole)) for lo, hi in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+        for batch in batches:
+            batch = batch.take(pa.array(new_rows(seen, batch.column(0).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False))))
+            for lo in range(0, batch.num_rows, SLICE):
+                b = batch.slice(lo, SLICE)
+                c, n, side = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+                n = n.astype(np.int64)
+                row, tok, rest, sketch = entries(flat_tokens(b.column(2)), n, counts, place, threshold)
+                at, key, half = _cells(tok, c[row].view(np.uint64), counts)
+                r = row[at]
+                part = (key, c[r], n[r].astype(np.int32), rest[at].astype(np.int32), (side[r] * 3 + half).astype(np.int8), sketch[at])
+                kept.setdefault(0, []).append(part)
+                size += sum(x.nbytes for x in part)
+                if size > KEEP_BYTES:
+                    yield from send()
+        yield from send()
 
     def compare(batches):
-        for cols in runs(batches, len(names)):
-            k, c, n, role = cols[0], cols[1], cols[2].astype(np.int64), cols[3]
-            s = np.stack(cols[4:], axis=1).view(np.uint64)
-            side, half = role // 3, role % 3
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            stops = np.r_[starts[1:], len(k)]
-            found_a, found_b = [], []
-            for lo, hi in zip(starts[stops - starts > 1], stops[stops - starts > 1]):
-                g, d, h = np.arange(lo, hi), side[lo:hi], half[lo:hi]
-                two = d[0] < 2
-                if h[0] == 2:
-                    tries = [(g[d == 0], g[d == 1])] if two else [(g, g)]
-                else:
-                    tries = [(g[(d == 0) & (h == v)], g[(d == 1) & (h == 1 - v)]) for v in (0, 1)] if two else [(g[h == 0], g[h == 1])]
-                for x, y in tries:
-                    for i, j in close(n, s, x, y, threshold):
-                        a, b = c[i], c[j]
-                        if not two:
-                            a, b = np.minimum(a, b), np.maximum(a, b)
-                        found_a.append(a[a != b])
-                        found_b.append(b[a != b])
-            if found_a:
-                # each pair once for what this call has seen
-                both = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], axis=1), axis=0)
+        def done(blocks):
+            both = compared([np.concatenate(x) for x in zip(*map(unpack, blocks))], threshold)
+            if both is not None and len(both):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
 
-    kind = "k bigint, c bigint, n int, role tinyint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
-    dealt = texts.select("c", "n", "toks", "side").where("n > 0").mapInArrow(keys, kind).repartition("k").sortWithinPartitions("k")
+        last, blocks = None, []
+        for b in batches:
+            for name, block in zip(b.column(0).to_pylist(), b.column(1)):
+                if name != last and blocks:
+                    yield from done(blocks)
+                    blocks = []
+                last = name
+                blocks.append(block.as_buffer())
+        if blocks:
+            yield from done(blocks)
+
+    dealt = texts.select("c", "n", "toks", "side").mapInArrow(rows, "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def noted(ids: DataFrame, bits: int = 25):
+    """A broadcast bitmap of 2 ** ``bits`` bits that has the bit of every id of ``ids`` (one bigint column); its size does not grow."""
+    spark = ids.sparkSession
+
+    def run(batches):
+        for b in batches:
+            h = mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), 66) >> np.uint64(64 - bits)
+            at, where = np.unique(h >> np.uint64(6), return_inverse=True)
+            word = np.zeros(len(at), np.uint64)
+            np.bitwise_or.at(word, where, np.uint64(1) << (h & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(word.view(np.int64))], names=["at", "word"])
+
+    rows = ids.mapInArrow(run, "at int, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[rows["at"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
+    return spark.sparkContext.broadcast(out.view(np.uint64))
+
+
+def noted_rows(df: DataFrame, col: str, bitmap, bits: int = 25) -> DataFrame:
+    """The rows whose id (bigint column ``col``) may be in the bitmap: all that are, and few others."""
+    place = df.columns.index(col)
+
+    def run(batches):
+        for b in batches:
+            h = mix(b.column(place).to_numpy(zero_copy_only=False).view(np.uint64), 66) >> np.uint64(64 - bits)
+            yield b.filter(pa.array((bitmap.value[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) == 1))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def close_links(texts: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n_a, n_b, shared) of the candidates (a, b) whose tokens in ``texts`` (c, n, toks) reach the threshold, counted exactly."""
+    need = cand.select(F.col("a").alias("c")).union(cand.select(F.col("b").alias("c")))
+    few = noted_rows(texts.select("c", "n", "toks"), "c", noted(need)).dropDuplicates(["c"])
+    side = lambda s: few.select(F.col("c").alias(s), F.col("n").alias(f"n_{s}"), F.col("toks").alias(f"t_{s}"))
+    both = cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("shared"))
+    return both.where(F.col("shared") >= F.greatest("n_a", "n_b") * F.lit(threshold) - F.lit(1e-9))

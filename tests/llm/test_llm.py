@@ -3,11 +3,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lemmaworks.llm import components, markup, mixing, mojibake, neardup, overlap, prefixes, sample, splits, tokens
-from lemmaworks.llm.words import word_list
+from lemmaworks.llm import components, markup, mixing, mojibake, neardup, overlap, prefixes, sample, splits, tokens, words
+from lemmaworks.llm.words import occurrences, word_hashes
 
 VOCAB = [f"w{i}" for i in range(400)]
 
@@ -150,9 +151,40 @@ def test_overlaps_of_scattered_edits(spark):
     got = {(r["id_a"], r["id_b"]) for r in overlap.overlap_pairs(df, "pair_id", "split", ["query", "positive_text"]).collect()}
     want = {(a, b) for a in texts for b in texts if a[0] == "a" and b[0] == "b" and near(texts[a], texts[b])}
     assert got == want and ("a_ninth", "b_ninth") in want and len(want) >= 75
-    members, links = overlap.overlaps(df, "pair_id", "split", ["query"])
+    members, links = overlap.overlaps(df, "pair_id", "split", ["query"], ordered=True)
     ninth = links.join(members.where("id = 'b_ninth'"), F.col("tid") == F.col("tid_eval")).first()
-    assert ninth["chained"] == 0 and ninth["shared"] == 56
+    assert ninth["seeds"] > 0 and ninth["shared"] == 56 and ninth["aligned"] == 56
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def test_alignment():
+    rnd = random.Random(3)
+    short = 0
+    for _ in range(300):
+        a = [rnd.randrange(1, 200) for _ in range(rnd.randint(1, 90))]
+        b = list(a)
+        for _ in range(rnd.randint(0, len(a) // 5)):
+            at, what = rnd.randrange(len(b)), rnd.random()
+            b[at : at + (what < 0.7)] = [] if what < 0.3 and len(b) > 1 else [rnd.randrange(200, 300)]
+        _, n = overlap.align(np.array(a, np.uint64), np.array(b, np.uint64))
+        best = longest_common(a, b)
+        assert n <= best
+        short += n < best
+    assert short <= 3
+    cut = overlap.align(np.arange(1, 61, dtype=np.uint64), np.r_[31:61, 1:31].astype(np.uint64))
+    assert cut[1] == 30
+    assert overlap.align(np.zeros(0, np.uint64), np.arange(5, dtype=np.uint64)) == (0, 0)
+    same = np.full(3000, 7, np.uint64)
+    assert overlap.align(same, same)[1] == 3000
 
 
 def test_prefix_cells():
@@ -298,6 +330,22 @@ def test_mojibake(spark):
     assert mojibake.affected(df.limit(0), "doc_id", "text").collect() == []
 
 
-def test_words(spark):
-    df = spark.createDataFrame([("Let $x_1$ be \\textbf{Big} <b>one</b> \\label{k}```py\nz\n``` [REF] \\begin{verbatim}q\\end{verbatim}",)], "t string")
-    assert df.select(word_list(F.col("t")).alias("w")).first()["w"] == ["let", "x", "1", "be", "big", "one"]
+def test_words():
+    rnd = random.Random(8)
+    texts = [
+        "Let $x_1$ be \\textbf{Big} <b>one</b> \\label{k}```py\nz\n``` [REF] \\begin{verbatim}q\\end{verbatim}", None, "", " . ", "ÉTÉ été Été 中文 x²", "a<pre>b\nc</pre>d", "```never closed", "&amp;a &#12;b", "{{t|u}}v [[a|b]] [c](#d)",
+        "\\begin{verbatim*}x\\end{verbatim*}y\\begin{minted}z", "a<!-- x --> b", "word" * 3000, *[text(rnd, rnd.randint(0, 30)) for _ in range(200)],
+    ]
+    want = [["let", "x", "1", "be", "big", "one"], [], [], [], ["été", "été", "été", "中文", "x²"], ["a", "d"], [], ["a", "b"], ["v", "b", "c"], ["y", "z"], ["a", "b"], ["word" * 3000], *[t.split() for t in texts[12:]]]
+    h, lens = word_hashes(pa.array(texts, pa.string()))
+    assert lens.tolist() == [len(w) for w in want]
+    name = {}
+    assert all(name.setdefault(w, x) == x for w, x in zip((w for t in want for w in t), h.tolist())) and len(set(name.values())) == len(name)
+    old, words.CHUNK = words.CHUNK, 64
+    try:
+        assert (word_hashes(pa.array(texts, pa.string()).slice(0))[0] == h).all()
+    finally:
+        words.CHUNK = old
+    assert len(word_hashes(pa.array([], pa.string()))[0]) == 0
+    tok, row = occurrences(h, lens)
+    assert len(tok) == len(h) and len(set(tok[row == 4].tolist())) == 5
