@@ -49,7 +49,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     members = toks.select("id", F.when(F.col("n") > 0, F.col("c")).alias("c"), "n").distinct()
     cand = stage(close_pairs(toks.select("c", "n", "toks", F.lit(2).cast("tinyint").alias("side")), threshold), "candidates")
     links = close_links(toks, cand, threshold)
-    return members, links.select("a", "b", "shared", (F.col("shared") / F.greatest("n_a", "n_b")).alias("similarity"))
+    return members, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", (F.col("shared") / F.greatest("n_a", "n_b")).alias("similarity"))
 
 
 def duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.7) -> DataFrame:

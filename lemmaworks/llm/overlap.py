@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaworks.llm.prefixes import close_links, close_pairs
+from lemmaworks.llm.prefixes import close_links, close_pairs, is_noted, noted
 from lemmaworks.llm.words import list_array, mix, occurrences, row_sums, word_hashes
 from lemmaworks.session import ship_code, stage
 
@@ -30,28 +30,27 @@ K, WINDOW = 5, 4
 ALL_PAIRS = 100_000
 
 
-def contents(df: DataFrame, key_cols: list[str], text_col: str, ordered: bool = False) -> DataFrame:
-    """key columns + (n, tid, toks[, seq]) of rows with a text: number of words, name of the content (the multiset of words, of
-    the field in the first key column), 64-bit occurrence tokens, and with ``ordered`` the words as they stand."""
+def contents(df: DataFrame, id_col: str, text_cols: list[str], ordered: bool = False) -> DataFrame:
+    """(field, id, n, tid, toks[, seq]) of every id and text with a word: number of words, name of the content (the multiset of
+    words of the field), 64-bit occurrence tokens, and with ``ordered`` the words as they stand."""
     ship_code(df.sparkSession)
-    src = df.select(*key_cols, F.col(text_col).alias("t")).where("t is not null")
-    k = len(key_cols)
-    names = [*key_cols, "n", "tid", "toks", *(["seq"] if ordered else [])]
-    heads = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in key_cols)
+    src = df.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(text_cols)]).where("id is not null")
+    names = ["field", "id", "n", "tid", "toks", *(["seq"] if ordered else [])]
+    salts = [np.uint64(int.from_bytes(hashlib.blake2b(c.encode(), digest_size=8).digest(), "little")) for c in text_cols]
 
     def run(batches):
         for b in batches:
-            fields = b.column(0).dictionary_encode()
-            salts = np.array([int.from_bytes(hashlib.blake2b(str(f).encode(), digest_size=8).digest(), "little") for f in fields.dictionary.to_pylist()], np.uint64)
-            salt = salts[fields.indices.to_numpy(zero_copy_only=False)]
-            words, lens = word_hashes(b.column(k))
-            tok, row = occurrences(words, lens)
-            tok = mix(tok ^ salt[row], 7)
-            tid = mix(row_sums(mix(tok, 1), lens) ^ salt, 8)
-            out = [*[b.column(i) for i in range(k)], pa.array(lens, pa.int32()), pa.array(tid.view(np.int64)), list_array(tok.view(np.int64), lens, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out + ([list_array(words.view(np.int64), lens, pa.int64())] if ordered else []), names=names)
+            for i, (name, salt) in enumerate(zip(text_cols, salts)):
+                words, lens = word_hashes(b.column(i + 1))
+                full = np.flatnonzero(lens)
+                lens = lens[full]  # rows without words have no place in ``words``
+                tok, _ = occurrences(words, lens)
+                tok = mix(tok ^ salt, 7)
+                tid = mix(row_sums(mix(tok, 1), lens) ^ salt, 8)
+                out = [pa.array([name] * len(full), pa.string()), b.column(0).take(pa.array(full)), pa.array(lens, pa.int32()), pa.array(tid.view(np.int64)), list_array(tok.view(np.int64), lens, pa.int64())]
+                yield pa.RecordBatch.from_arrays(out + ([list_array(words.view(np.int64), lens, pa.int64())] if ordered else []), names=names)
 
-    return src.mapInArrow(run, f"{heads}, n int, tid bigint, toks array<bigint>" + (", seq array<bigint>" if ordered else ""))
+    return src.mapInArrow(run, f"field string, id {src.schema['id'].dataType.simpleString()}, n int, tid bigint, toks array<bigint>" + (", seq array<bigint>" if ordered else ""))
 
 
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
@@ -152,50 +151,87 @@ def chains(links: DataFrame, words: DataFrame) -> DataFrame:
     return both.select(*cols, "s_eval", "s_train").mapInArrow(run, heads + ", seeds bigint, aligned bigint")
 
 
-def overlaps(df: DataFrame, id_col: str, split_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train", ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+def on_sides(words: DataFrame, splits: DataFrame, train: str) -> DataFrame:
+    """(c, n, toks, side) of contents (field, id, tid, n, toks): side 0 of evaluation ids, 1 of training ids, one row of most copies.
+
+    No text is shuffled to learn its side: bitmaps of the ids of either side, of fixed size, tell it.  A bitmap may put a
+    row on a side too many, which makes candidates that the exact ``members`` take out again, and never on one too few.
+    """
+    ids = splits.select(F.xxhash64("id").alias("h"), (F.col("split") == train).alias("t"))
+    n_ids, n_rows = splits.count(), words.count()
+    marks = [noted(ids.where(cond).select("h"), n_ids) for cond in ("not t", "t")]  # at most 16 MB each
+    rows = words.select("tid", F.xxhash64("id").alias("h"), F.xxhash64("id", "field").alias("row"), "n", "toks")
+
+    def sided(b, k):
+        h, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        at = np.flatnonzero(is_noted(marks[k].value, h))
+        return at, mix(row[at].view(np.uint64), 67 + k).view(np.int64)
+
+    def first(batches):
+        for b in batches:
+            for k in (0, 1):
+                at, row = sided(b, k)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(row), pa.array(np.full(len(at), k, np.int8))], names=["tid", "row", "side"])
+
+    one = rows.select("tid", "h", "row").mapInArrow(first, "tid bigint, row bigint, side tinyint").groupBy("tid", "side").agg(F.min("row").alias("row"))
+    chosen = noted(one.select("row"), n_rows)
+
+    def run(batches):
+        for b in batches:
+            for k in (0, 1):
+                at, row = sided(b, k)
+                at = at[is_noted(chosen.value, row)]
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(at)) for i in (0, 3, 4)], pa.array(np.full(len(at), k, np.int8))], names=["c", "n", "toks", "side"])
+
+    return rows.mapInArrow(run, "c bigint, n int, toks array<bigint>, side tinyint")
+
+
+def overlaps(df: DataFrame, id_col: str, split_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train", ordered: bool = False, splits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` of all texts of ``text_cols``.
 
-    members: (field, id, split, tid); ``tid`` names a content of a field.  links: (tid_eval, tid_train, n_eval,
+    members: (field, id, split, tid), repeated where rows are; ``tid`` names a content of a field.  links: (tid_eval, tid_train, n_eval,
     n_train, shared, similarity): contents of an evaluation and of the training split with at least ``threshold``
     of the longer text's words in common; equal contents link a tid to itself.  With ``ordered`` also ``seeds`` and
-    ``aligned`` (words in one order, see ``align``).  Rows without id, split or text, and texts without words, are
-    left out; repeated rows count once.
+    ``aligned`` (words in one order, see ``align``).  The split of an id stands in ``splits`` (id and split column), or
+    in ``df`` itself; an id with several splits belongs to each.  Rows without id, split or text, and texts without
+    words, are left out; repeated rows count once.
     """
-    base = df.where(F.col(id_col).isNotNull() & F.col(split_col).isNotNull())
-    parts = [base.select(F.lit(c).alias("field"), F.col(id_col).alias("id"), F.col(split_col).alias("split"), F.col(c).alias("text")) for c in text_cols]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    words = stage(contents(rows, ["field", "id", "split"], "text", ordered).where("n > 0"), "contents")
-    members = words.select("field", "id", "split", "tid").distinct()
-    texts = words.select(F.col("tid").alias("c"), "n", "toks", (F.col("split") == train).cast("tinyint").alias("side"))
-    cand = stage(close_pairs(texts, threshold), "near")
-    near = close_links(texts, cand, threshold).select(F.col("a").alias("tid_eval"), F.col("b").alias("tid_train"), F.col("n_a").alias("n_eval"), F.col("n_b").alias("n_train"), F.col("shared").cast("long").alias("shared"))
-    both_sides = words.groupBy("tid", "n").agg(F.bool_or(F.col("split") == train).alias("x"), F.bool_or(F.col("split") != train).alias("y")).where("x and y")
-    same = both_sides.select(F.col("tid").alias("tid_eval"), F.col("tid").alias("tid_train"), F.col("n").alias("n_eval"), F.col("n").alias("n_train"), F.col("n").cast("long").alias("shared"))
+    of = (df if splits is None else splits).select(F.col(id_col).alias("id"), F.col(split_col).alias("split")).where("id is not null and split is not null").distinct()
+    of = stage(of, "splits")
+    words = stage(contents(df, id_col, text_cols, ordered), "contents")
+    members = stage(words.select("field", "id", "tid", "n").join(of, "id").select("field", "id", "split", "tid", "n"), "members")
+    held = members.groupBy("tid", "n").agg(F.bool_or(F.col("split") != train).alias("x"), F.bool_or(F.col("split") == train).alias("y"))
+    texts = on_sides(words, of, train)
+    cand = stage(close_pairs(texts, threshold, words.select(F.col("tid").alias("c"), "toks")), "near")
+    near = close_links(words.withColumnRenamed("tid", "c"), cand, threshold).select(F.col("a").alias("tid_eval"), F.col("b").alias("tid_train"), F.col("n_a").alias("n_eval"), F.col("n_b").alias("n_train"), F.col("shared").cast("long").alias("shared"))
+    near = near.join(held.where("x").select(F.col("tid").alias("tid_eval")), "tid_eval", "left_semi").join(held.where("y").select(F.col("tid").alias("tid_train")), "tid_train", "left_semi").select("tid_eval", "tid_train", "n_eval", "n_train", "shared")
+    same = held.where("x and y").select(F.col("tid").alias("tid_eval"), F.col("tid").alias("tid_train"), F.col("n").alias("n_eval"), F.col("n").alias("n_train"), F.col("n").cast("long").alias("shared"))
     links = near.unionByName(same).withColumn("similarity", F.col("shared") / F.greatest("n_eval", "n_train"))
-    return members, chains(stage(links, "links"), words) if ordered else links
+    return members.drop("n"), chains(stage(links, "links"), words) if ordered else links
 
 
-def overlap_pairs(df: DataFrame, id_col: str, split_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train") -> DataFrame:
+def overlap_pairs(df: DataFrame, id_col: str, split_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train", splits: DataFrame | None = None) -> DataFrame:
     """Every pair (id_a, id_b), a < b, of a training id and an evaluation id with the same or almost the same text."""
-    members, links = overlaps(df, id_col, split_col, text_cols, threshold, train)
+    members, links = overlaps(df, id_col, split_col, text_cols, threshold, train, splits=splits)
     a = members.where(F.col("split") != train).select(F.col("id").alias("x"), F.col("tid").alias("tid_eval"))
     b = members.where(F.col("split") == train).select(F.col("id").alias("y"), F.col("tid").alias("tid_train"))
     out = links.select("tid_eval", "tid_train").join(a, "tid_eval").join(b, "tid_train").where("x <> y")
     return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def overlap_report(df: DataFrame, id_col: str, split_col: str, source_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train") -> DataFrame:
+def overlap_report(df: DataFrame, id_col: str, split_col: str, source_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train", splits: DataFrame | None = None) -> DataFrame:
     """(split, source, records, overlapping, exact, mean_coverage) of each evaluation split and source.
 
     ``exact`` counts records with all words of a training text, in any order; coverage is the best share of a record's
-    words that stands in one order in a training text, averaged over the overlapping records.
+    words that stands in one order in a training text, averaged over the overlapping records.  ``splits`` as in
+    ``overlaps``, with the source; records are the ids of ``df``.
     """
-    members, links = overlaps(df, id_col, split_col, text_cols, threshold, train, ordered=True)
+    members, links = overlaps(df, id_col, split_col, text_cols, threshold, train, ordered=True, splits=splits)
     best = links.groupBy("tid_eval").agg(F.max("similarity").alias("similarity"), F.max(F.col("aligned") / F.col("n_eval")).alias("coverage"))
     hit = members.where(F.col("split") != train).join(best, F.col("tid") == F.col("tid_eval")).groupBy("id").agg(F.max("similarity").alias("similarity"), F.max("coverage").alias("coverage"))
-    rec = df.where(F.col(id_col).isNotNull() & F.col(split_col).isNotNull() & (F.col(split_col) != train)).select(F.col(id_col).alias("id"), F.col(split_col).alias("split"), F.col(source_col).alias("source")).distinct()
+    rec = (df if splits is None else splits).select(F.col(id_col).alias("id"), F.col(split_col).alias("split"), F.col(source_col).alias("source")).where((F.col("split") != train) & F.col("id").isNotNull()).distinct()
+    if splits is not None:
+        rec = rec.join(df.select(F.col(id_col).alias("id")), "id", "left_semi")
     return rec.join(hit, "id", "left").groupBy("split", "source").agg(
         F.count("*").alias("records"), F.count("similarity").alias("overlapping"), F.count_if(F.col("similarity") >= 1.0).alias("exact"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
     )

@@ -56,29 +56,29 @@ def bucket(tok: np.ndarray) -> np.ndarray:
     return (mix(tok, 60) >> np.uint64(46)).astype(np.int64)
 
 
-def new_rows(seen: set, c: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Places of the classes that this task meets for the first time: a class of very many copies leaves a task once."""
-    key = mix(c.view(np.uint64), 65) + side.astype(np.uint64)
-    _, at = np.unique(key, return_index=True)
-    at = np.array([i for i, k in zip(at.tolist(), key[at].tolist()) if k not in seen], np.int64)
-    seen.update(key[at].tolist())
-    return np.sort(at)
+def new_rows(seen: set, names: np.ndarray) -> np.ndarray:
+    """Places of the names that this task meets for the first time: a class of very many copies leaves a task once."""
+    _, at = np.unique(names, return_index=True)
+    at = np.sort(at)
+    at = at[[k not in seen for k in names[at].tolist()]] if seen else at
+    seen.update(names[at].tolist())
+    return at
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
-    """How many tokens of ``texts`` (c, n, toks, side) fall in each bucket; copies that one task holds count once."""
+    """How many tokens of ``texts`` (c, toks) fall in each bucket; copies that one task holds count once."""
 
     def run(batches):
         total, seen = np.zeros(BUCKETS, np.int64), set()
         for b in batches:
-            b = b.take(pa.array(new_rows(seen, b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False))))
+            b = b.take(pa.array(new_rows(seen, b.column(0).to_numpy(zero_copy_only=False))))
             total += np.bincount(bucket(short(flat_tokens(b.column(1)))), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["b", "k"])
 
     out = np.zeros(BUCKETS, np.int64)
-    rows = texts.select("c", "toks", "side").mapInArrow(run, "b int, k bigint").groupBy("b").agg(F.sum("k").alias("k")).toPandas()
-    out[rows["b"].to_numpy(np.int64)] = rows["k"].to_numpy(np.int64)
+    rows = texts.select("c", "toks").mapInArrow(run, "b int, k bigint").groupBy("b").agg(F.sum("k").alias("k")).toArrow()
+    out[rows["b"].to_numpy()] = rows["k"].to_numpy()
     return out
 
 
@@ -125,32 +125,40 @@ def _cells(tok: np.ndarray, c: np.ndarray, counts: np.ndarray):
     return at, key, np.where(lo == hi, 2, (mine == hi).astype(np.int64)).astype(np.int8)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte of equal weight, which packs better."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+def named(c: np.ndarray) -> np.ndarray:
+    """The 48 bits by which a class travels."""
+    return (c.view(np.uint64) >> np.uint64(16)).view(np.int64)
 
 
-def from_planes(raw: np.ndarray, kind, m: int) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(-1, m).T).view(kind).ravel()
+def planes(x: np.ndarray, size: int) -> bytes:
+    """The ``size`` low bytes of numbers, byte by byte of equal weight, which packs better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T[:size].tobytes()
+
+
+def from_planes(raw: np.ndarray, m: int) -> np.ndarray:
+    out = np.zeros((m, 8), np.uint8)
+    out[:, : len(raw) // m if m else 0] = raw.reshape(-1, m).T
+    return out.view(np.int64).ravel()
 
 
 def pack(key: np.ndarray, c: np.ndarray, n: np.ndarray, rest: np.ndarray, role: np.ndarray, sketch: np.ndarray) -> bytes:
-    """Rows, sorted by key, as one block."""
+    """Rows, sorted by key, as one block; most bits of a sketch are 0, so entropy coding takes off a quarter."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     head = np.array([len(key), len(first)], np.int64)
-    return b"".join([head.tobytes(), key[first].tobytes(), np.diff(np.r_[first, len(key)]).astype(np.int64).tobytes(), c.tobytes(), sketch.tobytes(), planes(n.astype(np.int32)), planes(rest.astype(np.int32)), role.tobytes()])
+    raw = b"".join([head.tobytes(), key[first].tobytes(), np.diff(np.r_[first, len(key)]).astype(np.int64).tobytes(), sketch.tobytes(), planes(c, 6), planes(n, 4), planes(n - rest, 4), role.tobytes()])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpack(block: bytes):
-    m, u = np.frombuffer(block, np.int64, 2)
-    at = 16
-    out = []
-    for kind, count in ((np.uint64, u), (np.int64, u), (np.int64, m), (np.uint64, m * SKETCH)):
-        out.append(np.frombuffer(block, kind, count, at))
-        at += 8 * int(count)
-    key, times, c, sketch = out
-    n, rest = (from_planes(np.frombuffer(block, np.uint8, 4 * m, at + 4 * int(m) * i), np.int32, int(m)).astype(np.int64) for i in (0, 1))
-    return np.repeat(key, times), c, n, rest, np.frombuffer(block, np.int8, m, at + 8 * int(m)), sketch.reshape(-1, SKETCH)
+def unpack(block: pa.Buffer):
+    block = pa.decompress(block.slice(8), decompressed_size=int.from_bytes(block.slice(0, 8).to_pybytes(), "little"), codec="zstd")
+    m, u = (int(x) for x in np.frombuffer(block, np.int64, 2))
+    at, out = 16, []
+    for kind, count, size in ((np.uint64, u, 8), (np.int64, u, 8), (np.uint64, m * SKETCH, 8), (np.uint8, m, 6), (np.uint8, m, 4), (np.uint8, m, 4), (np.int8, m, 1)):
+        out.append(np.frombuffer(block, kind, count * (size if kind is np.uint8 else 1), at))
+        at += count * size
+    key, times, sketch, c, n, before, role = out
+    c, n, before = (from_planes(x, m) for x in (c, n, before))
+    return np.repeat(key, times), c, n, n - before, role, sketch.reshape(-1, SKETCH)
 
 
 def signs(sketch: np.ndarray) -> np.ndarray:
@@ -240,15 +248,16 @@ def compared(cols: list[np.ndarray], threshold: float) -> np.ndarray | None:
     return np.unique(np.stack([a[ok], b[ok]], axis=1), axis=0)
 
 
-def close_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+def close_pairs(texts: DataFrame, threshold: float, counted: DataFrame | None = None) -> DataFrame:
     """(a, b) of ``texts`` (c bigint, n int, toks array<bigint>, side tinyint): every pair of different c with at least
     ``threshold`` of the longer text's tokens in common, and others that their sketches do not rule out.  Rows may repeat.
 
-    a and b are of side 0 and 1; or, of texts of side 2, a < b.
+    a and b are names of classes (see ``named``) of side 0 and 1; or, of texts of side 2, a < b.  ``counted`` (c, toks) may stand for ``texts`` where tokens
+    are counted; it must hold them all.
     """
     spark = texts.sparkSession
     texts = texts.where("n > 0")
-    counts = rarity(texts)
+    counts = rarity(texts if counted is None else counted)
     place = np.empty(BUCKETS, np.int64)
     place[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
     buckets = max(partitions_for(spark), int(counts.sum() * (1 - threshold)) // BLOCK_ROWS)
@@ -265,23 +274,25 @@ def close_pairs(texts: DataFrame, threshold: float) -> DataFrame:
             size = 0
             if not whole:
                 return
-            b = (whole[0] % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((whole[0], b))
+            # by key, and by size within a key, which packs better
+            order = np.argsort((whole[0] & np.uint64(0xFFFFFFFFFFFFF000)) | np.minimum(whole[2], 4095).astype(np.uint64))
             whole = [x[order] for x in whole]
-            cut = np.flatnonzero(np.r_[True, np.diff(b[order]) != 0, True])
-            names, blocks = b[order][cut[:-1]], [pack(*(x[lo:hi] for x in whole)) for lo, hi in zip(cut[:-1], cut[1:])]
+            b = ((whole[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # in the order of the keys
+            cut = np.flatnonzero(np.r_[True, np.diff(b) != 0, True])
+            names, blocks = b[cut[:-1]], [pack(*(x[lo:hi] for x in whole)) for lo, hi in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
         for batch in batches:
-            batch = batch.take(pa.array(new_rows(seen, batch.column(0).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False))))
+            c, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            batch = batch.take(pa.array(new_rows(seen, mix(c.view(np.uint64), 65) + side.astype(np.uint64))))
             for lo in range(0, batch.num_rows, SLICE):
                 b = batch.slice(lo, SLICE)
                 c, n, side = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-                n = n.astype(np.int64)
+                c, n = named(c), n.astype(np.int64)
                 row, tok, rest, sketch = entries(flat_tokens(b.column(2)), n, counts, place, threshold)
                 at, key, half = _cells(tok, c[row].view(np.uint64), counts)
                 r = row[at]
-                part = (key, c[r], n[r].astype(np.int32), rest[at].astype(np.int32), (side[r] * 3 + half).astype(np.int8), sketch[at])
+                part = (key, c[r], n[r], rest[at], (side[r] * 3 + half).astype(np.int8), sketch[at])
                 kept.setdefault(0, []).append(part)
                 size += sum(x.nbytes for x in part)
                 if size > KEEP_BYTES:
@@ -309,40 +320,53 @@ def close_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def noted(ids: DataFrame, bits: int = 25):
-    """A broadcast bitmap of 2 ** ``bits`` bits that has the bit of every id of ``ids`` (one bigint column); its size does not grow."""
-    spark = ids.sparkSession
+def places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return mix(ids.view(np.uint64), 66) >> np.uint64(64 - bits)
+
+
+def noted(ids: DataFrame, expected: int, most: int = 27):
+    """A broadcast bitmap that has the bit of every id of ``ids`` (one bigint column): some 8 bits for each of the ``expected``
+    ids, but at most 2 ** ``most``.  With more ids it lets more rows pass, and an exact join behind it decides.
+    """
+    bits = min(most, max(12, 3 + int(expected).bit_length()))
 
     def run(batches):
         for b in batches:
-            h = mix(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), 66) >> np.uint64(64 - bits)
+            h = places(b.column(0).to_numpy(zero_copy_only=False), bits)
             at, where = np.unique(h >> np.uint64(6), return_inverse=True)
             word = np.zeros(len(at), np.uint64)
             np.bitwise_or.at(word, where, np.uint64(1) << (h & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(word.view(np.int64))], names=["at", "word"])
 
-    rows = ids.mapInArrow(run, "at int, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    rows = ids.mapInArrow(run, "at int, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[rows["at"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
-    return spark.sparkContext.broadcast(out.view(np.uint64))
+    out[rows["at"].to_numpy()] = rows["word"].to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def is_noted(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in the bitmap: all that are, and few others."""
+    h = places(ids, int(len(bitmap)).bit_length() + 5)
+    return (bitmap[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
-def noted_rows(df: DataFrame, col: str, bitmap, bits: int = 25) -> DataFrame:
-    """The rows whose id (bigint column ``col``) may be in the bitmap: all that are, and few others."""
+def noted_rows(df: DataFrame, col: str, bitmap) -> DataFrame:
+    """The rows whose id (bigint column ``col``) may be in the bitmap."""
     place = df.columns.index(col)
 
     def run(batches):
         for b in batches:
-            h = mix(b.column(place).to_numpy(zero_copy_only=False).view(np.uint64), 66) >> np.uint64(64 - bits)
-            yield b.filter(pa.array((bitmap.value[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) == 1))
+            yield b.filter(pa.array(is_noted(bitmap.value, b.column(place).to_numpy(zero_copy_only=False))))
 
     return df.mapInArrow(run, df.schema)
 
 
 def close_links(texts: DataFrame, cand: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n_a, n_b, shared) of the candidates (a, b) whose tokens in ``texts`` (c, n, toks) reach the threshold, counted exactly."""
+    """(a, b, n_a, n_b, shared) of the candidates (a, b: names) whose tokens in ``texts`` (c, n, toks) reach the threshold,
+    counted exactly; a and b are whole classes again."""
     need = cand.select(F.col("a").alias("c")).union(cand.select(F.col("b").alias("c")))
-    few = noted_rows(texts.select("c", "n", "toks"), "c", noted(need)).dropDuplicates(["c"])
-    side = lambda s: few.select(F.col("c").alias(s), F.col("n").alias(f"n_{s}"), F.col("toks").alias(f"t_{s}"))
-    both = cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("shared"))
+    named_texts = texts.select(F.shiftrightunsigned("c", 16).alias("name"), "c", "n", "toks")
+    few = noted_rows(named_texts, "name", noted(need, 2 * cand.count())).dropDuplicates(["c"])
+    side = lambda s: few.select(F.col("name").alias(s), F.col("c").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"), F.col("toks").alias(f"t_{s}"))
+    both = cand.join(side("a"), "a").join(side("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), "n_a", "n_b", F.size(F.array_intersect("t_a", "t_b")).alias("shared"))
     return both.where(F.col("shared") >= F.greatest("n_a", "n_b") * F.lit(threshold) - F.lit(1e-9))

@@ -61,19 +61,18 @@ def p4_report(spark, d):
     return sample.draw(_read(spark, d, "pairs"), _read(spark, d, "routing"), _read(spark, d, "sample_targets"))[1]
 
 
-def split_pairs(spark, d) -> DataFrame:
-    """pairs with the split and source of pair_splits."""
-    s = _read(spark, d, "pair_splits").where("pair_id is not null and split is not null").groupBy("pair_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
-    return _read(spark, d, "pairs").select("pair_id", "query", "positive_text").join(s, "pair_id")
+def pair_splits(spark, d) -> DataFrame:
+    """(pair_id, split, source), one row for each pair that has a split."""
+    return _read(spark, d, "pair_splits").where("pair_id is not null and split is not null").groupBy("pair_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
 
 
 def p5_found(spark, d):
-    out = overlap.overlap_pairs(split_pairs(spark, d), "pair_id", "split", ["query", "positive_text"])
+    out = overlap.overlap_pairs(_read(spark, d, "pairs"), "pair_id", "split", ["query", "positive_text"], splits=pair_splits(spark, d))
     return out.select(F.col("id_a").alias("pair_id_a"), F.col("id_b").alias("pair_id_b"))
 
 
 def p5_report(spark, d):
-    return overlap.overlap_report(split_pairs(spark, d), "pair_id", "split", "source", ["query", "positive_text"])
+    return overlap.overlap_report(_read(spark, d, "pairs"), "pair_id", "split", "source", ["query", "positive_text"], splits=pair_splits(spark, d))
 
 
 def p7_ids(spark, d):
