@@ -28,16 +28,16 @@ from lemmaworks.session import partitions_for
 
 BUCKETS = 1 << 18
 #: 64-bit words of a sketch, and those that are compared first.
-SKETCH, FIRST = 4, 2
+SKETCH, FIRST = 4, 3
 BITS = 64 * FIRST
 #: Texts of a token that are compared in one cell, about.
 CELL = 1 << 15
 #: Cells of no more rows than this are compared by shifts, many at a time.
 SMALL = 24
 #: Tile of one product, and classes of rows by how long a partner they may have.
-ROWS, COLUMNS, BANDS = 256, 2048, 4
+ROWS, COLUMNS, BANDS = 96, 2048, 4
 #: Rows that a task compares at a time, about, and bytes of packed rows that a task keeps before it sends them.
-BLOCK_ROWS, KEEP_BYTES = 200_000, 64 << 20
+BLOCK_ROWS, KEEP_BYTES = 25_000, 64 << 20
 #: Texts sorted at a time; their number takes 14 bits of a sort key.
 SLICE = 1 << 14
 
