@@ -19,10 +19,16 @@ from lemmaworks.functions.latex import KINDS
 from lemmaworks.operators.attach import attach_proofs, attach_sections, number_within
 from lemmaworks.session import ship_code, stage
 
-#: Environments that every paper knows, and what they stand for (fixed values).
+# Fixed values that must be these for the right results -------------------------------------------------
+#: Environments that every paper knows, and what they stand for.
 KNOWN = {
-    "Theorem": "theorem thm mainthm maintheorem", "Lemma": "lemma lem lemm", "Proposition": "proposition prop propo", "Corollary": "corollary cor coro",
-    "Definition": "definition defn defi def", "Claim": "claim", "Conjecture": "conjecture conj",
+    "theorem": "Theorem", "thm": "Theorem", "mainthm": "Theorem", "maintheorem": "Theorem",
+    "lemma": "Lemma", "lem": "Lemma", "lemm": "Lemma",
+    "proposition": "Proposition", "prop": "Proposition", "propo": "Proposition",
+    "corollary": "Corollary", "cor": "Corollary", "coro": "Corollary",
+    "definition": "Definition", "defn": "Definition", "defi": "Definition", "def": "Definition",
+    "claim": "Claim",
+    "conjecture": "Conjecture", "conj": "Conjecture",
 }
 MIN_TEXT, MAX_TEXT, MAX_PROOF, CONTEXT = 10, 3000, 7000, 1000
 LEVELS = "section|subsection|subsubsection|paragraph|chapter"
@@ -34,6 +40,7 @@ PROOF_OF = re.compile(r"[Pp]roof\s*of.*\\(?:c|C|auto)?ref\*?\{([^{}]+)\}")
 TITLE_REF = re.compile(r"\\(?:c|C|auto)?ref\*?\{([^{}]+)\}")
 NESTED_PROOF = re.compile(r"(?is)\\begin\{proof\}(?:\[[^\]]*\])?.*?\\end\{proof\}")
 LABEL = re.compile(r"\\label\{([^{}]+)\}")
+# --------------------------------------------------------------------------------------------------------
 
 
 def closing_brace(text: str, at: int) -> int:
@@ -48,7 +55,7 @@ def closing_brace(text: str, at: int) -> int:
 
 def environments(text: str) -> dict[str, str]:
     """Environment name -> display name: the known ones, overridden by the paper's own."""
-    out = {n: k for k, names in KNOWN.items() for n in names.split()}
+    out = dict(KNOWN)
     for name, shown in NEW_THEOREM.findall(text):
         name = name.strip()
         if name and "\\" not in name and "%" not in name:

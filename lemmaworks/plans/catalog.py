@@ -95,16 +95,39 @@ def statement_kinds(spark, d):
     return statements(spark, d).select(L.kind_of(F.col("type_display")).alias("kind")).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def _formula_sql() -> tuple[str, str]:
-    pats = [r"(?s)\$\$.*?\$\$", r"(?s)\\\[.*?\\\]", *[rf"(?s)\\begin\{{{e}\*?\}}.*?\\end\{{{e}\*?\}}" for e in L.FORMULA_ENVIRONMENTS], r"(?s)\\\(.*?\\\)", r"\$[^$\\]*(?:\\(?s:.)[^$\\]*)*\$"]
-    total, rest = [], "text"
-    for p in pats:
+_FORMULA_FORMS = [r"(?s)\$\$.*?\$\$", r"(?s)\\\[.*?\\\]", *[rf"(?s)\\begin\{{{e}\*?\}}.*?\\end\{{{e}\*?\}}" for e in L.FORMULA_ENVIRONMENTS], r"(?s)\\\(.*?\\\)", r"\$[^$\\]*(?:\\(?s:.)[^$\\]*)*\$"]
+
+
+def _formulas(c: str) -> tuple[str, str]:
+    """SQL of the number of formulas in ``c``, and of ``c`` without them."""
+    total, rest = [], c
+    for p in _FORMULA_FORMS:
         total.append(f"len(regexp_extract_all({rest}, '{p}'))")
         rest = f"regexp_replace({rest}, '{p}', ' ', 'g')"
     return " + ".join(total), rest
 
 
-_NF, _REST = _formula_sql()
+def _words(c: str) -> str:
+    """SQL of the number of content words in ``c``."""
+    stop = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
+    rest = _formulas(rf"regexp_replace({c}, '\[(REF|TARGET)\]', ' ', 'g')")[1]
+    return rf"len(list_filter(regexp_extract_all(regexp_replace({rest}, '\\[A-Za-z]+\*?', ' ', 'g'), '[A-Za-z]{{2,}}'), lambda w: not list_contains([{stop}], lower(w))))"
+
+
+def _clean(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({c}, '\\label\{{[^{{}}]+\}}', '', 'g'), '[\s\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+
+
+def _balance(c: str) -> str:
+    """SQL of whether environments nest rightly in ``c``."""
+    kinds = rf"regexp_extract_all({c}, '\\(begin|end)\{{[^{{}}]+\}}', 1)"
+    names = rf"regexp_extract_all({c}, '\\(?:begin|end)\{{([^{{}}]+)\}}', 1)"
+    return f"""(select r.ok and len(r.st) = 0 from (select list_reduce(list_prepend(struct_pack(st := cast([] as varchar[]), ok := true, k := '', n := ''),
+        list_transform(list_zip({kinds}, {names}), lambda z: struct_pack(st := cast([] as varchar[]), ok := true, k := z[1], n := regexp_replace(z[2], '\\*+$', '')))),
+        lambda a, x: struct_pack(st := case when x.k = 'begin' then list_append(a.st, x.n) else a.st[:-2] end, ok := a.ok and (x.k = 'begin' or coalesce(a.st[-1] = x.n, false)), k := x.k, n := x.n)) as r))"""
+
+
+_NF, _REST = _formulas("text")
 
 
 @query("content_words", "with " + STMT + rf"""
@@ -158,22 +181,57 @@ def attached_proofs(spark, d):
   i as (select paper_id, label, max_by(stmt_id, struct_pack(c := char_start, i := stmt_id)) as target from (select paper_id, unnest(labels) as label, char_start, stmt_id from s where paper_id is not null) group by all)
   select one.proof_id, one.label, i.target, count(*) as n from one left join i using (paper_id, label) where one.label <> '' group by all""")
 def reference_resolution(spark, d):
-    refs = P.reference_spans(proofs(spark, d).select("proof_id", "paper_id", "text")).drop("text")
+    refs = P.reference_spans(proofs(spark, d).select("proof_id", "paper_id", "text"))
     return refs.join(P.label_index(statements(spark, d)), ["paper_id", "label"], "left").groupBy("proof_id", "label", "target").agg(F.count("*").alias("n"))
 
 
-@query("reference_spans_hold", r"""
-  select count(*) as n, 0 as wrong from (select unnest(regexp_extract_all(text, '\\(?:c|C|auto|eq|name|labelc|v)?ref\*?\{[^{}]+\}')) as c from (select distinct on (proof_id) * from proofs))""")
-def reference_spans_hold(spark, d):
-    refs = P.reference_spans(proofs(spark, d).select("proof_id", "paper_id", "text")).dropDuplicates(["proof_id", "start"])
-    cut = F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start"))
-    return refs.agg(F.count("*").alias("n"), F.count_if(~cut.rlike("^" + L.REFERENCE + "$")).cast("int").alias("wrong"))
+_CITE = r"\\(?:c|C|auto|eq|name|labelc|v)?ref\*?\{([^{}]+)\}"
+_IN_GLUE = ", ".join(f"'{w}'" for w in L.GLUE_WORDS)
+_GLUE = rf"coalesce(length(GAP) <= 40 and len(list_filter(string_split(lower(trim(regexp_replace(GAP, '[\s,;&()\[\]{{}}~]+', ' ', 'g'))), ' '), lambda w: w <> '' and not list_contains([{_IN_GLUE}], w))) = 0, false)"
+_QUOTED = {k: "(?i)" + getattr(L, k).replace("'", "''") for k in ("PROOF_OF_PATTERN", "DEFERRAL_PATTERN", "PROCEDURE_PATTERN", "CITATION_PATTERN")}
+#: All references with their outcome; the same rules as plain steps of SQL.
+_MINED = "with " + STMT + PRF + rf"""
+  c as (select proof_id, paper_id, attached_stmt_id, text, regexp_extract_all(text, '{_CITE}', 0) as cites, regexp_extract_all(text, '{_CITE}', 1) as keys, string_split_regex(text, '{_CITE}') as gaps from p),
+  n as (select *, unnest(range(1, len(cites) + 1)) as i from c),
+  o as (select *, cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(cites[1:i - 1], lambda x: length(x))), 0) as bigint) as start from n),
+  lab as (select proof_id, paper_id, attached_stmt_id, text, i, start, gaps[i] as cgap, list_filter(list_transform(string_split(keys[i], ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as labs from o),
+  one as (select *, unnest(labs) as label, unnest(range(1, len(labs) + 1)) as j from lab),
+  idx as (select paper_id, label, max_by(stmt_id, struct_pack(c := char_start, i := stmt_id)) as target from (select paper_id, unnest(labels) as label, char_start, stmt_id from s where paper_id is not null) group by all),
+  r as (select one.*, idx.target, i * 1000 + j as ref_no, case when j = 1 then cgap else '' end as gap from one left join idx using (paper_id, label)),
+  w as (select *, lag(target) over x as before, lead(target) over x as behind, lead(gap) over x as gap_behind, list_sort(list_distinct(list(target) over (partition by proof_id))) as invoked from r window x as (partition by proof_id order by ref_no)),
+  e as (select *, case when target is null then 'unresolved' when coalesce(target = attached_stmt_id, false) then 'self'
+        when (before is not null and before <> target and not coalesce(before = attached_stmt_id, false) and {_GLUE.replace("GAP", "gap")})
+          or (behind is not null and behind <> target and not coalesce(behind = attached_stmt_id, false) and {_GLUE.replace("GAP", "gap_behind")}) then 'co_cited' end as early from w),
+  q as (select *, case when early is null then {_clean(f"regexp_replace(regexp_replace(substr(text, 1, start) || '\\ref{{@@@}}', '{_QUOTED['CITATION_PATTERN'].replace('[^{}]*', '@@@')}', ' [TARGET] ', 'g'), '{_QUOTED['CITATION_PATTERN']}', ' [REF] ', 'g')")} end as query from e),
+  m as (select *, length(query) - instr(reverse(query), ']TEGRAT[') - 6 as spot from q),
+  m2 as (select *, case when instr(query, '[TARGET]') > 0 then substr(query, greatest(spot - 80, 1), spot + 48 - greatest(spot - 80, 1)) else substr(query, greatest(length(query) - 79, 1), 80) end as near,
+         {_words("query")} as qw, {_formulas("query")[0]} as qf, len(regexp_extract_all(query, '\[(REF|TARGET)\]')) as qr from m),
+  f as (select *, coalesce(early, case when length(query) < 80 then 'short' when qw < 30 and qf < 2 then 'thin_query' when qr >= 4 and qw < 4 then 'ref_heavy'
+        when regexp_matches(near, '{_QUOTED["PROOF_OF_PATTERN"]}') then 'proof_ref' when regexp_matches(near, '{_QUOTED["DEFERRAL_PATTERN"]}') then 'deferral'
+        when regexp_matches(near, '{_QUOTED["PROCEDURE_PATTERN"]}') and {_words(f"regexp_replace(query, '{_QUOTED['PROCEDURE_PATTERN']}', ' ', 'g')")} < 20 then 'procedural' end) as first_reason from m2),
+  t as (select stmt_id as target, type as positive_type, {_clean("text")} as positive_text from s),
+  t2 as (select *, coalesce(positive_text, '') as pt from t),
+  t3 as (select *, case when length(pt) < 30 then 'short' when not {_balance("pt")} then 'malformed_pos' when {_words("pt")} < 20 and {_formulas("pt")[0]} < 1 then 'thin_pos'
+         when len(regexp_extract_all(pt, '\\(?:c|C|auto|eq|name|labelc|v)?ref\*?\{{')) >= 2 and {_words("pt")} < 4 then 'ref_dep_pos' end as late from t2),
+  g as (select f.*, positive_type, positive_text, coalesce(first_reason, late) as reason from f left join t3 using (target)),
+  h as (select *, row_number() over (partition by query, target, reason is null order by proof_id, ref_no) as nth from g),
+  mined as (select *, case when reason is null and nth > 1 then 'duplicate' else reason end as drop_reason from h)
+"""
+
+
+@query("reference_spans", _MINED.split("  r as (")[0].rstrip().rstrip(",") + """
+  select proof_id, cast(i - 1 as bigint) * 1000 + j - 1 as ref_no, label, start, start + length(cites[i]) as stop from (select lab.*, c.cites, unnest(labs) as label, unnest(range(1, len(labs) + 1)) as j from lab join c using (proof_id))""")
+def reference_spans(spark, d):
+    r = P.reference_spans(proofs(spark, d).select("proof_id", "text"))
+    return r.select("proof_id", F.col("ref_no").cast("long").alias("ref_no"), "label", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
-@query("mined_pairs")
+@query("mined_pairs", _MINED + """
+  select paper_id || '::pair' || lpad(cast(row_number() over (order by proof_id, ref_no) - 1 as varchar), 7, '0') as pair_id, paper_id, query, target as positive_stmt_id, positive_type, positive_text,
+         proof_id as source_proof_id, label as ref_label, array_to_string(invoked, ' ') as invoked_stmt_ids from mined where drop_reason is null""")
 def mined_pairs(spark, d):
     m = P.mine_pairs(proofs(spark, d), statements(spark, d))
-    return m.where("drop_reason is null").select("pair_id", "paper_id", "query", F.col("target").alias("positive_stmt_id"), "positive_type", "positive_text", F.col("proof_id").alias("source_proof_id"), F.col("label").alias("ref_label"), "invoked_stmt_ids")
+    return m.where("drop_reason is null").select("pair_id", "paper_id", "query", F.col("target").alias("positive_stmt_id"), "positive_type", "positive_text", F.col("proof_id").alias("source_proof_id"), F.col("label").alias("ref_label"), F.array_join("invoked_stmt_ids", " ").alias("invoked_stmt_ids"))
 
 
 @query("mined_pairs_thought")
@@ -181,9 +239,14 @@ def mined_pairs_thought(spark, d):
     return P.mine_pairs(proofs(spark, d), statements(spark, d), "thought").where("drop_reason is null").select("pair_id", "query", "target")
 
 
-@query("drop_report")
+@query("drop_report", _MINED + f"""
+  , a as (select count(*) as "references", count(target) as resolved, cast(floor(100 * count(target) / count(*) + 0.5) as bigint) as resolved_percent, count(*) filter (where drop_reason is null) as emitted,
+          count(distinct case when drop_reason is null then target end) as distinct_positives, count(*) filter (where drop_reason is null and trim(string_split(query, '[TARGET]')[-1]) <> '') as with_after_context,
+          {", ".join(f"count(*) filter (where drop_reason = '{x}') as {x}" for x in P.REASONS)} from mined),
+  b as (select count(*) as proofs, count(*) filter (where regexp_matches(text, '{_CITE}')) as proofs_with_reference from p)
+  select * from (unpivot a on * into name counter value n) union all select * from (unpivot b on * into name counter value n)""")
 def drop_report(spark, d):
-    return P.drop_report(P.mine_pairs(proofs(spark, d), statements(spark, d)))
+    return P.drop_report(P.mine_pairs(proofs(spark, d), statements(spark, d)), proofs(spark, d))
 
 
 # Negatives, filters, exports ----------------------------------------------------------------------------

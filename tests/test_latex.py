@@ -72,7 +72,17 @@ def test_pairs(spark):
     kept.sort(key=lambda r: r["pair_id"])
     assert kept[0]["query"].endswith("[TARGET]") and "[REF]" in kept[0]["query"] and kept[0]["invoked_stmt_ids"] == ["f::s1", "f::s2"]
     assert sorted(r["drop_reason"] for r in got if r["drop_reason"]) == ["co_cited", "co_cited", "self", "self"]
-    total = {r["reason"]: r["n"] for r in P.drop_report(P.mine_pairs(proofs, st)).collect()}
-    assert total["total"] == 6 == sum(v for k, v in total.items() if k != "total")
+    n = {r["counter"]: r["n"] for r in P.drop_report(P.mine_pairs(proofs, st), proofs).collect()}
+    assert n["references"] == 6 == n["emitted"] + sum(n[r] for r in P.REASONS) and (n["proofs"], n["proofs_with_reference"], n["resolved_percent"], n["distinct_positives"], n["with_after_context"]) == (3, 2, 100, 2, 0)
     after = P.mine_pairs(proofs, st, "thought").where("pair_id = 'f::pair0000000'").first()
     assert after["query"].endswith("[TARGET] we win.")
+
+
+def test_thought(spark):
+    cases = {
+        "we win. Next": "we win.", "so\n\nNext": "so", "a \\\\ b": "a ", "\\begin{x} a. B \\\\ c \\end{x} d\\qed e": "\\begin{x} a. B \\\\ c \\end{x} d", "here \\end{y} on": "here ", "no end": "no end", "": "", "e.g. small \\item k": "e.g. small ",
+        "\\begin{a}\\begin{b} . X \\end{b}\n\n\\end{a}. $x$": "\\begin{a}\\begin{b} . X \\end{b}\n\n\\end{a}.", "\n\nx": "", "\\parbox stays \\par goes": "\\parbox stays ",
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {r["t"]: r["u"] for r in df.select("t", P.thought(F.col("t")).alias("u")).collect()}
+    assert got == cases | {None: None}
