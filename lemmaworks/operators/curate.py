@@ -13,34 +13,49 @@ MAX_NEGATIVES, MIN_NEGATIVE_LENGTH, MIN_NEGATIVES = 32, 25, 4
 EVALUATION_QUERIES = 10_000
 
 
-def eligible_negatives(pairs: DataFrame, statements: DataFrame) -> DataFrame:
-    """(pair_id, paper_id, positive_stmt_id, num_eligible, stmt_id, rank): statements of the pair's paper that are neither
-    the positive nor named beside it, numbered by the md5 of pair and statement.
+def statement_rings(statements: DataFrame) -> DataFrame:
+    """(paper_id, stmt_id, spot, size): the distinct statements of each paper in a ring, in the order of the md5 of their ids.
 
-    Only ids are joined; texts come in for the chosen ones.  The paper's statements are one side of an equi-join
-    that the adaptive skew join splits where a paper is huge.
+    Places come from one range-sorted running count, so the ring of a huge paper is dealt to many tasks.
+    """
+    s = statements.where("paper_id is not null and stmt_id is not null").select("paper_id", "stmt_id").distinct().withColumn("h", F.md5("stmt_id"))
+    n = stage(running_total(s, ["paper_id", "h", "stmt_id"], None, "n", "rings").select("paper_id", "stmt_id", "n"), "ring")
+    bounds = n.groupBy("paper_id").agg(F.min("n").alias("first"), F.count("*").alias("size"))
+    return n.join(bounds, "paper_id").select("paper_id", "stmt_id", (F.col("n") - F.col("first")).alias("spot"), "size")
+
+
+def eligible_negatives(pairs: DataFrame, statements: DataFrame, cap: int = MAX_NEGATIVES) -> DataFrame:
+    """(pair_id, paper_id, positive_stmt_id, num_eligible, stmt_id, rank): up to ``cap`` statements of the pair's paper that are
+    neither the positive nor named beside it, and how many there are in all.
+
+    The statements of a paper stand in a ring of hash order; a pair starts at a place that the md5 of its id gives and takes
+    the next ones, so its choice is the same on any cluster and costs ``cap`` rows and the named ones, not the whole paper.
     """
     none = F.array().cast("array<string>")
     named = F.array_union(F.array("positive_stmt_id"), F.coalesce("invoked_stmt_ids", none))
     if "co_positive_ids" in pairs.columns:
         named = F.array_union(named, F.coalesce("co_positive_ids", none))
-    p = pairs.select("pair_id", "paper_id", "positive_stmt_id", named.alias("named"))
-    s = statements.select("paper_id", "stmt_id").distinct()
-    both = p.join(s, "paper_id").where(~F.coalesce(F.array_contains("named", F.col("stmt_id")), F.lit(False)))
-    keyed = both.withColumn("h", F.md5(F.concat_ws(":", "pair_id", "stmt_id")))
-    w = W.partitionBy("pair_id").orderBy("h", "stmt_id")
-    return keyed.select("pair_id", "paper_id", "positive_stmt_id", "stmt_id", F.row_number().over(w).alias("rank"), F.count("*").over(W.partitionBy("pair_id")).alias("num_eligible"))
+    p = stage(pairs.where("paper_id is not null").select("pair_id", "paper_id", "positive_stmt_id", F.filter(named, lambda x: x.isNotNull()).alias("named")).dropDuplicates(["pair_id"]), "asked")
+    ring = stage(statement_rings(statements), "rings")
+    inside = p.select("pair_id", "paper_id", F.explode("named").alias("stmt_id")).join(ring.select("paper_id", "stmt_id"), ["paper_id", "stmt_id"]).groupBy("pair_id").agg(F.count("*").alias("held"))
+    sized = p.join(ring.groupBy("paper_id").agg(F.first("size").alias("size")), "paper_id").join(inside, "pair_id", "left")
+    start = F.conv(F.substring(F.md5("pair_id"), 1, 8), 16, 10).cast("long") % F.col("size")
+    steps = F.least(F.col("size"), F.lit(cap) + F.size("named"))
+    asked = sized.select("pair_id", "paper_id", "positive_stmt_id", "named", "size", (F.col("size") - F.coalesce("held", F.lit(0))).alias("num_eligible"), start.alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)).alias("k"))
+    met = asked.withColumn("spot", (F.col("start") + F.col("k")) % F.col("size")).join(ring.select("paper_id", "spot", "stmt_id"), ["paper_id", "spot"])
+    good = met.where(~F.array_contains("named", F.col("stmt_id"))).withColumn("rank", F.row_number().over(W.partitionBy("pair_id").orderBy("k")))
+    return good.where(F.col("rank") <= cap).select("pair_id", "paper_id", "positive_stmt_id", "stmt_id", "rank", "num_eligible")
 
 
 def negatives(pairs: DataFrame, statements: DataFrame, cap: int = MAX_NEGATIVES, min_length: int = MIN_NEGATIVE_LENGTH, filter_first: bool = False) -> DataFrame:
     """(pair_id, paper_id, positive_stmt_id, num_eligible, negatives): at most ``cap`` chosen, then short and malformed ones
-    rejected, so fewer may be left.  With ``filter_first`` they are rejected before the choice."""
+    rejected, so fewer may be left.  With ``filter_first`` they are rejected before the choice, so ``num_eligible`` counts
+    the sound ones and the first ``cap`` of them are taken.  A pair without paper has none."""
     texts = statements.select(F.col("stmt_id"), F.col("type"), L.clean_text(F.col("text")).alias("text")).dropDuplicates(["stmt_id"])
-    good = texts.where((F.length("text") >= min_length) & L.balanced(F.col("text")))
+    good = stage(texts.where((F.length("text") >= min_length) & L.balanced(F.col("text"))), "sound")
     pool = statements.join(good.select("stmt_id"), "stmt_id", "left_semi") if filter_first else statements
-    chosen = eligible_negatives(pairs, pool).where(F.col("rank") <= cap)
-    made = chosen.join(good, "stmt_id", "left").groupBy("pair_id", "paper_id", "positive_stmt_id", "num_eligible").agg(
-        F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("rank", "stmt_id", "type", "text")))).alias("n")
+    made = eligible_negatives(pairs, pool, cap).join(good, "stmt_id", "left").groupBy("pair_id").agg(
+        F.max("num_eligible").alias("num_eligible"), F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("rank", "stmt_id", "type", "text")))).alias("n")
     )
     made = made.select("pair_id", "num_eligible", F.transform("n", lambda x: F.struct(x["stmt_id"].alias("stmt_id"), x["type"].alias("type"), x["text"].alias("text"))).alias("negatives"))
     empty = F.array().cast("array<struct<stmt_id:string,type:string,text:string>>")
@@ -48,6 +63,23 @@ def negatives(pairs: DataFrame, statements: DataFrame, cap: int = MAX_NEGATIVES,
     return base.join(made, "pair_id", "left").select("pair_id", "paper_id", "positive_stmt_id", F.coalesce("num_eligible", F.lit(0).cast("bigint")).alias("num_eligible"), F.coalesce("negatives", empty).alias("negatives"))
 
 
+def negatives_counters(pairs: DataFrame, negs: DataFrame, cap: int = MAX_NEGATIVES) -> DataFrame:
+    """(counter, n) of a run: pairs, those without paper or positive, without any negative, capped ones, negatives in all and on
+    the average (in thousandths)."""
+    size = F.size("negatives")
+    a = negs.agg(
+        F.count("*").alias("pairs"), F.count_if(F.col("paper_id").isNull()).alias("without_paper"), F.count_if(F.col("positive_stmt_id").isNull()).alias("without_positive"), F.count_if(size == 0).alias("without_negatives"),
+        F.count_if(F.col("num_eligible") > cap).alias("capped"), F.sum("num_eligible").alias("eligible"), F.sum(size).alias("negatives"), F.floor(F.coalesce(F.try_divide(1000 * F.sum(size), F.count("*")), F.lit(0))).alias("mean_thousandths"),
+    )
+    b = pairs.agg(*[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("query", "positive_text", "invoked_stmt_ids") if c in pairs.columns])
+    return counters(a).unionByName(counters(b))
+
+
+def counters(one: DataFrame) -> DataFrame:
+    """(counter, n) of a row of counts."""
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).cast("long").alias("n")) for c in one.columns])).alias("x")).select("x.*")
+
+
 def in_category(categories: Column, category: str, prefix: bool = False) -> Column:
     t = L.tags(categories)
     return F.coalesce(F.exists(t, lambda x: F.startswith(x, F.lit(category))) if prefix else F.array_contains(t, category), F.lit(False))

@@ -252,23 +252,37 @@ def drop_report(spark, d):
 # Negatives, filters, exports ----------------------------------------------------------------------------
 
 
-@query("eligible_negatives", "with " + STMT + PAIR + """
-  e as (select q.pair_id, s.stmt_id, md5(q.pair_id || ':' || s.stmt_id) as h from q join s using (paper_id)
-        where s.stmt_id <> q.positive_stmt_id and not coalesce(list_contains(q.invoked_stmt_ids, s.stmt_id), false)),
-  n as (select *, row_number() over (partition by pair_id order by h, stmt_id) as r, count(*) over (partition by pair_id) as num_eligible from e)
-  select pair_id, stmt_id, cast(r as int) as rank, num_eligible from n where r <= 32""")
+_RING = "with " + STMT + PAIR + """
+  d as (select distinct paper_id, stmt_id from s where paper_id is not null and stmt_id is not null),
+  ring as (select paper_id, stmt_id, row_number() over (partition by paper_id order by md5(stmt_id), stmt_id) - 1 as spot, count(*) over (partition by paper_id) as size from d),
+  ask as (select q.pair_id, q.paper_id, q.positive_stmt_id, list_distinct(list_filter(list_prepend(q.positive_stmt_id, coalesce(q.invoked_stmt_ids, [])), lambda x: x is not null)) as named,
+               z.size, cast('0x' || substr(md5(q.pair_id), 1, 8) as bigint) % z.size as start from q join (select distinct paper_id, size from ring) z using (paper_id)),
+  e as (select a.pair_id, a.positive_stmt_id, r.stmt_id, (r.spot - a.start + a.size) % a.size as k, a.size - (select count(*) from ring x where x.paper_id = a.paper_id and list_contains(a.named, x.stmt_id)) as num_eligible
+        from ask as a join ring r on r.paper_id = a.paper_id and (r.spot - a.start + a.size) % a.size < 32 + len(a.named) where not list_contains(a.named, r.stmt_id)),
+  chosen as (select * from (select *, row_number() over (partition by pair_id order by k) as r from e) where r <= 32),
+""" + f"""
+  sound as (select stmt_id, t from (select stmt_id, {_clean("text")} as t from s) where length(t) >= 25 and {_balance("t")}),
+  neg as (select q.pair_id, q.paper_id, q.positive_stmt_id, coalesce(max(c.num_eligible), 0) as num_eligible, coalesce(list(sound.t order by c.r) filter (where sound.t is not null), []) as negatives
+          from q left join chosen c using (pair_id) left join sound on sound.stmt_id = c.stmt_id group by all)
+"""
+
+
+@query("eligible_negatives", _RING + "select pair_id, stmt_id, cast(r as int) as rank, num_eligible from chosen")
 def eligible_negatives(spark, d):
-    return C.eligible_negatives(pairs(spark, d), statements(spark, d)).where("rank <= 32").select("pair_id", "stmt_id", "rank", "num_eligible")
+    return C.eligible_negatives(pairs(spark, d), statements(spark, d)).select("pair_id", "stmt_id", "rank", "num_eligible")
 
 
 def _negatives(spark, d):
     return C.negatives(pairs(spark, d), statements(spark, d))
 
 
-@query("negatives_report")
+@query("negatives_report", _RING + """
+  , a as (select count(*) as pairs, count(*) filter (where paper_id is null) as without_paper, count(*) filter (where positive_stmt_id is null) as without_positive, count(*) filter (where len(negatives) = 0) as without_negatives,
+          count(*) filter (where num_eligible > 32) as capped, cast(sum(num_eligible) as bigint) as eligible, cast(sum(len(negatives)) as bigint) as negatives, cast(floor(1000 * sum(len(negatives)) / count(*)) as bigint) as mean_thousandths from neg),
+  b as (select count(*) filter (where query is null) as missing_query, count(*) filter (where positive_text is null) as missing_positive_text, count(*) filter (where invoked_stmt_ids is null) as missing_invoked_stmt_ids from q)
+  select * from (unpivot a on * into name counter value n) union all select * from (unpivot b on * into name counter value n)""")
 def negatives_report(spark, d):
-    n = _negatives(spark, d)
-    return n.agg(F.count("*").alias("pairs"), F.sum(F.size("negatives")).alias("negatives"), F.count_if(F.size("negatives") == 0).alias("without"), F.count_if(F.col("num_eligible") > 32).alias("capped"), F.round(F.avg(F.size("negatives")), 6).alias("mean"))
+    return C.negatives_counters(pairs(spark, d), _negatives(spark, d))
 
 
 @query("pairs_of_category", "with " + PAIR + r"""
@@ -285,15 +299,24 @@ def pairs_of_prefix(spark, d):
     return C.filter_by_category(pairs(spark, d), read(spark, d, "paper_metadata"), "cs.", True).select("pair_id", "paper_id")
 
 
-@query("training_outcomes")
+_TRAIN = _RING + r"""
+  , tr as (select q.pair_id, regexp_replace(q.query, '^\s+|\s+$', '', 'g') as query, regexp_replace(q.positive_text, '^\s+|\s+$', '', 'g') as p, list_filter(list_transform(neg.negatives, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as negs from q join neg using (pair_id)),
+  rec as (select pair_id, query, p, list_filter(negs, lambda x: x <> p) as neg from tr),
+  outc as (select *, case when coalesce(length(query), 0) = 0 or coalesce(length(p), 0) = 0 then 'empty' when len(neg) < 4 then 'few_negatives' end as drop_reason from rec)
+"""
+
+
+@query("training_outcomes", _TRAIN + "select coalesce(drop_reason, 'kept') as outcome, count(*) as n, cast(sum(case when p is not null then len(neg) end) as bigint) as negatives from outc group by 1")
 def training_outcomes(spark, d):
     r = C.training_records(pairs(spark, d), _negatives(spark, d))
-    return r.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.size("neg")).alias("negatives"))
+    return r.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.when(F.get("pos", F.lit(0)).isNotNull(), F.size("neg"))).alias("negatives"))
 
 
-@query("training_sample")
+@query("training_sample", _TRAIN + """
+  select pair_id, query, p as pos, md5(array_to_string(neg, '|')) as neg_md5, 'Given a proof so far, find the statement it uses.' as prompt from outc where drop_reason is null order by md5('42:' || pair_id), pair_id limit 500""")
 def training_sample(spark, d):
-    return C.sampled_records(C.training_records(pairs(spark, d), _negatives(spark, d), prompt="Given a proof so far, find the statement it uses."), 500).select("pair_id", "query", "pos", "neg", "prompt")
+    r = C.sampled_records(C.training_records(pairs(spark, d), _negatives(spark, d), prompt="Given a proof so far, find the statement it uses."), 500)
+    return r.select("pair_id", "query", F.get("pos", F.lit(0)).alias("pos"), F.md5(F.array_join("neg", "|")).alias("neg_md5"), "prompt")
 
 
 def _held_out(spark, d):
