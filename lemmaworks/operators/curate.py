@@ -136,6 +136,70 @@ def evaluation_set(pairs: DataFrame, negs: DataFrame) -> tuple[DataFrame, DataFr
     return queries, numbered.drop("stmt_id"), qrels
 
 
+def first_negatives(pairs: DataFrame, statements: DataFrame, k: int = MAX_NEGATIVES) -> DataFrame:
+    """(pair_id, stmt_id, rank): without sampling, the first ``k`` eligible statements of the paper in order of position.
+
+    A pair names few statements, so the first k + |named| of its paper are all that it can need.
+    """
+    none = F.array().cast("array<string>")
+    p = pairs.select("pair_id", "paper_id", F.array_union(F.array("positive_stmt_id"), F.coalesce("invoked_stmt_ids", none)).alias("named")).dropDuplicates(["pair_id"])
+    s = statements.where("paper_id is not null and stmt_id is not null").groupBy("paper_id", "stmt_id").agg(F.min("char_start").alias("at"))
+    placed = running_total(s.withColumn("at", F.coalesce("at", F.lit(0))), ["paper_id", "at", "stmt_id"], None, "n", "places").select("paper_id", "stmt_id", "n")
+    placed = stage(placed, "placed")
+    first = placed.groupBy("paper_id").agg(F.min("n").alias("first"), F.count("*").alias("size"))
+    spots = placed.join(first, "paper_id").select("paper_id", "stmt_id", (F.col("n") - F.col("first")).alias("spot"))
+    asked = p.join(first.select("paper_id", "size"), "paper_id").select("pair_id", "paper_id", "named", F.explode(F.sequence(F.lit(0).cast("long"), F.least("size", F.lit(k) + F.size("named")) - 1)).alias("spot"))
+    met = asked.join(spots, ["paper_id", "spot"]).where(~F.coalesce(F.array_contains("named", F.col("stmt_id")), F.lit(False)))
+    return met.withColumn("rank", F.row_number().over(W.partitionBy("pair_id").orderBy("spot"))).where(F.col("rank") <= k).select("pair_id", "stmt_id", "rank")
+
+
+def training_hashes(files: DataFrame, file: str = "file", query: str = "query") -> DataFrame:
+    """(file, queries, distinct_hashes, new_hashes): queries of each training file and how many hashes no file before it had.
+
+    Files count in the order of their names; an empty or null query has no hash.
+    """
+    h = files.select(F.col(file).alias("file"), query_hash(F.col(query)).alias("h"))
+    first = h.where("h is not null").groupBy("h").agg(F.min("file").alias("file")).groupBy("file").agg(F.count("*").alias("new_hashes"))
+    all_ = h.groupBy("file").agg(F.count("*").alias("queries"), F.count_distinct("h").alias("distinct_hashes"))
+    return all_.join(first, "file", "left").select("file", "queries", "distinct_hashes", F.coalesce("new_hashes", F.lit(0).cast("long")).alias("new_hashes"))
+
+
+def evaluation_counters(pairs: DataFrame, training: DataFrame, limit: int = EVALUATION_QUERIES) -> DataFrame:
+    """(counter, n): candidates, those without query, leaked ones, kept and missing to the limit; ``no_overlap`` is 1 if nothing
+    leaked at all, which mostly means that the wrong training files were given."""
+    seen = training.select(query_hash(F.col("query")).alias("h")).where("h is not null").distinct().withColumn("leaked", F.lit(True))
+    h = pairs.withColumn("h", query_hash(F.col("query"))).join(seen, "h", "left")
+    leaked = F.count_if("leaked")
+    kept = F.least(F.count_if(F.col("query").isNotNull() & F.col("leaked").isNull()), F.lit(limit))
+    return counters(h.agg(F.count("*").alias("candidates"), F.count_if(F.col("query").isNull()).alias("without_query"), leaked.alias("leaked"), kept.alias("kept"), (F.lit(limit) - kept).alias("shortfall"), (leaked == 0).cast("int").alias("no_overlap")))
+
+
+def with_categories(rows: DataFrame, metadata: DataFrame, paper: str = "paper_id") -> DataFrame:
+    """rows + (categories, primary): the categories of their paper, ids compared as file names; null where there are none.
+
+    Of several rows of one paper the smallest string counts; only papers that occur are looked up.
+    """
+    need = rows.select(L.file_id(F.col(paper)).alias("k")).distinct()
+    m = metadata.where("categories is not null").select(L.file_id(F.col("id")).alias("k"), L.collapse(F.col("categories")).alias("categories")).join(need, "k", "left_semi").groupBy("k").agg(F.min("categories").alias("categories"))
+    return rows.withColumn("k", L.file_id(F.col(paper))).join(m, "k", "left").drop("k").withColumn("primary", F.get(L.tags(F.col("categories")), F.lit(0)))
+
+
+def whitelisted(categories: Column, allowed: list[str], primary_only: bool = True) -> Column:
+    """Whether the primary category, or any, is one of ``allowed``; false for none."""
+    t, ok = L.tags(categories), F.array(*map(F.lit, allowed))
+    return F.coalesce(F.array_contains(ok, F.get(t, F.lit(0))) if primary_only else F.arrays_overlap(t, ok), F.lit(False))
+
+
+def shown_points(rows: DataFrame, prefix: str = "math.") -> DataFrame:
+    """Points whose categories begin with ``prefix``; a missing category begins with nothing."""
+    return rows.where(F.startswith(F.coalesce("categories", F.lit("None")), F.lit(prefix)))
+
+
+def bucket_overlaps(runs: DataFrame, bucket: str = "bucket", qid: str = "qid") -> DataFrame:
+    """(qid, n) of queries that stand in several buckets; empty for a disjoint union."""
+    return runs.groupBy(qid).agg(F.count_distinct(bucket).alias("n")).where("n > 1")
+
+
 def audit(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, expected: int | None = None) -> DataFrame:
     """(check, n) of an evaluation set: sizes, duplicates, orphans, missing documents, the spread of relevances."""
     one = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("n"))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HIGHLIGHT_CAP, CATEGORY_CAP, PAPER_CAP, HISTORY_CAP = 50_000, 5, 10, 20
 
 
+class TooMany(ValueError):
+    """More values than an exploration query takes."""
+
+
 def capped(values: list[str], cap: int) -> list[str]:
-    """Distinct values in order, at most ``cap``."""
-    return list(dict.fromkeys(values))[:cap]
+    """Distinct values in order; more than ``cap`` are refused."""
+    out = list(dict.fromkeys(values))
+    if len(out) > cap:
+        raise TooMany(f"{len(out)} values, at most {cap} are allowed")
+    return out
 
 
 def facet_filter(points: DataFrame, categories: list[str], kind: str = "All", category_col: str = "categories", kind_col: str = "type") -> DataFrame:
@@ -68,9 +75,72 @@ def recent_history(events: DataFrame, key: list[str], at: str, cap: int = HISTOR
     return rows.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= cap)
 
 
-def category_options(points: DataFrame, selected: list[str], col: str = "categories", cap: int = CATEGORY_CAP) -> DataFrame:
-    """(category, ordinal, disabled): all categories in order; with the cap reached, those not selected are disabled."""
+def category_options(points: DataFrame, selected: list[str], col: str = "categories", cap: int = CATEGORY_CAP, order: list[str] | None = None) -> DataFrame:
+    """(category, ordinal, disabled): all categories in the global ``order`` (those it lacks behind it, by name); with the cap
+    reached, those not selected are disabled."""
     sel = capped(selected, cap)
     c = points.select(F.col(col).alias("category")).where("category is not null").distinct()
     full = F.lit(len(sel) >= cap) & ~F.col("category").isin(sel) if sel else F.lit(False)
-    return c.withColumn("ordinal", F.row_number().over(W.orderBy("category")) - 1).withColumn("disabled", full)
+    place = global_place(F.col("category"), order or [])
+    return c.withColumn("ordinal", F.row_number().over(W.orderBy(place, "category")) - 1).withColumn("disabled", full)
+
+
+def global_place(c: Column, order: list[str]) -> Column:
+    """The place of a category in a global order, whatever order it was chosen in; the order's length for others."""
+    at = F.array_position(F.array(*map(F.lit, order)), c) if order else F.lit(0)
+    return F.when(at > 0, at - 1).otherwise(F.lit(len(order))).cast("int")
+
+
+def point_by_id(points: DataFrame, point_id: int, id_col: str = "point_id", text_col: str = "text") -> DataFrame:
+    """The point with an id; a null text is shown empty."""
+    return points.where(F.col(id_col) == point_id).withColumn(text_col, F.coalesce(text_col, F.lit("")))
+
+
+def keyword_in_order(points: DataFrame, keyword: str, categories: list[str], order_col: str = "point_id", category_col: str = "categories") -> DataFrame:
+    """Points of the facets that contain the keyword, + ``ordinal``: facet by facet in the order given, then by ``order_col``."""
+    from lemmaworks.session import running_total
+
+    hit = keyword_filter(facet_filter(points, categories), keyword).withColumn("place", global_place(F.col(category_col), capped(categories, CATEGORY_CAP)))
+    return running_total(hit, ["place", order_col], None, "n", "hits").withColumn("ordinal", F.col("n") - 1).drop("n", "place")
+
+
+def history_key(kind: str, categories: Column, type_: Column, papers: Column, keyword: Column, point: Column) -> Column:
+    """What makes two history records one: a filter is known by categories, type, papers and keyword, a point by categories, type and itself."""
+    if kind == "point":
+        return F.struct(F.lit("point").alias("kind"), F.array_sort(categories).alias("a"), type_.alias("b"), point.cast("string").alias("c"))
+    return F.struct(F.lit("filter").alias("kind"), F.array_sort(categories).alias("a"), type_.alias("b"), F.concat_ws("|", F.concat_ws(",", F.array_sort(papers)), F.lower(F.trim(keyword))).alias("c"))
+
+
+def history_label(categories: Column, type_: Column, keyword: Column, point: Column) -> Column:
+    """A record in words; empty parts are left out."""
+    some = lambda c: F.when(F.length(c.cast("string")) > 0, c.cast("string"))
+    return F.concat_ws(" · ", some(F.concat_ws(", ", categories)), some(F.when(type_ != "All", type_)), some(F.concat(F.lit('"'), keyword, F.lit('"'))), some(F.concat(F.lit("point "), point.cast("string"))))
+
+
+def replay(history: DataFrame, points: DataFrame, id_col: str = "point_id") -> DataFrame:
+    """history (…, point_id) + ``visible``: whether the record's point is still there; records without a point always are."""
+    there = points.select(F.col(id_col), F.lit(True).alias("__there")).distinct()
+    return history.join(there, id_col, "left").withColumn("visible", F.col(id_col).isNull() | F.coalesce("__there", F.lit(False))).drop("__there")
+
+
+def figure_groups(points: DataFrame, order: list[str], category_col: str = "categories") -> DataFrame:
+    """(category, ordinal, n, low_x, high_x): what one trace of a figure needs, categories in a fixed order."""
+    g = points.where(F.col(category_col).isNotNull()).groupBy(F.col(category_col).alias("category")).agg(F.count("*").alias("n"), F.min("x").alias("low_x"), F.max("x").alias("high_x"))
+    return g.withColumn("ordinal", global_place(F.col("category"), order))
+
+
+def distinct_colours(palette: list[str], n: int) -> list[str]:
+    """``n`` colours (``#rrggbb``) of a palette, each as far as possible from those before it; the first is the palette's first."""
+    rgb = {c: tuple(int(c[i : i + 2], 16) for i in (1, 3, 5)) for c in palette}
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(rgb[a], rgb[b]))
+    out = palette[:1]
+    while len(out) < min(n, len(rgb)):
+        out.append(max((c for c in palette if c not in out), key=lambda c: min(far(c, o) for o in out)))
+    return out[:n]
+
+
+def status_line(shown: int, total: int, cap: int = HIGHLIGHT_CAP) -> str:
+    """What a search says of its result."""
+    if not total:
+        return "No point matches."
+    return f"{total:,} points match, more than {cap:,}: none is marked." if total > cap else f"{shown:,} of {total:,} points are marked."

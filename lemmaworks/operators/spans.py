@@ -13,6 +13,7 @@ import re
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lemmaworks.functions.latex import KINDS
@@ -164,5 +165,13 @@ def extract_papers(papers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def run_counters(found: DataFrame) -> DataFrame:
-    """Counters of a run: records of each part, texts with a replaced command, replacements, their share."""
-    return found.groupBy("part").agg(F.count("*").alias("records"), F.count_if(F.col("replaced") > 0).alias("touched"), F.sum("replaced").alias("replacements"), F.try_divide(F.sum("replaced"), F.count("*")).alias("ratio"))
+    """Counters of a run: records of each part, texts with a replaced command, replacements, characters, replacements a record."""
+    return found.groupBy("part").agg(
+        F.count("*").alias("records"), F.count_if(F.col("replaced") > 0).alias("touched"), F.sum("replaced").alias("replacements"), F.sum(F.length("text")).alias("characters"), F.try_divide(F.sum("replaced"), F.count("*")).alias("ratio")
+    )
+
+
+def with_definitions(definitions: DataFrame, statements: DataFrame) -> DataFrame:
+    """(paper_id, ordinal, id, text): a paper's definitions in their order, then its statements in theirs; both (paper_id, id, at, text)."""
+    both = definitions.select("paper_id", F.lit(0).alias("side"), "id", "at", "text").unionByName(statements.select("paper_id", F.lit(1).alias("side"), "id", "at", "text"))
+    return both.withColumn("ordinal", F.row_number().over(W.partitionBy("paper_id").orderBy("side", "at", "id")) - 1).drop("side", "at")

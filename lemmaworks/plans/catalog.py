@@ -55,17 +55,32 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("p6_found")
+_EDGES = r"""with recursive n as (select distinct stmt_id as id from trees where stmt_id is not null),
+  raw as (select stmt_id as src, regexp_replace(e, '^\s+|\s+$', '', 'g') as e, min(pos) as pos from (select stmt_id, unnest(depends_on) as e, unnest(range(len(depends_on))) as pos from trees) where e is not null group by 1, 2),
+  edge as (select src, dst, min(pos) as pos from (select src, coalesce(a.id, b.id) as dst, pos from raw left join n a on a.id = raw.e left join n b on b.id = (case when contains(raw.src, '::') then split_part(raw.src, '::', 1) else raw.src end) || '::' || raw.e
+           where raw.e <> '') where dst is not null group by 1, 2),
+"""
+_UP = _EDGES + """
+  par as (select src as id, arg_min(dst, struct_pack(p := pos, d := dst)) as parent from edge group by src),
+  up as (select id, parent as above from par union select up.id, par.parent from up join par on par.id = up.above),
+  walk as (select n.id, cast(null as varchar) as parent, n.id as root, 0 as depth, n.id as path from n left join par using (id) where par.parent is null
+           union all select par.id, par.parent, walk.root, walk.depth + 1, walk.path || ' > ' || par.id from walk join par on par.parent = walk.id),
+  h as (select n.id as stmt_id, par.parent, walk.root, walk.depth, walk.path, case when exists (select 1 from up where up.id = n.id and up.above = n.id) then 'cycle' when walk.id is null then 'below_cycle' else 'tree' end as status
+        from n left join par using (id) left join walk using (id))
+"""
+
+
+@query("p6_found", _EDGES + " reach as (select src as start, dst as node from edge union select r.start, e.dst from reach r join edge e on e.src = r.node) select start as stmt_id from reach where start = node")
 def p6_found(spark, d):
     return H.cycle_members(read(spark, d, "trees")).withColumnRenamed("id", "stmt_id")
 
 
-@query("p6_hierarchy")
+@query("p6_hierarchy", _UP + " select stmt_id, parent, root, depth, path, case when status <> 'cycle' then 1 + (select count(*) from up where up.above = h.stmt_id) end as subtree_size, status from h")
 def p6_hierarchy(spark, d):
-    return H.hierarchy(read(spark, d, "trees")).withColumnRenamed("id", "stmt_id")
+    return H.hierarchy(read(spark, d, "trees")).withColumnRenamed("id", "stmt_id").withColumn("path", F.array_join("path", " > "))
 
 
-@query("p6_descendants")
+@query("p6_descendants", _UP + " select up.above as ancestor, up.id as descendant, a.depth - b.depth as distance from up join h a on a.stmt_id = up.id join h b on b.stmt_id = up.above where a.status = 'tree'")
 def p6_descendants(spark, d):
     return H.descendants(H.hierarchy(read(spark, d, "trees")))
 
@@ -338,16 +353,70 @@ def evaluation_queries(spark, d):
     return C.evaluation_queries(test, train).select("pair_id", L.query_id(F.col("pair_id")).alias("qid"), F.md5("query").alias("query_md5"))
 
 
-@query("evaluation_corpus", _HELD + r""",
-  f as (select positive_stmt_id as stmt_id, min(pair_id) as first from ev where positive_stmt_id is not null group by 1)
-  select cast(row_number() over (order by first) - 1 as varchar) as docid, stmt_id from f""")
+_EVAL = _RING + r"""
+  , b as (select q.*, z.split from q join (select pair_id, min(split) as split from pair_splits group by pair_id) z using (pair_id)),
+  hs as (select distinct sha1(regexp_replace(query, '^\s+|\s+$', '', 'g')) as h from b where split = 'train' and query is not null),
+  ev as (select * from b where split = 'test' and query is not null and sha1(regexp_replace(query, '^\s+|\s+$', '', 'g')) not in (select h from hs) order by pair_id limit 10000),
+  picked as (select c.pair_id, c.stmt_id, c.r, sound.t from chosen c join sound using (stmt_id)),
+  docs as (select positive_stmt_id as stmt_id, 0 as side, pair_id, 0 as at_no, positive_text as t from ev union all select p.stmt_id, 1, p.pair_id, p.r, p.t from picked p join ev using (pair_id)),
+  first as (select distinct on (stmt_id) * from docs where stmt_id is not null order by stmt_id, side, pair_id, at_no)
+"""
+
+
+@query("evaluation_corpus", _EVAL + "select cast(row_number() over (order by side, pair_id, at_no) - 1 as varchar) as docid, md5(t) as text_md5 from first")
 def evaluation_corpus(spark, d):
     test, train = _held_out(spark, d)
     ev = C.evaluation_queries(test, train)
-    none = ev.select("pair_id", F.array().cast("array<struct<stmt_id:string,type:string,text:string>>").alias("negatives"))
-    _, corpus, qrels = C.evaluation_set(ev, none)
-    ids = qrels.select("docid", "qid").join(ev.select(L.query_id(F.col("pair_id")).alias("qid"), F.col("positive_stmt_id").alias("stmt_id")), "qid").select("docid", "stmt_id").distinct()
-    return ids.join(corpus.select(F.col("id").alias("docid")), "docid", "left_semi")
+    _, corpus, _ = C.evaluation_set(ev, C.negatives(ev, statements(spark, d)))
+    return corpus.select(F.col("id").alias("docid"), F.md5("text").alias("text_md5"))
+
+
+@query("evaluation_counters", _HELD + r"""
+  , t as (select * from b where split = 'test'), l as (select count(*) filter (where query is not null and sha1(regexp_replace(query, '^\s+|\s+$', '', 'g')) in (select h from h)) as leaked, count(*) as candidates, count(*) filter (where query is null) as without_query from t),
+  k as (select candidates, without_query, leaked, least(candidates - without_query - leaked, 10000) as kept, 10000 - least(candidates - without_query - leaked, 10000) as shortfall, cast(leaked = 0 as bigint) as no_overlap from l)
+  select * from (unpivot k on * into name counter value n)""")
+def evaluation_counters(spark, d):
+    return C.evaluation_counters(*_held_out(spark, d))
+
+
+@query("training_hashes", "with " + PAIR + r"""
+  f as (select z.source as file, sha1(regexp_replace(q.query, '^\s+|\s+$', '', 'g')) as h from q join (select pair_id, min(source) as source from pair_splits group by pair_id) z using (pair_id)),
+  n as (select file, count(*) as new_hashes from (select h, min(file) as file from f where h is not null group by h) group by file)
+  select f.file, count(*) as queries, count(distinct h) as distinct_hashes, coalesce(max(n.new_hashes), 0) as new_hashes from f left join n using (file) group by f.file""")
+def training_hashes(spark, d):
+    src = read(spark, d, "pair_splits").groupBy("pair_id").agg(F.min("source").alias("file"))
+    return C.training_hashes(pairs(spark, d).join(src, "pair_id").where("file is not null"))
+
+
+@query("first_negatives", "with " + STMT + PAIR + """
+  d as (select paper_id, stmt_id, coalesce(min(char_start), 0) as at_no from s where paper_id is not null and stmt_id is not null group by all),
+  e as (select q.pair_id, d.stmt_id, row_number() over (partition by q.pair_id order by at_no, d.stmt_id) as r from q join d using (paper_id) where not list_contains(list_prepend(q.positive_stmt_id, coalesce(q.invoked_stmt_ids, [])), d.stmt_id))
+  select pair_id, stmt_id, cast(r as int) as rank from e where r <= 32""")
+def first_negatives(spark, d):
+    return C.first_negatives(pairs(spark, d), statements(spark, d))
+
+
+_WHITE = ["math.AG", "math.NT", "math.CO"]
+
+
+@query("point_categories", "with " + r"""
+  m as (select translate(id, './', '__') as k, min(trim(regexp_replace(categories, '\s+', ' ', 'g'))) as categories from paper_metadata where categories is not null group by 1),
+  p as (select distinct doc_id, paper_id from documents), j as (select p.doc_id, p.paper_id, m.categories, nullif(string_split(m.categories, ' ')[1], '') as first from p left join m on m.k = translate(p.paper_id, './', '__'))
+  select doc_id, first as "primary", coalesce(first in ('math.AG', 'math.NT', 'math.CO'), false) as primary_listed, coalesce(list_has_any(string_split(categories, ' '), ['math.AG', 'math.NT', 'math.CO']), false) as any_listed,
+         coalesce(starts_with(categories, 'math.'), false) as shown from j""")
+def point_categories(spark, d):
+    rows = C.with_categories(read(spark, d, "documents").select("doc_id", "paper_id").distinct(), read(spark, d, "paper_metadata"))
+    shown = C.shown_points(rows).select("doc_id", F.lit(True).alias("shown")).distinct()
+    c = F.col("categories")
+    return rows.select("doc_id", "primary", C.whitelisted(c, _WHITE).alias("primary_listed"), C.whitelisted(c, _WHITE, False).alias("any_listed")).join(shown, "doc_id", "left").fillna(False, ["shown"])
+
+
+@query("category_papers", "with " + PAIR + r"""
+  k as (select distinct translate(id, './', '__') as k from paper_metadata where list_contains(string_split_regex(trim(categories), '\s+'), 'math.AG'))
+  select count(*) as pairs, count(distinct paper_id) as papers from q where translate(paper_id, './', '__') in (select k from k)""")
+def category_papers(spark, d):
+    kept = C.filter_by_category(pairs(spark, d), read(spark, d, "paper_metadata"), "math.AG")
+    return kept.agg(F.count("*").alias("pairs"), F.count_distinct("paper_id").alias("papers"))
 
 
 @query("evaluation_audit", "with " + PAIR + """
@@ -382,6 +451,16 @@ def dependency_closure(spark, d):
     return G.closure(edges).select("start", "node")
 
 
+@query("dependency_texts", _EDGES + STMT.replace("s as", "s0 as").rstrip().rstrip(",") + r""",
+  reach as (select src as start, dst as node, 1 as depth from edge where src <> dst union select r.start, e.dst, r.depth + 1 from reach r join edge e on e.src = r.node where e.dst <> r.start and r.depth < 60),
+  near as (select start, node, min(depth) as depth from reach where contains(start, '::s') group by all)
+  select start, near.node as stmt_id, depth, cast(row_number() over (partition by start order by depth, node) - 1 as int) as ordinal, md5(text) as text_md5 from near join s0 on s0.stmt_id = near.node where text is not null""")
+def dependency_texts(spark, d):
+    _, edges = H.resolve_entries(read(spark, d, "trees"))
+    out = G.dependency_texts(edges, statements(spark, d))
+    return out.select("start", "stmt_id", "depth", "ordinal", F.md5("text").alias("text_md5"))
+
+
 @query("routing_shares", """
   with c as (select distinct category from sample_targets), r as (select distinct on (qid) * from routing where category is not null and qid is not null order by qid, category)
   select c.category, count(r.qid) as n, round(100.0 * count(r.qid) / (select count(*) from r), 4) as percent from c left join r using (category) group by c.category""")
@@ -429,6 +508,58 @@ def retrieval_metrics(spark, d):
     return R.metrics(_run(spark, d, 100), rel)
 
 
+@query("retrieval_means", "with per as (" + _SQL["retrieval_metrics"] + ") select count(*) as judged, round(avg(ndcg), 6) as ndcg, round(avg(recall), 6) as recall from per")
+def retrieval_means(spark, d):
+    return R.mean_metrics(retrieval_metrics(spark, d))
+
+
+@query("reranked", _TOP + """,
+  f as (select r.qid, r.docid, r.rank as before, round(-list_sum(list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))), 6) as score from r join v a on a.vec_id = r.qid join v b on b.vec_id = r.docid where r.rank <= 50)
+  select qid, docid, score, cast(row_number() over (partition by qid order by score desc, before) as int) as rank from f""")
+def reranked(spark, d):
+    v = read(spark, d, "embeddings").select("vec_id", "embedding")
+    run = _run(spark, d, 50)
+    both = run.join(v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("a")), "qid").join(v.select(F.col("vec_id").alias("docid"), F.col("embedding").alias("b")), "docid")
+    dist = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    return R.rerank(run, both.select("qid", "docid", F.round(-dist, 6).alias("score")), 50)
+
+
+_ROUTED = """with v as (select vec_id, cast(embedding as double[]) as e, cast(label as varchar) as label from embeddings),
+  at_dim as (select label, i, avg(e[i]) as x from (select label, e, unnest(range(1, len(e) + 1)) as i from v where label is not null) group by all),
+  mean as (select label, list(x order by i) as c from at_dim group by label),
+  sim as (select vec_id, e, mean.label, round(list_cosine_similarity(e, c), 6) as s from v join mean on vec_id % 100 = 0),
+  route as (select vec_id, e, label from (select *, row_number() over (partition by vec_id order by s desc, label) as k from sim) where k = 1),
+  s as (select a.vec_id as qid, b.vec_id as docid, a.label as category, round(list_cosine_similarity(a.e, b.e), 6) as score from route a join v b on a.label = b.label and a.vec_id <> b.vec_id),
+  r as (select *, row_number() over (partition by qid order by score desc, docid) as rank from s)"""
+
+
+def _routed(spark, d, k):
+    v = read(spark, d, "embeddings")
+    asked = R.nearest_centroid(v.where("vec_id % 100 = 0"), v, "label")
+    return asked, R.routed_search(v.withColumn("label", F.col("label").cast("string")), asked, k, "label")
+
+
+@query("routed_search", _ROUTED + " select qid, docid, score, cast(rank as int) as rank from r where rank <= 20")
+def routed_search(spark, d):
+    return _routed(spark, d, 20)[1]
+
+
+@query("routed_metrics", _ROUTED + """,
+  rel as (select a.vec_id as qid, b.vec_id as docid from v a join v b on a.vec_id % 100 = 0 and a.label = b.label and a.vec_id <> b.vec_id),
+  n as (select qid, count(*) as n from rel group by qid), i as (select qid, n, (select sum(1 / log2(x + 1)) from range(1, least(n, 10) + 1) t(x)) as best from n),
+  h as (select rel.qid, sum(case when rank <= 10 then 1 / log2(rank + 1) end) as dcg, count(*) filter (where rank <= 100) as found from rel join r using (qid, docid) group by rel.qid),
+  per as (select i.qid, round(coalesce(dcg, 0) / best, 6) as ndcg, round(coalesce(found, 0) / n, 6) as recall from i left join h using (qid)),
+  acc as (select count(*) as n, round(avg(cast(route.label = v.label as int)), 6) as accuracy from route join v using (vec_id))
+  select count(*) as judged, round(avg(ndcg), 6) as ndcg, round(avg(recall), 6) as recall, max(acc.accuracy) as accuracy, (select count(*) from (select qid from rel except select qid from r)) as missing from per, acc""")
+def routed_metrics(spark, d):
+    v = read(spark, d, "embeddings")
+    asked, run = _routed(spark, d, 100)
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
+    rel = q.join(v.select(F.col("vec_id").alias("docid"), "label"), "label").where("qid <> docid").select("qid", "docid", F.lit(1).alias("relevance"))
+    acc = R.accuracy(asked.withColumn("label", F.col("label").cast("string")), "category", "label").select("accuracy")
+    return R.mean_metrics(R.metrics(run, rel)).crossJoin(acc).crossJoin(R.missing_queries(run, rel).agg(F.count("*").alias("missing")))
+
+
 @query("unit_vectors", """
   select vec_id, round(sqrt(list_sum(list_transform(cast(embedding as double[]), lambda x: x * x))), 6) as norm, 1.0 as unit from embeddings""")
 def unit_vectors(spark, d):
@@ -470,6 +601,13 @@ def paper_keyword(spark, d):
     return X.keyword_filter(X.paper_filter(points(spark, d), ["4501_00007", "7802_10017", "4501_00007"]), "measure").select("doc_id")
 
 
+@query("keyword_in_order", """
+  select doc_id, row_number() over (order by case source when 'wiki_dump' then 0 else 1 end, doc_id) - 1 as ordinal from (select distinct doc_id, source, text from documents) where source in ('wiki_dump', 'bulk_tex') and contains(lower(text), 'measure')""")
+def keyword_in_order(spark, d):
+    p = points(spark, d).select("doc_id", "categories", "text").distinct()
+    return X.keyword_in_order(p, "Measure", ["wiki_dump", "bulk_tex"], "doc_id").select("doc_id", "ordinal")
+
+
 @query("axis_extent", "select cast(floor(min(n_chars) / 5.0) * 5 as double) as low, cast((floor(max(n_chars) / 5.0) + 1) * 5 as double) as high from documents")
 def axis_extent(spark, d):
     return X.axis_extent(points(spark, d), "n_chars")
@@ -504,26 +642,6 @@ def first_texts(spark, d):
     return read(spark, d, "documents").where("text is not null").groupBy(F.md5("text").alias("text_md5")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("proofs_and_sections", """
-  select 'proof' as part, attach_confidence, count(*) as n from (select distinct on (proof_id) * from proofs) where len(title_refs) = 0 group by all
-  union all select 'section', attach_confidence, count(*) from (select distinct on (proof_id) * from proofs) where len(title_refs) > 0 group by all""")
-def proofs_and_sections(spark, d):
-    p = proofs(spark, d)
-    both = p.where(F.size("title_refs") == 0).select(F.lit("proof").alias("part"), "attach_confidence").unionByName(p.where(F.size("title_refs") > 0).select(F.lit("section").alias("part"), "attach_confidence"))
-    return both.groupBy("part", "attach_confidence").agg(F.count("*").alias("n"))
-
-
-@query("rendered_round_trip", r"""
-  select doc_id, n as stmt_no, 'lemma' as env, 'tag' || doc_id || '.' || n as label from (select doc_id, unnest([0, 1]) as n from documents)""")
-def rendered_round_trip(spark, d):
-    from lemmaworks.operators.spans import extract_papers
-
-    body = lambda i: F.concat(F.lit(f"\\begin{{lemma}}[T]\\label{{tag"), F.col("doc_id"), F.lit(f".{i}}} the claim holds for "), F.col("doc_id"), F.lit("\\end{lemma} some words between. "))
-    papers = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.concat(F.lit("\\section{One}\n"), body(0), F.lit("\\begin{proof} clear \\end{proof}"), body(1)).alias("text"))
-    s, _, _ = extract_papers(papers)
-    return s.select(F.col("paper_id").cast("bigint").alias("doc_id"), F.substring_index("stmt_id", "::s", -1).cast("int").alias("stmt_no"), "env", F.get("labels", F.lit(0)).alias("label"))
-
-
 def records_of(papers: DataFrame) -> DataFrame:
     """Statements, proofs and proof sections that the extraction finds in papers (paper_id, text), one row each."""
     from lemmaworks.operators.spans import extract_papers
@@ -574,15 +692,22 @@ def windowed_events(spark, d):
     return w(read(spark, d, "events"))
 
 
-@query("model_answers", r"""
-  with a as (select doc_id, '<think>' || doc_id || '</think> noise [{"id": "' || doc_id || '", "n": ' || (doc_id % 7) || '}] end' as answer from documents)
-  select doc_id, cast(doc_id as varchar) as id, doc_id % 7 as n, 2 as blocks from a""")
-def model_answers(spark, d):
-    k = F.col("doc_id").cast("string")
-    answer = F.concat(F.lit("<think>"), k, F.lit('</think> noise [{"id": "'), k, F.lit('", "n": '), (F.col("doc_id") % 7).cast("string"), F.lit("}] end"))
-    blocks = F.concat(F.lit("<think>x</think> one<|sep|> two <|sep|>one<|sep|> <|end|>"))
-    j = L.json_array(answer, "array<struct<id:string,n:bigint>>")
-    return read(spark, d, "documents").select("doc_id", F.get(j, F.lit(0))["id"].alias("id"), F.get(j, F.lit(0))["n"].alias("n"), F.size(L.definition_blocks(blocks)).alias("blocks"))
+@query("answer_blocks", r"""
+  with t as (select distinct doc_id, text from documents where text is not null),
+  b as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> '') as parts from t)
+  select doc_id, cast(len(list_distinct(parts)) as int) as blocks, md5(coalesce(parts[1], '')) as first_md5 from b""")
+def answer_blocks(spark, d):
+    t = read(spark, d, "documents").select("doc_id", "text").where("text is not null").distinct()
+    answer = F.concat(F.lit("<think>not this<|sep|></think>"), F.replace(F.col("text"), F.lit("\n\n"), F.lit("<|sep|>")), F.lit("<|end|>"))
+    blocks = t.select("doc_id", L.definition_blocks(answer).alias("b"))
+    return blocks.select("doc_id", F.size("b").alias("blocks"), F.md5(F.coalesce(F.get("b", F.lit(0)), F.lit(""))).alias("first_md5"))
+
+
+@query("rendered_counts", "with " + STMT + PRF + """
+  r as (select paper_id, 'statement' as part, cast(len(coalesce(labels, [])) as bigint) as k from s where text is not null and paper_id is not null union all select paper_id, 'proof', cast(len(coalesce(title_refs, [])) as bigint) from p where text is not null and paper_id is not null)
+  select paper_id, part, count(*) as n from r group by all""")
+def rendered_counts(spark, d):
+    return rendered_records(spark, d).where("part <> 'section'").groupBy("paper_id", "part").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

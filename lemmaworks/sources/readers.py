@@ -83,21 +83,32 @@ def read_lines(spark: SparkSession, path: str | None = None, literal: str | None
     return rows.select(F.trim("text").alias("text")).where("text <> ''")
 
 
-def read_runs(spark: SparkSession, root: str, bucket_ids: DataFrame, share: float = 0.9, skip: tuple[str, ...] = ("EVAL", "eval_results.json")) -> DataFrame:
+def read_runs(spark: SparkSession, root: str, bucket_ids: DataFrame, share: float = 0.9, skip: tuple[str, ...] = ("EVAL", "eval_results.json"), probe: int = 50) -> DataFrame:
     """(path, qid, docid, score) of search results below a folder.
 
-    A JSON object is a ranking if at least ``share`` of its keys are queries of ``bucket_ids`` (qid); else its values
-    are looked at, one level down.  Of several files the one with most queries wins.  Unreadable files are left out.
+    A JSON object is a ranking if at least ``share`` of its first ``probe`` keys are queries of ``bucket_ids`` (qid[, bucket]);
+    else its values are looked at, one level down.  Of several files the one with most queries of a bucket wins it.  Files
+    and folders named in ``skip``, and unreadable files, are left out.
     """
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.input_file_name().alias("path"), "value")
-    files = files.where(F.col("path").rlike(r"\.json$") & ~F.col("path").rlike("|".join(s.replace(".", r"\.") for s in skip)))
+    base = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
+    below = F.split(F.substring_index("path", base, -1), "/")
+    named = F.exists(below, lambda x: F.array_contains(F.array(*map(F.lit, skip)), F.regexp_replace(x, r"\.json$", "")) | F.array_contains(F.array(*map(F.lit, skip)), x))
+    files = files.where(F.col("path").rlike(r"\.json$") & ~named)
     run = "map<string, map<string, double>>"
-    flat = files.select("path", F.explode(F.from_json("value", run)).alias("qid", "docs"))
-    deep = files.select("path", F.explode(F.from_json("value", f"map<string, {run}>")).alias("k", "m")).select(F.concat_ws("#", "path", "k").alias("path"), F.explode("m").alias("qid", "docs"))
-    both = flat.unionByName(deep).where("docs is not null").join(bucket_ids.select("qid", F.lit(1).alias("known")).distinct(), "qid", "left")
-    good = both.groupBy("path").agg(F.avg(F.coalesce("known", F.lit(0))).alias("s"), F.count("*").alias("n")).where(F.col("s") >= share)
-    best = good.agg(F.max_by("path", F.struct("n", "path")).alias("path"))
-    return both.join(best, "path").select("path", "qid", F.explode("docs").alias("docid", "score"))
+    flat = files.select("path", F.posexplode(F.from_json("value", run)).alias("at", "qid", "docs"))
+    deep = files.select("path", F.explode(F.from_json("value", f"map<string, {run}>")).alias("k", "m")).select(F.concat_ws("#", "path", "k").alias("path"), F.posexplode("m").alias("at", "qid", "docs"))
+    known = bucket_ids.select("qid", (F.col("bucket") if "bucket" in bucket_ids.columns else F.lit("")).alias("bucket")).distinct()
+    both = flat.unionByName(deep).where("docs is not null").join(known, "qid", "left")
+    good = both.groupBy("path").agg(F.avg(F.when(F.col("at") < probe, F.col("bucket").isNotNull().cast("int"))).alias("s")).where(F.col("s") >= share)
+    most = both.join(good.select("path"), "path").where("bucket is not null").groupBy("bucket", "path").agg(F.count("*").alias("n"))
+    best = most.groupBy("bucket").agg(F.max_by("path", F.struct("n", "path")).alias("path"))
+    return both.join(best, ["bucket", "path"]).select("path", "qid", F.explode("docs").alias("docid", "score"))
+
+
+def missing_files(spark: SparkSession, root: str, names: list[str]) -> list[str]:
+    """Which of the files that a run needs are not below ``root``; a run starts only if none is."""
+    return [n for n in names if not exists(spark, f"{root.rstrip('/')}/{n}")]
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -37,8 +37,10 @@ def write_predictions(df: DataFrame, path: str, category, confidence, probs) ->
 
 
 def markdown_report(df: DataFrame, title: str, limit: int = 1000) -> str:
-    """A small table as Markdown."""
-    rows = df.limit(limit).collect()
+    """A small table as Markdown; more than ``limit`` rows are refused."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report has at most {limit} rows")
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows) + "\n"
 

@@ -24,6 +24,21 @@ def pending(tasks: DataFrame, sink: str, key: str) -> DataFrame:
     return tasks.join(done, key, "left_anti")
 
 
+def outcome_counters(done: DataFrame, status: str = "status") -> DataFrame:
+    """(counter, n): tasks of each status, and all."""
+    names = ("ok", "empty", "skip", "error")
+    one = done.agg(F.count("*").alias("tasks"), *[F.count_if(F.col(status) == n).alias(n) for n in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).alias("n")) for c in ("tasks", *names)])).alias("x")).select("x.*")
+
+
+def check_model(config: dict, classes: list[str], head_norm: float) -> None:
+    """What a classifier's checkpoint must promise: left padding, last-token pooling, the classes in their order, a head that is not zero."""
+    want = {"padding_side": "left", "pooling": "last_token_index_-1", "classes": list(classes)}
+    wrong = [k for k, v in want.items() if config.get(k) != v]
+    if wrong or not head_norm > 0:
+        raise ValueError(f"checkpoint does not fit: {', '.join(wrong) or 'its head is zero'}")
+
+
 def run_model(tasks: DataFrame, key: str, text: str, model: Callable[[list[str]], list[str | None]], budget: int = 150_000, size=F.length) -> DataFrame:
     """(key, answer, status): ``model`` on batches of texts.  Texts above the budget are 'skip', failures 'error',
     empty answers 'empty'; none of them ends the job."""
