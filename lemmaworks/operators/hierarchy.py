@@ -10,6 +10,7 @@ whole cluster, so neither a huge tree nor edges between groups need one task's m
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from lemmaworks.session import ship_code, stage, unstage
 #: A group of more nodes than this is peeled by joins; tasks hold about this many nodes at a time.
 GROUP_LIMIT = 50_000
 MAX_ROUNDS = 100_000
+#: Entries of paths that a task holds at a time.
+PATH_ENTRIES = 500_000
 
 
 def group_of(c: Column) -> Column:
@@ -82,9 +85,11 @@ def hierarchy(trees: DataFrame, id_col: str = "stmt_id", deps_col: str = "depend
     return near.unionByName(_peel_by_joins(far))
 
 
-def _peel_local(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, parent = pdf["id"].tolist(), dict(zip(pdf["id"], pdf["parent"]))
-    parent = {k: (v if isinstance(v, str) else None) for k, v in parent.items()}
+def _peel_local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole groups; rows leave in batches of bounded paths, and a path is made when its row leaves, so that a chain needs no
+    more memory than a star."""
+    got = pd.concat(list(frames))
+    ids, parent = got["id"].tolist(), {k: (v if isinstance(v, str) else None) for k, v in zip(got["id"], got["parent"])}
     waiting, size = defaultdict(int), dict.fromkeys(ids, 1)
     for v in parent.values():
         if v is not None:
@@ -97,17 +102,31 @@ def _peel_local(pdf: pd.DataFrame) -> pd.DataFrame:
             waiting[p] -= 1
             if not waiting[p]:
                 order.append(p)
-    peeled, path = set(order), {}
-    rows = []
+    peeled, root = set(order), {}
     for i in reversed(order):
         p = parent[i]
-        up = [] if p is None else path.get(p)
-        path[i] = None if up is None else up + [i]
-        q = path[i]
-        rows.append((i, p, q[0] if q else None, len(q) - 1 if q else None, q, size[i], "tree" if q else "below_cycle"))
+        root[i] = i if p is None else root.get(p)
+    rows, held = [], 0
+
+    def batch():
+        out = pd.DataFrame(rows, columns=["id", "parent", "root", "depth", "path", "subtree_size", "status"])
+        return out.astype({"depth": "Int32", "subtree_size": "Int64"})
+
+    for i in reversed(order):
+        path = None
+        if root[i] is not None:
+            path, at = [], i
+            while at is not None:
+                path.append(at)
+                at = parent[at]
+            path.reverse()
+        rows.append((i, parent[i], root[i], len(path) - 1 if path else None, path, size[i], "tree" if path else "below_cycle"))
+        held += len(path or ())
+        if held > PATH_ENTRIES:
+            yield batch()
+            rows, held = [], 0
     rows += [(i, parent[i], None, None, None, None, "cycle") for i in ids if i not in peeled]
-    out = pd.DataFrame(rows, columns=["id", "parent", "root", "depth", "path", "subtree_size", "status"])
-    return out.astype({"depth": "Int32", "subtree_size": "Int64"})
+    yield batch()
 
 
 def _peel_by_joins(tree: DataFrame) -> DataFrame:
@@ -126,6 +145,8 @@ def _peel_by_joins(tree: DataFrame) -> DataFrame:
         nxt = stage(rest, "live")
         unstage(live)
         live = nxt
+    else:
+        raise RuntimeError(f"a hierarchy is deeper than {MAX_ROUNDS}")
     none = lambda t: F.lit(None).cast(t)
     done = stage(live.select("id", "parent", none("array<string>").alias("path"), none("long").alias("size"), F.lit("cycle").alias("status")), "cycles")
     parts = [done]
@@ -197,25 +218,43 @@ def _cycles_local(pdf: pd.DataFrame) -> pd.DataFrame:
                 gone.add(w)
                 queue.append(w)
     live -= gone
-    found, seen = set(loops), set()
-    for v in live:  # forward and backward closure of a node, inside what remains
-        if v in seen:
+    return pd.DataFrame({"id": sorted(loops | _on_cycles(live, out))}, dtype=object)
+
+
+def _on_cycles(live: set, out: dict) -> set:
+    """Nodes of strongly connected parts of two nodes or more: one walk in depth over all nodes, without recursion."""
+    number, low, stack, held, found = {}, {}, [], set(), set()
+    for first in live:
+        if first in number:
             continue
-        part = _reach(v, out, live) & _reach(v, into, live)
-        seen |= part
-        if len(part) > 1:
-            found |= part
-    return pd.DataFrame({"id": sorted(found)}, dtype=object)
-
-
-def _reach(v: str, links: dict, live: set) -> set:
-    got, queue = {v}, [v]
-    for x in queue:
-        for y in links[x]:
-            if y in live and y not in got:
-                got.add(y)
-                queue.append(y)
-    return got
+        todo = [(first, iter(out[first]))]
+        number[first] = low[first] = len(number)
+        stack.append(first)
+        held.add(first)
+        while todo:
+            v, ways = todo[-1]
+            for w in ways:
+                if w not in live:
+                    continue
+                if w not in number:
+                    number[w] = low[w] = len(number)
+                    stack.append(w)
+                    held.add(w)
+                    todo.append((w, iter(out[w])))
+                    break
+                if w in held:
+                    low[v] = min(low[v], number[w])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
+                if low[v] == number[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(stack.pop())
+                    held.difference_update(part)
+                    found.update(part if len(part) > 1 else ())
+    return found
 
 
 def _cycles_by_joins(edges: DataFrame) -> DataFrame:

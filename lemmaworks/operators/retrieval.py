@@ -155,13 +155,12 @@ def metrics(run: DataFrame, qrels: DataFrame, k_ndcg: int = 10, k_recall: int =
     return out.select("qid", F.round(F.coalesce(F.try_divide("dcg", "best"), F.lit(0.0)), 6).alias("ndcg"), F.round(F.coalesce(F.try_divide("found", "n"), F.lit(0.0)), 6).alias("recall"))
 
 
-def routing_shares(routing: DataFrame, classes: list[str]) -> DataFrame:
-    """(category, n, percent) of all classes, also those without a query."""
-    spark = routing.sparkSession
-    c = spark.createDataFrame([(x,) for x in classes], "category string")
+def routing_shares(routing: DataFrame, classes: DataFrame) -> DataFrame:
+    """(category, n, percent) of all classes (category), also those without a query."""
     n = routing.groupBy("category").agg(F.count("*").alias("n"))
     total = routing.agg(F.count("*").alias("total"))
-    return c.join(n, "category", "left").crossJoin(total).select("category", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce(F.try_divide(100.0 * F.coalesce("n", F.lit(0)), F.col("total")), F.lit(0.0)), 4).alias("percent"))
+    rows = classes.select("category").where("category is not null").distinct().join(n, "category", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.crossJoin(total).select("category", "n", F.round(F.coalesce(F.try_divide(100.0 * F.col("n"), F.col("total")), F.lit(0.0)), 4).alias("percent"))
 
 
 def project(vectors: DataFrame, k: int = 2, id_col: str = "vec_id", vec_col: str = "embedding", decimals: int = 5) -> DataFrame:

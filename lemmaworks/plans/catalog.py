@@ -466,8 +466,7 @@ def dependency_texts(spark, d):
   select c.category, count(r.qid) as n, round(100.0 * count(r.qid) / (select count(*) from r), 4) as percent from c left join r using (category) group by c.category""")
 def routing_shares(spark, d):
     r = read(spark, d, "routing").where("category is not null and qid is not null").groupBy("qid").agg(F.min("category").alias("category"))
-    classes = [x["category"] for x in read(spark, d, "sample_targets").select("category").distinct().collect()]
-    return R.routing_shares(r, classes)
+    return R.routing_shares(r, read(spark, d, "sample_targets"))
 
 
 @query("routing_argmax", """

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
-_WRITTEN: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "lemmaworks", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -38,15 +37,30 @@ def build_session(app: str = "lemmaworks", cores: int | str = "*", shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if told:
-        return f"{told.rstrip('/')}/lemmaworks-{app}"
+    """This application's folder below ``spark.checkpoint.dir``; a folder of our own only where that is unset and the master is
+    local.  On a cluster without that setting nothing is written: executors would not find each other's files.  The folder
+    goes when the driver ends."""
+    sc = spark.sparkContext
+    app = sc.applicationId
     if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="lemmaworks-")
-        atexit.register(shutil.rmtree, _OWN[app], True)
-    return f"file://{_OWN[app]}"
+        told = sc.getConf().get("spark.checkpoint.dir", None)
+        if told:
+            _OWN[app] = f"{told.rstrip('/')}/lemmaworks-{app}"
+        elif sc.master.split("[")[0] == "local":
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lemmaworks-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        atexit.register(_leave, spark, _OWN[app])
+    return _OWN[app]
+
+
+def _leave(spark: SparkSession, folder: str) -> None:
+    """Delete all intermediates of an application."""
+    try:
+        delete_path(spark, folder)
+    except Exception:  # noqa: BLE001  the session may be gone; what is local can still be deleted
+        if folder.startswith(("file:", "/")):
+            shutil.rmtree(folder.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
 
 
 def stage(df: DataFrame, name: str = "stage", compression: str = "zstd") -> DataFrame:
@@ -55,11 +69,15 @@ def stage(df: DataFrame, name: str = "stage", compression: str = "zstd") -> Data
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(_nullable(df.schema)).parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     out._lemmaworks_path = path
     return out
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all intermediates written so far; results that were not written out yet can no longer be read."""
+    delete_path(spark, shared_dir(spark))
+
+
 def unstage(df: DataFrame | None) -> None:
     """Delete a staged table that nothing reads any more."""
     path = getattr(df, "_lemmaworks_path", None)

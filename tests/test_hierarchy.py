@@ -70,3 +70,23 @@ def test_closure(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "b"), (None, "x")], "src string, dst string")
     got = {(r["start"], r["node"]): r["depth"] for r in G.closure(e).collect()}
     assert got == {("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 3, ("b", "c"): 1, ("b", "a"): 2, ("b", "d"): 2, ("c", "a"): 1, ("c", "d"): 1, ("c", "b"): 2}
+
+
+def test_long_chain_in_batches(spark, monkeypatch):
+    rows = [("a::0", [])] + [(f"a::{i}", [str(i - 1)]) for i in range(1, 1500)] + [("a::x", ["y"]), ("a::y", ["x"])]
+    got = {r["id"]: r for r in H.hierarchy(trees(spark, rows)).collect()}
+    assert len(got) == 1502 and got["a::1499"]["depth"] == 1499 and got["a::1499"]["path"][:2] == ["a::0", "a::1"] and got["a::0"]["subtree_size"] == 1500 and got["a::x"]["status"] == "cycle"
+    ring = [(f"r::{i}", [str((i + 1) % 3000)]) for i in range(3000)]
+    assert len(cycles(spark, ring)) == 3000
+
+
+def test_limits_raise(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(H, "MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        H.hierarchy(trees(spark, [("a::0", [])] + [(f"a::{i}", [str(i - 1)]) for i in range(1, 6)]), limit=1).collect()
+    e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        G.closure(e, max_depth=3)
+    assert G.closure(e, max_depth=6).count() == 21
