@@ -1,9 +1,9 @@
 """Mixing sources to target shares of tokens by weighted fair queueing.
 
-Each source queues its documents in hash order, whole rounds of repeats one after the other.  A copy's
-virtual finish time is the running total of tokens of its source divided by the target share, and the mix
-is what finishes within the budget.  Finish times only filter the copies; no mixed order is made.  A source
-that runs out falls short without moving the others.
+Each source queues its documents in hash order, whole rounds of repeats one after the other.  A copy's virtual finish
+time is the running total of tokens of its source divided by the target share.  All copies are range-sorted by finish
+time and the mix is what stands before the total budget in that order, so sources alternate by their shares all along.
+A source that is used up falls short; the others go on in proportion until the budget is met.
 """
 
 from __future__ import annotations
@@ -42,15 +42,26 @@ def mix_plan(by_source: dict[str, tuple[int, int]], total: int, targets: list[di
         docs, tokens = by_source.get(t["name"], (0, 0))
         want = Decimal(str(t["target_share"] or 0)) * Decimal(str(t["budget_fraction"] or 0)) * total
         top = max(0, int(t["max_repeats"] or 0))
-        rounds = min(top, math.ceil(want / tokens) if tokens else 0)
-        out.append({"source": t["source"], "name": t["name"], "share": float(t["target_share"] or 0), "documents": docs, "tokens": tokens, "wanted": want, "rounds": int(rounds), "short": top * tokens < want})
+        out.append({"source": t["source"], "name": t["name"], "share": float(t["target_share"] or 0), "documents": docs, "tokens": tokens, "wanted": want, "top": top, "cap": top * tokens, "short": top * tokens < want})
     return out
 
 
+def virtual_end(steps: list[dict], budget: float) -> float:
+    """The virtual time at which the sources together have given ``budget`` tokens, none more than its cap; infinite if never."""
+    given, rate, now = 0.0, sum(s["share"] for s in steps if s["cap"] > 0), 0.0
+    for s in sorted((s for s in steps if s["cap"] > 0 and s["share"] > 0), key=lambda s: s["cap"] / s["share"]):
+        stop = s["cap"] / s["share"]
+        if given + rate * (stop - now) >= budget:
+            return now + (budget - given) / rate
+        given, now, rate = given + rate * (stop - now), stop, rate - s["share"]
+    return math.inf
+
+
 def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """``(uses, report)``.  uses: (id, source, tokens, repeats) of the documents in the mix.  report: one
-    row of each target source: (source, target_share, documents, tokens, wanted_tokens, mixed_tokens,
-    actual_share, short, missing_tokens).
+    """``(uses, report)``.  uses: (id, source, tokens, repeats, first_finish, first_place) of the documents in the mix: how often
+    each stands in it, and the virtual finish time and the place (tokens before it) of its first copy.  report: one row of
+    each target source: (source, target_share, documents, tokens, wanted_tokens, mixed_tokens, actual_share, short,
+    missing_tokens).  ``short``: even its last allowed copy finishes before the budget is met.
 
     Documents of no target source count for the total but not for the mix; so do documents without
     source.  Texts without tokens are never used.  Empty tables give an empty mix.
@@ -59,16 +70,21 @@ def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, id_co
     t = mix_targets(targets)
     known = [x["name"] for x in t]
     rows = counted.groupBy(F.when(F.col("name").isin(known), F.col("name")).alias("name")).agg(F.count("*").alias("d"), F.sum("tokens").alias("k")).collect()
-    steps = mix_plan({r["name"]: (r["d"], int(r["k"])) for r in rows if r["name"]}, sum(int(r["k"]) for r in rows), t)
-    return _uses(counted, steps, seed)
+    total = sum(int(r["k"]) for r in rows)
+    steps = mix_plan({r["name"]: (r["d"], int(r["k"])) for r in rows if r["name"]}, total, t)
+    budget = int(max([Decimal(str(x["budget_fraction"] or 0)) for x in t], default=Decimal(0)) * total)
+    return _uses(counted, steps, budget, seed)
 
 
-def _uses(counted: DataFrame, steps: list[dict], seed: int) -> tuple[DataFrame, DataFrame]:
+def _uses(counted: DataFrame, steps: list[dict], budget: int, seed: int) -> tuple[DataFrame, DataFrame]:
     spark = counted.sparkSession
-    table = spark.createDataFrame([(s["name"], s["rounds"], s["share"], float(s["wanted"])) for s in steps if s["rounds"] > 0], "name string, rounds int, share double, wanted double")
+    end = virtual_end(steps, budget)
+    for s in steps:  # as many rounds as can finish by then
+        s["rounds"] = 0 if not s["cap"] or not s["share"] else s["top"] if end == math.inf else min(s["top"], math.ceil(s["share"] * end / s["tokens"] + 1e-9))
+    table = spark.createDataFrame([(s["name"], s["rounds"], s["share"]) for s in steps if s["rounds"] > 0], "name string, rounds int, share double")
     copies = (
         counted.where("tokens > 0").join(F.broadcast(table), "name")
-        .withColumn("round", F.explode(F.sequence(F.lit(1), F.col("rounds")))).withColumn("h", F.xxhash64("id", "round", F.lit(seed)))
+        .withColumn("round", F.explode(F.sequence(F.lit(1), F.col("rounds")))).withColumn("h", F.xxhash64("id", "round", F.lit(seed))).drop("rounds")
     )
     queued = running_total(copies, ["name", "round", "h", "id"], "tokens", "upto", "queue")
     begin, at = [], 0
@@ -77,14 +93,13 @@ def _uses(counted: DataFrame, steps: list[dict], seed: int) -> tuple[DataFrame,
             begin.append((s["name"], at))
             at += s["rounds"] * s["tokens"]
     starts = spark.createDataFrame(begin, "name string, start long")
-    finish = ((F.col("upto") - F.col("start")) / F.col("share")).alias("finish")
-    budget = F.col("wanted") / F.col("share")
-    taken = queued.join(F.broadcast(starts), "name").select("id", "name", "tokens", "round", finish, budget.alias("budget")).where(F.col("finish") <= F.col("budget") + F.lit(1e-6))
-    uses = stage(taken.groupBy("id", "name", "tokens").agg(F.count("*").alias("repeats")), "uses")
-    mixed = {r["name"]: int(r["k"]) for r in uses.groupBy("name").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("k")).collect()}
-    whole = sum(mixed.values())
+    timed = queued.join(F.broadcast(starts), "name").select("id", "name", "tokens", "round", ((F.col("upto") - F.col("start")) / F.col("share")).alias("finish"))
+    mixed = running_total(timed, ["finish", "name", "round", "id"], "tokens", "place", "mixed").where(F.col("place") <= budget)
+    uses = stage(mixed.groupBy("id", "name", "tokens").agg(F.count("*").alias("repeats"), F.min("finish").alias("first_finish"), F.min(F.col("place") - F.col("tokens")).alias("first_place")), "uses")
+    given = {r["name"]: int(r["k"]) for r in uses.groupBy("name").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("k")).collect()}
+    whole = sum(given.values())
     report = spark.createDataFrame(
-        [(s["source"], s["share"], s["documents"], s["tokens"], float(s["wanted"]), mixed.get(s["name"], 0), mixed.get(s["name"], 0) / whole if whole else 0.0, s["short"], max(0.0, float(s["wanted"]) - mixed.get(s["name"], 0))) for s in steps],
+        [(s["source"], s["share"], s["documents"], s["tokens"], float(s["wanted"]), given.get(s["name"], 0), given.get(s["name"], 0) / whole if whole else 0.0, s["short"], max(0.0, float(s["wanted"]) - given.get(s["name"], 0))) for s in steps],
         "source string, target_share double, documents long, tokens long, wanted_tokens double, mixed_tokens long, actual_share double, short boolean, missing_tokens double",
     )
-    return uses.select("id", F.col("name").alias("source"), "tokens", "repeats"), report
+    return uses.select("id", F.col("name").alias("source"), "tokens", "repeats", "first_finish", "first_place"), report

@@ -61,7 +61,7 @@ def encoder(path: str):
 
 
 def code_blocks(df: DataFrame, id_col: str, text_col: str, carry: str | None = None) -> DataFrame:
-    """Blocks of documents: (block, ids, lens, carried, codes, words), staged.
+    """Blocks of documents: (block, ids, hashes, lens, carried, codes, words), staged; a hash is that of a row's text.
 
     ``codes`` is the block's pre-tokens, row after row, as numbers of ``words``.  A null or empty text has
     length 0.  A repeated row (same id and same text) is kept once.
@@ -70,7 +70,7 @@ def code_blocks(df: DataFrame, id_col: str, text_col: str, carry: str | None = N
     text = F.col(text_col)
     odd = text.rlike(UNKNOWN)
     cut = F.when(~odd, F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0)))
-    src = df.select(F.col(id_col).alias("id"), cut.alias("toks"), F.when(odd, text).alias("raw"), (F.col(carry) if carry else F.lit(None)).cast("string").alias("carried"))
+    src = df.select(F.col(id_col).alias("id"), cut.alias("toks"), F.when(odd, text).alias("raw"), (F.col(carry) if carry else F.lit(None)).cast("string").alias("carried"), F.xxhash64(F.coalesce(text, F.lit("")), F.col(carry) if carry else F.lit(None)).alias("hash"))
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -93,13 +93,13 @@ def code_blocks(df: DataFrame, id_col: str, text_col: str, carry: str | None = N
                 codes = enc.indices.to_numpy(zero_copy_only=False)
                 small = np.uint16 if len(enc.dictionary) <= 1 << 16 else np.uint32
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) + number], pa.int64()), list_array_any(b.column(0).slice(lo, hi - lo)), list_array(lens[lo:hi], [hi - lo], pa.int32()), list_array_any(b.column(3).slice(lo, hi - lo)),
+                    [pa.array([(task << 32) + number], pa.int64()), list_array_any(b.column(0).slice(lo, hi - lo)), list_array_any(b.column(4).slice(lo, hi - lo)), list_array(lens[lo:hi], [hi - lo], pa.int32()), list_array_any(b.column(3).slice(lo, hi - lo)),
                      pa.array([codes.astype(small).tobytes()], pa.binary()), pa.array([len(enc.dictionary)], pa.int32()), list_array_any(enc.dictionary.cast(pa.string()))],
-                    names=["block", "ids", "lens", "carried", "codes", "n_words", "words"],
+                    names=["block", "ids", "hashes", "lens", "carried", "codes", "n_words", "words"],
                 )
                 number, lo = number + 1, hi
 
-    schema = f"block bigint, ids array<{kind}>, lens array<int>, carried array<string>, codes binary, n_words int, words array<string>"
+    schema = f"block bigint, ids array<{kind}>, hashes array<bigint>, lens array<int>, carried array<string>, codes binary, n_words int, words array<string>"
     return stage(src.mapInArrow(run, schema), "blocks")
 
 
@@ -132,23 +132,21 @@ def _with_dictionaries(blocks: DataFrame, path: str, lengths_only: bool) -> Data
 
 
 def _seen_before(blocks: DataFrame) -> DataFrame | None:
-    """(block, skip): places of rows that repeat an earlier row's id; None if no id repeats.
-
-    Rows of one id with the same number of pre-tokens are taken to be one row.
-    """
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("ids", "lens")).alias("at", "r")).select("block", "at", F.col("r.ids").alias("id"), F.col("r.lens").alias("len"))
-    twice = rows.groupBy("id", "len").agg(F.count("*").alias("k"), F.min(F.struct("block", "at")).alias("first")).where("k > 1")
+    """(block, skip): places of rows that repeat an earlier row, its id and its text (by a 64-bit hash); None if no row repeats."""
+    rows = blocks.select("block", F.posexplode(F.arrays_zip("ids", "hashes")).alias("at", "r")).select("block", "at", F.col("r.ids").alias("id"), F.col("r.hashes").alias("hash"))
+    twice = rows.groupBy("id", "hash").agg(F.count("*").alias("k"), F.min(F.struct("block", "at")).alias("first")).where("k > 1")
     twice = stage(twice, "repeats")
     if not twice.limit(1).count():
         return None
-    again = rows.join(twice.select("id", "len", "first"), ["id", "len"]).where(F.struct("block", "at") != F.col("first"))
+    again = rows.join(twice, (rows["id"].eqNullSafe(twice["id"])) & (rows["hash"] == twice["hash"])).where(F.struct("block", "at") != F.col("first"))
     return again.groupBy("block").agg(F.collect_list("at").alias("skip"))
 
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
     """(id, ids): the token ids of every row's text, an empty list for null and empty texts.
 
-    Repeated rows count once; a row with a null id is kept.  No special tokens: their names in a text
+    Repeated rows (same id and text; null and empty are one) count once, also those with a null id; an id with several texts
+    has a row for each.  No special tokens: their names in a text
     are ordinary text.
     """
     path = path or vocabulary_path()

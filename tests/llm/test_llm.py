@@ -283,6 +283,24 @@ def test_mix(spark):
     assert r["big"]["short"] is False and r["none"]["short"] and all(x["repeats"] <= (1 if x["source"] == "big" else 2) for x in u)
     assert 0 <= r["big"]["missing_tokens"] < 400 and r["big"]["mixed_tokens"] == sum(x["tokens"] * x["repeats"] for x in u if x["source"] == "big")
     assert mixing.mix(docs.limit(0), targets)[0].collect() == []
+    # the queue, copy by copy: shares hold at every place of the mix while no source is used up, and the budget is the end
+    whole = sum(x["tokens"] for x in tokens.count_tokens(docs, "doc_id", "text", "source").collect())
+    used = sum(x["tokens"] * x["repeats"] for x in u)
+    assert used <= whole * 0.5 and used > whole * 0.5 - 130
+    assert all(x["first_finish"] > 0 and 0 <= x["first_place"] < whole * 0.5 for x in u)
+    early = [x for x in u if x["first_place"] + x["tokens"] <= used // 3]
+    part = Counter()
+    for x in early:
+        part[x["source"]] += x["tokens"]
+    assert abs(part["big"] / sum(part.values()) - 0.5 / 0.8) < 0.05
+    assert [x["first_place"] for x in sorted(u, key=lambda x: x["first_finish"])] == sorted(x["first_place"] for x in u)
+
+
+def test_virtual_end():
+    steps = [{"share": 0.5, "cap": 100, "tokens": 100}, {"share": 0.3, "cap": 10_000, "tokens": 1000}, {"share": 0.2, "cap": 0, "tokens": 0}]
+    v = mixing.virtual_end(steps, 400)
+    assert abs(sum(min(s["cap"], s["share"] * v) for s in steps) - 400) < 1e-6
+    assert mixing.virtual_end(steps, 10**9) == float("inf") and mixing.virtual_end([], 5) == float("inf")
 
 
 # Token ids -----------------------------------------------------------------------------------------------------------------
@@ -305,6 +323,9 @@ def test_token_ids(spark):
     n = {r["id"]: r["tokens"] for r in tokens.count_tokens(df, "doc_id", "text", "ids").collect()}
     assert n == {k: len(v) for k, v in got.items()}
     assert tokens.encode_corpus(df.limit(0), "doc_id", "text").collect() == []
+    twice = spark.createDataFrame([(1, "alpha beta gamma", "s"), (1, "delta beta gamma", "s"), (1, "alpha beta gamma", "s"), (None, "x", "s"), (None, "x", "s"), (3, None, "s"), (3, "", "s")], "doc_id bigint, text string, source string").repartition(4)
+    assert sorted(r["doc_id"] or 0 for r in tokens.encode_corpus(twice, "doc_id", "text").collect()) == [0, 1, 1, 3]
+    assert tokens.count_tokens(twice, "doc_id", "text", "source").count() == 4
 
 
 # Wrong encodings ----------------------------------------------------------------------------------------------------------------
