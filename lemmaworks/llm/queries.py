@@ -57,6 +57,11 @@ def p4_sample(spark, d):
     return sample.draw(_read(spark, d, "pairs"), _read(spark, d, "routing"), _read(spark, d, "sample_targets"))[0]
 
 
+def p4_margins(spark, d):
+    m = sample.draw_margins(_read(spark, d, "pairs"), _read(spark, d, "routing"), _read(spark, d, "sample_targets"))[2]
+    return m.select("margin", "value", *[F.round(c, 6).alias(c) for c in ("target_share", "actual_share", "residual")], "drawn")
+
+
 def p4_report(spark, d):
     return sample.draw(_read(spark, d, "pairs"), _read(spark, d, "routing"), _read(spark, d, "sample_targets"))[1]
 
@@ -103,7 +108,7 @@ def p9_restored(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean,
-        "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p5_found": p5_found, "p5_report": p5_report, "p7_ids": p7_ids,
+        "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p4_margins": p4_margins, "p5_found": p5_found, "p5_report": p5_report, "p7_ids": p7_ids,
         "p8_found": p8_found, "p8_uses": p8_uses, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored,
     }
 

@@ -111,8 +111,48 @@ def plan(counts: dict[str, int], targets: list[dict]) -> tuple[int, list[dict]]:
     return n, out
 
 
+def cell_takes(cells: dict[tuple, int], w: dict[tuple, float], takes: dict[str, int]) -> dict[tuple, int]:
+    """Rows to take of each cell: a category's number in proportion to the raked cells, at most what a cell has (the rest goes to
+    the other cells of the category), rounded by largest remainders."""
+    out = {}
+    for c, take in takes.items():
+        free, left = {k: cells[k] * w.get(k, 1.0) for k in cells if k[0] == c}, take
+        got: dict[tuple, float] = {}
+        while free and left > 0:
+            whole = sum(free.values())
+            want = {k: left * x / whole if whole > 0 else left / len(free) for k, x in free.items()}
+            full = [k for k in free if want[k] >= cells[k]]
+            if not full:
+                got |= want
+                break
+            for k in full:
+                got[k] = cells[k]
+                left -= cells[k]
+                del free[k]
+        base = {k: int(x + 1e-9) for k, x in got.items()}
+        spare = take - sum(base.values())
+        for k in sorted(got, key=lambda k: (-(got[k] - base[k]), k)):
+            if spare > 0 and base[k] < cells[k]:
+                base[k] += 1
+                spare -= 1
+        out |= base
+    return out
+
+
 def draw(pairs: DataFrame, routing: DataFrame, targets: DataFrame, seed: str = "sample") -> tuple[DataFrame, DataFrame]:
-    """``(drawn, report)``.  drawn: (pair_id, category).  report: one row of each target category.
+    """``(drawn, report)`` of ``draw_margins`` with the pool's own shares of positive_type as second margin; drawn: (pair_id, category)."""
+    drawn, report, _ = draw_margins(pairs, routing, targets, None, seed)
+    return drawn.select("pair_id", "category"), report
+
+
+def draw_margins(pairs: DataFrame, routing: DataFrame, targets: DataFrame, levels_wanted: dict[str, float] | None = None, seed: str = "sample") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(drawn, report, margins)``.  drawn: (pair_id, category, level).  report: one row of each target category.  margins:
+    (margin, value, target_share, drawn, actual_share, residual) of every target category and level, and of the size of the
+    sample, whose shares are of the size wanted.
+
+    The cells of category and level (positive_type) are raked to the numbers of the categories and the shares of the levels,
+    ``levels_wanted`` or the pool's own.  Rows are ordered by weighted exponential keys; the numbers of the cells are then
+    repaired to the raked ones, so that categories are exact and levels leave a residual only where the pool lacks rows.
 
     Pairs without category, unknown categories (no target) and repeated rows are not drawn.  Empty tables
     give an empty sample and a report of zeros.
@@ -130,20 +170,28 @@ def draw(pairs: DataFrame, routing: DataFrame, targets: DataFrame, seed: str = "
     n, steps = plan(counts, t)
     whole = sum(levels.values()) or 1.0
     want = {x["category"]: x["target_share"] for x in steps}
-    w = rake({k: v for k, v in cells.items() if k[0] in want}, [want, {lv: k / whole for lv, k in levels.items()}])
+    level_share = levels_wanted if levels_wanted is not None else {lv: k / whole for lv, k in levels.items()}
+    takes = {x["category"]: x["take"] for x in steps}
+    inside = {k: v for k, v in cells.items() if takes.get(k[0])}
+    w = rake(inside, [{c: k / max(1, sum(takes.values())) for c, k in takes.items() if k}, level_share])
+    quota = cell_takes(inside, w, takes)
     weights = spark.createDataFrame([(c, lv, float(x)) for (c, lv), x in w.items()], "category string, level string, w double")
     u = (F.pmod(F.xxhash64("pair_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = pool.join(F.broadcast(weights), ["category", "level"]).withColumn("key", -F.log(u) / F.greatest("w", F.lit(1e-300)))
-    ranked = running_total(keyed, ["category", "key", "pair_id"], None, "rank", "ranked")
-    begin, at = {}, 0
-    for c in sorted(c for c in counts if c in want):
-        begin[c] = at
-        at += counts[c]
-    cut = spark.createDataFrame([(x["category"], begin.get(x["category"], 0), x["take"]) for x in steps], "category string, begin long, take long")
-    drawn = ranked.join(F.broadcast(cut), "category").where("rank - begin <= take").select("pair_id", "category")
+    keyed = pool.join(F.broadcast(weights), ["category", "level"]).withColumn("key", -F.log(u) / F.greatest("w", F.lit(1e-300))).drop("w")
+    ranked = running_total(keyed, ["category", "level", "key", "pair_id"], None, "rank", "ranked")
+    begin, at = [], 0
+    for c, lv in sorted(inside):
+        begin.append((c, lv, at, quota.get((c, lv), 0)))
+        at += inside[c, lv]
+    cut = spark.createDataFrame(begin, "category string, level string, begin long, take long")
+    drawn = ranked.join(F.broadcast(cut), ["category", "level"]).where("rank - begin <= take").select("pair_id", "category", "level")
+    drawn = stage(drawn, "drawn")
     taken = sum(x["take"] for x in steps)
     report = spark.createDataFrame(
         [(x["category"], x["target_share"], x["pool_rows"], x["needed"], x["quota"], x["take"], x["take"] / taken if taken else 0.0, x["short"], max(0, x["needed"] - x["pool_rows"])) for x in steps],
         "category string, target_share double, pool_rows long, needed long, quota long, drawn long, actual_share double, short boolean, gap long",
     )
-    return drawn, report
+    got = {r["level"]: r["k"] for r in drawn.groupBy("level").agg(F.count("*").alias("k")).collect()}  # at most as many as cells
+    rows = [("category", x["category"], x["target_share"], x["take"], taken) for x in steps] + [("level", lv, float(level_share.get(lv, 0.0)), got.get(lv, 0), taken) for lv in sorted({*level_share, *got})] + [("size", "sample", 1.0, taken, n)]
+    margins = spark.createDataFrame([(m, v, t_, k, k / o if o else 0.0, (k / o if o else 0.0) - t_) for m, v, t_, k, o in rows], "margin string, value string, target_share double, drawn long, actual_share double, residual double")
+    return drawn, report, margins

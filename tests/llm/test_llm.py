@@ -268,6 +268,12 @@ def test_sample(spark):
     again = {x["pair_id"] for x in sample.draw(pairs.repartition(5), routing, targets)[0].collect()}
     assert again == {x["pair_id"] for x in drawn.collect()}
     assert sample.draw(pairs.limit(0), routing, targets)[0].collect() == []
+    # one category only on one side: the other margin still comes near its target, and what is missing is told
+    big = spark.createDataFrame([(f"p::pair{i:05d}", "Lemma" if i % 4 else "Claim", i) for i in range(8000)], "pair_id string, positive_type string, category int")
+    both = spark.createDataFrame([(f"{i:05d}", ["math.CO", "math.AG", "math.GT"][i % 3], 0.5) for i in range(8000)], "qid string, category string, confidence double")
+    _, _, m = sample.draw_margins(big, both, targets, {"Lemma": 0.5, "Claim": 0.5})
+    m = {(r["margin"], r["value"]): r for r in m.collect()}
+    assert m["size", "sample"]["drawn"] == 2376 and abs(m["level", "Claim"]["residual"]) < 0.001 and abs(m["category", "math.CO"]["residual"]) < 0.01 and m["category", "math.LO"]["drawn"] == 0
     w = sample.rake({("a", "x"): 10, ("a", "y"): 30, ("b", "x"): 40, ("b", "y"): 20}, [{"a": 0.5, "b": 0.5}, {"x": 0.3, "y": 0.7}])
     share = {k: v * w[k] for k, v in {("a", "x"): 10, ("a", "y"): 30, ("b", "x"): 40, ("b", "y"): 20}.items()}
     whole = sum(share.values())
