@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaworks.llm import markup, mixing, mojibake, neardup, overlap, sample, splits, tokens
+from lemmaworks.session import shared_dir
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,6 +25,11 @@ def p1_splits(spark, d):
     return splits.record_splits(_read(spark, d, "statements"), _read(spark, d, "pairs"), _read(spark, d, "split_targets"))
 
 
+def p1_batches(spark, d):
+    table = f"{shared_dir(spark)}/paper-components-{uuid.uuid4().hex}"
+    return splits.splits_in_batches(_read(spark, d, "statements"), _read(spark, d, "pairs"), _read(spark, d, "split_targets"), table)
+
+
 def p2_found(spark, d):
     out = neardup.duplicate_pairs(_read(spark, d, "statements"), "stmt_id", "text")
     return out.select(F.col("id_a").alias("stmt_id_a"), F.col("id_b").alias("stmt_id_b"))
@@ -107,7 +114,7 @@ def p9_restored(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean,
+        "p1_found": p1_found, "p1_splits": p1_splits, "p1_batches": p1_batches, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean,
         "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p4_margins": p4_margins, "p5_found": p5_found, "p5_report": p5_report, "p7_ids": p7_ids,
         "p8_found": p8_found, "p8_uses": p8_uses, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored,
     }

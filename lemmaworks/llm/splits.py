@@ -11,10 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lemmaworks.llm.components import connected_components
-from lemmaworks.session import stage
+from lemmaworks.session import running_total, stage
 
 #: Forms of an identifier once white space at the ends is gone and letters are lower case (fixed values).
 #: New style: four digits, a separator, four or five digits.  Old style: archive, maybe a subject class, seven digits.
@@ -24,7 +23,6 @@ OLD_STYLE = r"^(?:.*[/:\s])?([a-z]+(?:-[a-z]+)*)(?:[._]([a-z]{2}))?[/_]([0-9]{7}
 
 #: Components of at least this fraction of all records are placed one by one (there are at most 1 / it of them).
 LARGE = 0.001
-BUCKETS = 1024
 
 
 def paper_name(raw: Column) -> Column:
@@ -66,8 +64,9 @@ def assign_splits(new: DataFrame, old: DataFrame | None, targets: list[tuple[str
     """Give every new component a split such that the shares of all records come near the targets.
 
     ``new``: (component, weight).  ``old``: (component, split, weight) placed earlier, kept as they are.
-    Large components are placed one by one where the deficit is greatest; the many small ones are dealt
-    in hash order, bucket by bucket, and rows of a bucket on a border are cut at the border.
+    Large components (at least LARGE of all records, so at most 1 / LARGE of them) are placed one by one where the
+    deficit is greatest; the many small ones are dealt in hash order, each to the split in whose part of their running
+    total its middle lies.
     """
     spark = new.sparkSession
     names = sorted(n for n, _ in targets)
@@ -75,7 +74,7 @@ def assign_splits(new: DataFrame, old: DataFrame | None, targets: list[tuple[str
     have = {n: 0 for n in names}
     if old is not None:
         have |= {r["split"]: int(r["w"]) for r in old.where("split is not null").groupBy("split").agg(F.sum("weight").alias("w")).collect() if r["split"] in have}
-    new = stage(new.select("component", F.col("weight").cast("long").alias("weight"), F.pmod(F.xxhash64("component"), F.lit(BUCKETS)).cast("int").alias("bucket")), "unplaced")
+    new = stage(new.select("component", F.col("weight").cast("long").alias("weight")), "unplaced")
     total = sum(have.values()) + int(new.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
     scale = sum(share.values()) or 1.0
     deficit = {n: share[n] / scale * total - have[n] for n in names}
@@ -87,26 +86,20 @@ def assign_splits(new: DataFrame, old: DataFrame | None, targets: list[tuple[str
         placed.append((r["component"], best))
     large = spark.createDataFrame(placed, "component string, split string")
     small = new.where(F.col("weight") < floor)
-    weights = {r["bucket"]: int(r["w"]) for r in small.groupBy("bucket").agg(F.sum("weight").alias("w")).collect()}
     # the splits' intervals on the running total of the small components
     room = {n: max(0.0, deficit[n]) for n in names}
-    rest = sum(weights.values())
+    rest = int(small.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
     f = rest / sum(room.values()) if sum(room.values()) else 0.0
     ends, at = [], 0.0
     for n in names:
         at += room[n] * f
         ends.append((n, at))
-    offsets, at = [], 0
-    for b in sorted(weights):
-        offsets.append((b, at))
-        at += weights[b]
-    off = spark.createDataFrame(offsets, "bucket int, off long")
-    w = W.partitionBy("bucket").orderBy(F.xxhash64("component", F.lit(7)), "component").rowsBetween(W.unboundedPreceding, -1)
-    mid = F.col("off") + F.coalesce(F.sum("weight").over(w), F.lit(0)) + F.col("weight") / 2
+    placed_small = running_total(small.withColumn("h", F.xxhash64("component", F.lit(7))), ["h", "component"], "weight", "upto", "dealt")
+    mid = F.col("upto") - F.col("weight") / 2
     split = F.lit(names[-1])
     for n, end in reversed(ends[:-1]):
         split = F.when(mid < F.lit(end), F.lit(n)).otherwise(split)
-    dealt = small.join(F.broadcast(off), "bucket").withColumn("split", split).select("component", "split")
+    dealt = placed_small.withColumn("split", split).select("component", "split")
     return dealt.unionByName(large)
 
 
@@ -144,6 +137,24 @@ def update_components(existing: DataFrame | None, batch: DataFrame, targets: lis
     return comp.join(final, "component").select("paper_id", "component", "split", "weight", "quarantined")
 
 
+def persisted_update(path: str, batch: DataFrame, targets: list[tuple[str, float]], links: DataFrame | None = None) -> DataFrame:
+    """Merge a batch into the component table stored at ``path`` and store the result as its next version.
+
+    The table is read from the newest complete version (none: it starts empty) and every update writes a version of its
+    own, so a run that is lost in the middle leaves the last one as it was, and is simply run again.
+    """
+    spark = batch.sparkSession
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    done = sorted(n for n in names if n.startswith("version-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+    known = spark.read.parquet(f"{path}/{done[-1]}") if done else None
+    out = f"{path}/version-{len(names):08d}"
+    update_components(known, batch, targets, links).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def target_list(targets: DataFrame, name: str = "split", share: str = "target_share") -> list[tuple[str, float]]:
     """Targets as a list (a small table by nature; more than 1,000 rows are refused)."""
     rows = targets.select(name, share).where(f"{name} is not null").distinct().limit(1001).collect()
@@ -152,8 +163,8 @@ def target_list(targets: DataFrame, name: str = "split", share: str = "target_sh
     return sorted((r[0], float(r[1] or 0)) for r in rows)
 
 
-def record_splits(statements: DataFrame, pairs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(kind, record_id, split, quarantined) of every statement and pair.
+def paper_records(statements: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(kind, record_id, paper_id, at) of every statement and pair, once: its paper's spelling and when it came.
 
     A statement without paper_id belongs to the paper in front of ``::`` in its stmt_id, a pair without
     one to the paper of its positive statement's id.  Repeated records count once; records without id and
@@ -161,9 +172,38 @@ def record_splits(statements: DataFrame, pairs: DataFrame, targets: DataFrame) -
     """
     head = lambda c: F.regexp_extract(c, r"^(.*?)::", 1)
     some = lambda a, c: F.coalesce(F.col(a), F.when(head(c) != "", head(c)))
-    s = statements.select(F.lit("statement").alias("kind"), F.col("stmt_id").alias("record_id"), some("paper_id", "stmt_id").alias("paper_id"))
-    p = pairs.select(F.lit("pair").alias("kind"), F.col("pair_id").alias("record_id"), some("paper_id", "positive_stmt_id").alias("paper_id"))
-    rec = s.unionByName(p).where("record_id is not null and paper_id is not null").groupBy("kind", "record_id").agg(F.min("paper_id").alias("paper_id"))
-    rec = stage(rec, "records")
-    table = update_components(None, rec.groupBy("paper_id").agg(F.count("*").alias("weight")), target_list(targets))
-    return rec.join(table.select("paper_id", "split", "quarantined"), "paper_id").select("kind", "record_id", "split", "quarantined")
+    when = lambda t: F.col("ingested_at") if "ingested_at" in t.columns else F.lit(None).cast("timestamp")
+    s = statements.select(F.lit("statement").alias("kind"), F.col("stmt_id").alias("record_id"), some("paper_id", "stmt_id").alias("paper_id"), when(statements).alias("at"))
+    p = pairs.select(F.lit("pair").alias("kind"), F.col("pair_id").alias("record_id"), some("paper_id", "positive_stmt_id").alias("paper_id"), when(pairs).alias("at"))
+    return s.unionByName(p).where("record_id is not null and paper_id is not null").groupBy("kind", "record_id").agg(F.min("paper_id").alias("paper_id"), F.min("at").alias("at"))
+
+
+def record_splits(statements: DataFrame, pairs: DataFrame, targets: DataFrame, table: str | None = None) -> DataFrame:
+    """(kind, record_id, split, quarantined) of every statement and pair (see ``paper_records``).
+
+    With ``table``, a path, the component table stored there is carried on and papers that it knows keep their split.
+    """
+    rec = stage(paper_records(statements, pairs).drop("at"), "records")
+    batch, want = rec.groupBy("paper_id").agg(F.count("*").alias("weight")), target_list(targets)
+    comp = update_components(None, batch, want) if table is None else persisted_update(table, batch, want)
+    return rec.join(comp.select("paper_id", "split", "quarantined"), "paper_id").select("kind", "record_id", "split", "quarantined")
+
+
+def splits_in_batches(statements: DataFrame, pairs: DataFrame, targets: DataFrame, table: str, late: float = 0.3) -> DataFrame:
+    """(paper_id, component, split, weight, quarantined, before, outcome): the component table after two batches, the last
+    ``late`` of the records by time being the second.
+
+    ``before`` is the split after the first batch; ``outcome`` is 'kept', 'new' (filled a deficit), or 'quarantined'.
+    Pairs and the statements they point to are one paper, which is given as a link.
+    """
+    rec = stage(paper_records(statements, pairs), "records")
+    cut = rec.agg(F.percentile_approx("at", F.lit(1.0 - late), F.lit(10_000)).alias("t")).first()["t"]
+    first = F.coalesce(F.col("at") <= F.lit(cut), F.lit(True))
+    weight = lambda r: r.groupBy("paper_id").agg(F.count("*").alias("weight"))
+    ids = rec.where("kind = 'statement'").select(F.col("record_id").alias("positive_stmt_id"), F.col("paper_id").alias("b"))
+    links = pairs.where("paper_id is not null").select("positive_stmt_id", F.col("paper_id").alias("a")).distinct().join(ids, "positive_stmt_id").select("a", "b").where("a <> b").distinct()
+    want = target_list(targets)
+    one = persisted_update(table, weight(rec.where(first)), want)
+    two = persisted_update(table, weight(rec.where(~first)), want, links)
+    was = one.select("paper_id", F.col("split").alias("before"))
+    return two.join(was, "paper_id", "left").withColumn("outcome", F.when(F.col("quarantined"), "quarantined").when(F.col("before").isNotNull(), "kept").otherwise("new"))

@@ -74,6 +74,25 @@ def test_incremental_splits(spark):
     assert all(b[k]["split"] == a[k]["split"] for k in a if k not in two)
 
 
+def test_persisted_splits(spark, tmp_path):
+    targets = [("train", 0.8), ("test", 0.2)]
+    path = str(tmp_path / "table")
+    rows = lambda lo, hi: spark.createDataFrame([(f"{1000 + i}.{10000 + i}", 2) for i in range(lo, hi)], "paper_id string, weight int")
+    a = {r["paper_id"]: r["split"] for r in splits.persisted_update(path, rows(0, 500), targets).collect()}
+    (tmp_path / "table/version-00000001").mkdir()  # a version that was not finished
+    b = {r["paper_id"]: r for r in splits.persisted_update(path, rows(400, 900), targets).collect()}
+    assert len(b) == 900 and all(b[k]["split"] == v for k, v in a.items()) and sum(r["weight"] for r in b.values()) == 2000
+    assert abs(sum(r["weight"] for r in b.values() if r["split"] == "test") / 2000 - 0.2) < 0.01
+    st = spark.createDataFrame([(f"{1000 + i}.{10000 + i}", f"{1000 + i}.{10000 + i}::s1", i) for i in range(300)] + [(None, "x::s1", 1), (None, None, 1)], "paper_id string, stmt_id string, t int").withColumn("ingested_at", F.timestamp_seconds("t"))
+    pr = spark.createDataFrame([(f"odd {i}", f"p{i}", f"{1000 + i}.{10000 + i}::s1", 290) for i in range(50)], "paper_id string, pair_id string, positive_stmt_id string, t int").withColumn("ingested_at", F.timestamp_seconds("t"))
+    t = spark.createDataFrame(targets, "split string, target_share double")
+    got = {r["paper_id"]: r for r in splits.splits_in_batches(st, pr, t, str(tmp_path / "two")).collect()}
+    assert all(got[f"odd {i}"]["component"] == got[f"{1000 + i}.{10000 + i}"]["component"] for i in range(50)) and got["x"]["outcome"] == "kept"
+    assert {r["outcome"] for r in got.values()} == {"kept", "new"} and all(r["before"] in (None, r["split"]) for r in got.values())
+    again = splits.record_splits(st, pr, t, str(tmp_path / "two"))
+    assert {r["record_id"]: r["split"] for r in again.collect()} == {r["record_id"]: got[r["record_id"].split("::")[0] if "::" in r["record_id"] else f"odd {r['record_id'][1:]}"]["split"] for r in again.collect()}
+
+
 # Near duplicates and overlaps ---------------------------------------------------------------------------------
 
 
