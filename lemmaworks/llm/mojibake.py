@@ -4,12 +4,15 @@
    is left without those characters; a garbled word and its clean twin have the same skeleton.
 2. Words are joined with the most frequent word of their skeleton and aligned at the skeleton's
    characters.  Each aligned pair of runs that differ is evidence ``(run, twin run, words)``.
-3. A *transformation* is a way to write text in one encoding and read it in another, once or twice.
-   Those that explain many different pairs of runs are learned, the best first.
+3. A *transformation* is a way to write text in one encoding and read it in another, once or twice.  The
+   executors find which ones explain each pair; pairs are then counted by the set that explains them, and
+   those that explain many different pairs are learned, the best first.
 4. A learned transformation tells how every character seen in clean words looks when garbled.  Runs of
    two or more characters are specific and are searched for in every text; single characters, which may
-   be rightful letters, count only in words whose clean twin the same transformation explains.
+   be rightful letters, count only in words that turn, undone, into a word that is at least as frequent.
    U+FFFD stands for lost bytes; what stood there is restored only in a word with one clean twin.
+
+What reaches the driver are characters (bounded by Unicode) and sets of transformations, never pairs or words.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ RUN = re.compile(r"[^\x00-\x7f]+")
 ENTITY_RUN = re.compile(r"[^\x00-\x7f]*(?:&[A-Za-z]{2,8};[^\x00-\x7f]*)+")
 #: What separates words: ASCII white space and punctuation that stands between words.
 BETWEEN = r"[\x00-\x20.,;:()\[\]{}]+"
-#: Bounds of what reaches the driver: pairs of runs by support, and clean characters by frequency.
-MAX_PAIRS, MAX_CHARS = 50_000, 20_000
+#: Fixes of fewer documents than this are broadcast; more are joined by a shuffle.
+SMALL_FIXES = 50_000
 #: A transformation is learned if it explains at least so many different pairs of runs not yet explained.
 MIN_PAIRS = 3
 
@@ -75,28 +78,41 @@ def candidate_steps() -> list[tuple]:
     return once + twice + single
 
 
-def learn(pairs: list[tuple[str, str, int]]) -> list[tuple]:
-    """The transformations that explain evidence ``(run, twin, words)``, best first (greedy cover)."""
-    live = {(bad, good): n for bad, good, n in pairs if bad != good and LOST not in bad and LOST not in good}
-    explains = {}
-    for steps in candidate_steps():
-        hit = {p for p in live if garble(p[1], steps) == p[0]}
-        if len(hit) >= MIN_PAIRS:
-            explains[steps] = hit
-    learned = []
-    while explains:
-        cost = lambda s: (len(s), sum(e not in ("utf-8", "latin-1", "cp1252") for st in s for e in st), str(s))
-        best = max(explains, key=lambda s: (len(explains[s]), sum(live[p] for p in explains[s]), tuple(-x for x in cost(s)[:2]), cost(s)[2]))
-        learned.append(best)
-        done = explains.pop(best)
-        explains = {s: h for s, h in ((s, h - done) for s, h in explains.items()) if len(h) >= MIN_PAIRS}
+def explained(bad: str, good: str, steps: list[tuple]) -> list[int]:
+    """Numbers of the transformations that make ``bad`` out of ``good``."""
+    return [i for i, st in enumerate(steps) if garble(good, st) == bad]
+
+
+def learn(sets: dict[tuple, tuple[int, int]]) -> list[tuple]:
+    """The transformations that explain the evidence, best first (greedy cover).
+
+    ``sets``: numbers of ``candidate_steps`` that explain a pair of runs -> (pairs, words) of all pairs with just this set.
+    """
+    steps = candidate_steps()
+    cost = lambda i: (len(steps[i]), sum(e not in ("utf-8", "latin-1", "cp1252") for st in steps[i] for e in st), str(steps[i]))
+    live, learned = dict(sets), []
+    while live:
+        score: dict[int, list[int]] = {}
+        for k, (pairs, words) in live.items():
+            for i in k:
+                x = score.setdefault(i, [0, 0])
+                x[0] += pairs
+                x[1] += words
+        best = max(score, key=lambda i: (*score[i], *(-x for x in cost(i)[:2]), cost(i)[2]))
+        if score[best][0] < MIN_PAIRS:
+            break
+        learned.append(steps[best])
+        live = {k: v for k, v in live.items() if best not in k}
     return learned
 
 
-def tables(learned: list[tuple], chars: list[str], pairs: list[tuple[str, str, int]]) -> tuple[dict[str, str], dict[str, set[str]]]:
+def tables(learned: list[tuple], chars: list[str], clean: set[str], seen: dict[tuple[str, str], int]) -> tuple[dict[str, str], dict[str, set[str]]]:
     """``(sequences, singles)``: garbled sequence -> original for sequences of two characters or more, and
-    single garbled character -> possible originals, of all clean characters under all learned transformations."""
-    clean = set(chars)
+    single garbled character -> possible originals, of all ``chars`` that may be originals under all learned transformations.
+    ``clean`` are those that rightly stand in texts.
+
+    ``seen``: (garbled, original) -> words, what twins show directly, character by character.
+    """
     seq: dict[str, Counter] = defaultdict(Counter)
     one: dict[str, set[str]] = defaultdict(set)
     for rank, steps in enumerate(learned):
@@ -108,24 +124,30 @@ def tables(learned: list[tuple], chars: list[str], pairs: list[tuple[str, str, i
                 seq[bad][c] += 1000 - rank
             elif steps[0][0] != "utf-8":
                 one[bad].add(c)
-    # what twins show directly, character by character
-    seen = Counter()
-    for bad, good, n in pairs:
-        for steps in learned:
-            if garble(good, steps) == bad:
-                for c in good:
-                    seen[(garble(c, steps), c)] += n
-                break
     # a sequence all of whose characters are rightful ones may stand in clean text; it needs such a twin
     rightful = lambda bad: all(c in clean for c in bad)
     best = {}
     for bad, c in seq.items():
-        known = [g for g in c if seen[(bad, g)]]
+        known = [g for g in c if seen.get((bad, g))]
         if known or not rightful(bad):
-            best[bad] = max(known or c, key=lambda g: (seen[(bad, g)], c[g], g))
+            best[bad] = max(known or c, key=lambda g: (seen.get((bad, g), 0), c[g], g))
     return best, dict(one)
 
 
+def undone(text: str, steps: tuple) -> str | None:
+    """What the transformation made the text out of; None if it did not."""
+    out = text
+    for written, read in reversed(steps):
+        try:
+            out = out.encode(read).decode(written)
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            try:  # undefined bytes pass as controls, see _read
+                out = b"".join(c.encode("latin-1") if 0x80 <= ord(c) < 0xA0 else c.encode(read) for c in out).decode(written)
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                return None
+    return out if out != text and garble(out, steps) == text else None
+
+
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     """(word, n, skeleton): distinct words with a character outside ASCII, and how often they stand."""
     words = df.select(F.explode(F.filter(F.split(F.col(text_col), BETWEEN), lambda w: w.rlike(r"[^\x00-\x7F]"))).alias("word"))
@@ -158,7 +180,7 @@ def aligned(word: str, twin: str) -> list[tuple[str, str]] | None:
 
 
 def evidence(tw: DataFrame) -> DataFrame:
-    """(bad, good, n, words) from aligned twins: the rarer word is the supposedly garbled one; equally rare, either."""
+    """(bad, good, n) from aligned twins: the rarer word is the supposedly garbled one; equally rare, either."""
     ship_code(tw.sparkSession)
 
     def run(batches):
@@ -172,7 +194,7 @@ def evidence(tw: DataFrame) -> DataFrame:
                         acc["n"].append(k)
             yield pa.RecordBatch.from_pydict({"bad": pa.array(acc["bad"], pa.string()), "good": pa.array(acc["good"], pa.string()), "n": pa.array(acc["n"], pa.int64())})
 
-    return tw.select("word", "n", "twin", "twin_n").mapInArrow(run, "bad string, good string, n bigint").groupBy("bad", "good").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+    return tw.select("word", "n", "twin", "twin_n").mapInArrow(run, "bad string, good string, n bigint").groupBy("bad", "good").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -223,45 +245,67 @@ class Model:
 def fit(words: DataFrame) -> tuple[Model, DataFrame]:
     """``(model, twins)`` from the word counts of the corpus."""
     tw = stage(twins(words), "twins")
-    pairs = [(r["bad"], r["good"], r["n"]) for r in evidence(tw).orderBy(F.desc("n"), "bad", "good").limit(MAX_PAIRS).collect()]
-    learned = learn(pairs)
-    # clean characters: those of words that no transformation made out of a twin
-    bad_runs = {b for b, g, _ in pairs if any(garble(g, s) == b for s in learned)}
-    good_runs = {g for b, g, _ in pairs if b in bad_runs and any(garble(g, s) == b for s in learned)} - bad_runs
-    count = words.select("n", F.explode(F.split("word", "")).alias("c")).where(F.col("c").rlike(r"[^\x00-\x7F]")).groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
-    freq = {r["c"]: r["n"] for r in count.orderBy(F.desc("n")).limit(MAX_CHARS).collect()}
-    parts = Counter()
-    for b in bad_runs:
-        for c in b:
-            parts[c] += 1
-    chars = sorted({c for g in good_runs for c in g} | {c for c in freq if c not in parts and c != LOST})
-    seq, one = tables(learned, chars, pairs)
+    ev = stage(evidence(tw).where(f"bad <> good and not contains(bad, '{LOST}') and not contains(good, '{LOST}')"), "evidence")
+
+    def sets(batches):
+        steps = candidate_steps()
+        for b in batches:
+            got = [",".join(map(str, explained(x, y, steps))) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), b.column(2)], names=["k", "n"])
+
+    by_set = ev.select("bad", "good", "n").mapInArrow(sets, "k string, n bigint").where("k <> ''").groupBy("k").agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).collect()
+    learned = learn({tuple(map(int, r["k"].split(","))): (r["pairs"], r["n"]) for r in by_set})
+
+    def parts(batches):
+        for b in batches:
+            out = {"kind": [], "a": [], "b": [], "n": []}
+            for x, y, n in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                steps = next((s for s in learned if garble(y, s) == x), None)
+                if steps is not None:
+                    rows = [("bad", x, None, n), ("good", y, None, n), *[("seen", garble(c, steps), c, n) for c in y]]
+                    for k, v in zip(out, zip(*rows)):
+                        out[k] += v
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(out["kind"], pa.string()), "a": pa.array(out["a"], pa.string()), "b": pa.array(out["b"], pa.string()), "n": pa.array(out["n"], pa.int64())})
+
+    found = stage(ev.select("bad", "good", "n").mapInArrow(parts, "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "runs")
+    seen = {(r["a"], r["b"]): r["n"] for r in found.where("kind = 'seen'").collect()}
+    # a character is clean if no garbled run has it, or if it stands more often on the clean side of the evidence
+    per_char = lambda df, c: {r["c"]: r["n"] for r in df.select("n", F.explode(F.array_distinct(F.split(c, ""))).alias("c")).where(F.col("c").rlike(r"[^\x00-\x7F]")).groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    bad, good = (per_char(found.where(F.col("kind") == k), "a") for k in ("bad", "good"))
+    clean = {c for c in set(per_char(words, "word")) | set(good) if c != LOST and (c not in bad or good.get(c, 0) > bad[c])}
+    seq, one = tables(learned, sorted(clean | set(good)), clean, seen)
     return Model(learned, seq, one), tw
 
 
-def garbled_words(tw: DataFrame, model: Model) -> DataFrame:
-    """(word, restored) of words that a learned transformation, or the loss of bytes, made out of their twin."""
-    known = {}
-    for steps in model.learned:
-        known[steps] = None
+def garbled_words(words: DataFrame, tw: DataFrame, model: Model) -> DataFrame:
+    """(word, restored) of words that a learned transformation of single bytes made out of a word at least as frequent, or
+    the loss of bytes out of their twin.  Whole words are undone, so short ones need no long skeleton."""
+    single = [s for s in model.learned if s[0][0] != "utf-8"]
 
-    def run(batches):
+    def undo(batches):
+        for b in batches:
+            out = {"word": [], "restored": [], "n": []}
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for g in dict.fromkeys(g for g in (undone(w, s) for s in single) if g is not None and not g.isascii()):
+                    out["word"].append(w)
+                    out["restored"].append(g)
+                    out["n"].append(n)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(out["word"], pa.string()), "restored": pa.array(out["restored"], pa.string()), "n": pa.array(out["n"], pa.int64())})
+
+    def lost(batches):
         for b in batches:
             bad, good = [], []
-            for w, n, t, m in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                for x, y in ((w, t), (t, w)):
-                    runs = aligned(x, y)
-                    if not runs:
-                        continue
-                    lost = all(set(p) == {LOST} and len(p) == len(q) for p, q in runs)
-                    if lost or any(all(garble(q, s) == p for p, q in runs) for s in known):
-                        if lost or x is w or m < n:
-                            bad.append(x)
-                            good.append(y)
-                        break
+            for w, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                runs = aligned(w, t)
+                if runs and all(set(p) == {LOST} and len(p) == len(q) for p, q in runs):
+                    bad.append(w)
+                    good.append(t)
             yield pa.RecordBatch.from_pydict({"word": pa.array(bad, pa.string()), "restored": pa.array(good, pa.string())})
 
-    return tw.select("word", "n", "twin", "twin_n").mapInArrow(run, "word string, restored string").groupBy("word").agg(F.min("restored").alias("restored"))
+    known = words.select(F.col("word").alias("restored"), F.col("n").alias("known"))
+    made = words.where(~F.col("word").contains(LOST)).select("word", "n").mapInArrow(undo, "word string, restored string, n bigint").join(known, "restored").where("known >= n")
+    best = made.groupBy("word").agg(F.max_by("restored", F.struct("known", "restored")).alias("restored"))
+    return best.unionByName(tw.where(F.col("word").contains(LOST)).select("word", "twin").mapInArrow(lost, "word string, restored string").groupBy("word").agg(F.min("restored").alias("restored")))
 
 
 def affected(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -275,7 +319,7 @@ def affected(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     words = stage(word_counts(docs, "text"), "word_counts")
     model, tw = fit(words)
-    bad = stage(garbled_words(tw, model), "garbled")
+    bad = stage(garbled_words(words, tw, model), "garbled")
     # words of documents that may be garbled in a way that only the twin shows
     marks = "".join(sorted(model.singles)) + LOST
     cls = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in marks) + "]"
@@ -303,5 +347,6 @@ def affected(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     out["lost"].append(lost)
             yield pa.RecordBatch.from_arrays([pa.array(out["id"], b.column(0).type), pa.array(out["restored"], pa.string()), pa.array(out["passages"], pa.int32()), pa.array(out["lost"], pa.int32())], names=list(out))
 
-    some = docs.join(fixes, "id", "left").where(F.col("fixes").isNotNull() | F.col("text").rlike(lead + r"|&[A-Za-z]{2,8};"))
+    fixes = stage(fixes, "fixes")
+    some = docs.join(F.broadcast(fixes) if fixes.count() <= SMALL_FIXES else fixes, "id", "left").where(F.col("fixes").isNotNull() | F.col("text").rlike(lead + r"|&[A-Za-z]{2,8};"))
     return some.select("id", "text", "fixes").mapInArrow(run, f"id {kind}, restored string, passages int, lost int").distinct()
