@@ -308,6 +308,18 @@ def garbled_words(words: DataFrame, tw: DataFrame, model: Model) -> DataFrame:
     return best.unionByName(tw.where(F.col("word").contains(LOST)).select("word", "twin").mapInArrow(lost, "word string, restored string").groupBy("word").agg(F.min("restored").alias("restored")))
 
 
+def char_class(chars: str) -> str:
+    """A Java class of characters beyond ASCII: ASCII fails at its first part, and neighbours are one range, for the JVM asks
+    every member of a class in turn."""
+    codes, ranges = sorted(set(map(ord, chars))), []
+    for c in codes:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return r"[[^\x00-\x7F]&&[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in ranges) + "]]"
+
+
 def affected(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, restored, passages, lost): records with at least one garbled passage, their text with everything
     restored that can be, the number of restored passages, and of lost characters that remain.
@@ -322,10 +334,10 @@ def affected(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bad = stage(garbled_words(words, tw, model), "garbled")
     # words of documents that may be garbled in a way that only the twin shows
     marks = "".join(sorted(model.singles)) + LOST
-    cls = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in marks) + "]"
-    per_doc = docs.select("id", F.explode(F.array_distinct(F.filter(F.split("text", BETWEEN), lambda w: w.rlike(cls)))).alias("word"))
+    cls = char_class(marks)
+    per_doc = docs.where(F.col("text").rlike(cls)).select("id", F.explode(F.array_distinct(F.filter(F.split("text", BETWEEN), lambda w: w.rlike(cls)))).alias("word"))
     fixes = per_doc.join(bad, "word").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "restored"))).alias("fixes"))
-    lead = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in model.lead + LOST) + "]" if model.lead else f"[{LOST}]"
+    lead = char_class(model.lead + LOST)
 
     def run(batches):
         rx = re.compile(r"[^\x00-\x20.,;:()\[\]{}]+")
