@@ -25,6 +25,15 @@ def p1_splits(spark, d):
     return splits.record_splits(_read(spark, d, "statements"), _read(spark, d, "pairs"), _read(spark, d, "split_targets"))
 
 
+def p1_whole_papers(spark, d):
+    """Records of each kind, and the most splits that the records of one paper are in: 1, as SQL says."""
+    st, pr = _read(spark, d, "statements"), _read(spark, d, "pairs")
+    rec = splits.paper_records(st, pr).select("kind", "record_id", splits.paper_name(F.col("paper_id")).alias("name"))
+    got = rec.join(splits.record_splits(st, pr, _read(spark, d, "split_targets")), ["kind", "record_id"]).where("split is not null")
+    most = got.groupBy("name").agg(F.count_distinct("split").alias("k")).agg(F.max("k").alias("splits_of_a_paper"))
+    return got.groupBy("kind").agg(F.count("*").alias("n")).crossJoin(most)  # one row on the right
+
+
 def p1_batches(spark, d):
     table = f"{shared_dir(spark)}/paper-components-{uuid.uuid4().hex}"
     return splits.splits_in_batches(_read(spark, d, "statements"), _read(spark, d, "pairs"), _read(spark, d, "split_targets"), table)
@@ -114,7 +123,7 @@ def p9_restored(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_splits": p1_splits, "p1_batches": p1_batches, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean,
+        "p1_found": p1_found, "p1_splits": p1_splits, "p1_batches": p1_batches, "p1_whole_papers": p1_whole_papers, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_clean": p3_clean,
         "p4_found": p4_found, "p4_sample": p4_sample, "p4_report": p4_report, "p4_margins": p4_margins, "p5_found": p5_found, "p5_report": p5_report, "p7_ids": p7_ids,
         "p8_found": p8_found, "p8_uses": p8_uses, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored,
     }
@@ -142,6 +151,18 @@ def oracle_sql() -> dict[str, str]:
     """
     return {
         "p1_found": paper,
+        "p1_whole_papers": r"""
+          select kind, count(*) as n, 1 as splits_of_a_paper from (
+            select distinct 'statement' as kind, stmt_id as id from statements where stmt_id is not null and (paper_id is not null or regexp_matches(stmt_id, '^.+?::'))
+            union all select distinct 'pair', pair_id from pairs where pair_id is not null and (paper_id is not null or regexp_matches(positive_stmt_id, '^.+?::'))) group by kind
+        """,
+        "p4_report": "with" + _CATEGORY + """,
+          t as (select distinct category, cast(target_share as decimal(9, 6)) as share, min_rows from sample_targets where category is not null),
+          b as (select t.*, size.n, (select count(*) from pool where pool.category = t.category) as have, cast(floor(share * size.n) as bigint) as base, cast(ceil(share * size.n) as bigint) as needed from t, size),
+          r as (select *, row_number() over (order by share * n - base desc, category) as k, cast(round(sum(share) over () * n) as bigint) - sum(base) over () as spare from b),
+          q as (select *, base + cast(k <= spare as bigint) as quota from r), d as (select *, least(have, greatest(quota, coalesce(min_rows, 0))) as drawn from q)
+          select category, cast(share as double) as target_share, have as pool_rows, needed, quota, drawn, drawn / sum(drawn) over () as actual_share, have < needed as short, greatest(0, needed - have) as gap from d
+        """,
         "p4_found": "with" + _CATEGORY + """
           select t.category from (select distinct category, cast(target_share as decimal(9, 6)) as share from sample_targets where category is not null) t, size
           where (select count(*) from pool where pool.category = t.category) < ceil(t.share * size.n)
