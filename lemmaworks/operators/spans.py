@@ -36,6 +36,7 @@ LEVELS = "section|subsection|subsubsection|paragraph|chapter"
 
 NEW_THEOREM = re.compile(r"(?m)^\s*\\newtheorem\*?\s*\{([^{}]+)\}\s*(?:\[[^\]]+\])?\s*\{([^{}]+)\}")
 DEFINE = re.compile(r"\\(?:(?:re)?newcommand|[ex]?def)\*?\s*\{?\s*(\\[A-Za-z@]+|\\[^A-Za-z\s{}\[\]#])\s*\}?\s*")
+BRACKETS = re.compile(r"\[(?!\d+\]|#)[^\n]*\]\s*(?=\{)")
 HEADING = re.compile(rf"\\(?:{LEVELS})\*?\s*(?:\[[^\]]*\]\s*)?(?=\{{)")
 PROOF_OF = re.compile(r"[Pp]roof\s*of.*\\(?:c|C|auto)?ref\*?\{([^{}]+)\}")
 TITLE_REF = re.compile(r"\\(?:c|C|auto)?ref\*?\{([^{}]+)\}")
@@ -70,10 +71,13 @@ def kind(display: str) -> str | None:
 
 
 def macros(text: str) -> dict[str, str]:
-    """Commands without parameters and their bodies, braces kept; the last definition wins."""
+    """Commands without parameters and their bodies, braces kept; the last definition wins.  An optional text in brackets in
+    front of the body does not count; a number there, or ``#``, means parameters."""
     out = {}
     for m in DEFINE.finditer(text):
         at = m.end()
+        if skip := BRACKETS.match(text, at):
+            at = skip.end()
         if text[at : at + 1] in ("[", "#"):
             continue
         if text[at : at + 1] == "{" and (end := closing_brace(text, at)) > 0:

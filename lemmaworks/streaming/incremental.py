@@ -39,9 +39,14 @@ def check_model(config: dict, classes: list[str], head_norm: float) -> None:
         raise ValueError(f"checkpoint does not fit: {', '.join(wrong) or 'its head is zero'}")
 
 
-def run_model(tasks: DataFrame, key: str, text: str, model: Callable[[list[str]], list[str | None]], budget: int = 150_000, size=F.length) -> DataFrame:
-    """(key, answer, status): ``model`` on batches of texts.  Texts above the budget are 'skip', failures 'error',
-    empty answers 'empty'; none of them ends the job."""
+def token_estimate(c):
+    """Tokens of a text without a tokenizer: words, each for every four letters begun, and single signs; null for null."""
+    return F.regexp_count(c, F.lit(r"\p{L}{1,4}|\p{N}{1,3}|[^\s\p{L}\p{N}]"))
+
+
+def run_model(tasks: DataFrame, key: str, text: str, model: Callable[[list[str]], list[str | None]], budget: int = 150_000, size=token_estimate) -> DataFrame:
+    """(key, answer, status): ``model`` on batches of texts.  Texts of more tokens than the budget are 'skip', failures 'error',
+    empty answers 'empty'; none of them ends the job.  ``size`` counts tokens: an estimate, or a column made by a tokenizer."""
     ship_code(tasks.sparkSession)
 
     def run(batches):

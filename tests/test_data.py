@@ -139,7 +139,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_incremental(spark, tmp_path):
-    tasks = spark.createDataFrame([("a", "x"), ("b", ""), ("c", "y" * 20)], "k string, t string")
+    tasks = spark.createDataFrame([("a", "x"), ("b", ""), ("c", "y y " * 20)], "k string, t string")
     sink = str(tmp_path / "sink")
     make = lambda df: I.run_model(df, "k", "t", lambda ts: [t.upper() for t in ts], budget=10)
     assert I.resume(tasks, sink, "k", make) == 3

@@ -86,3 +86,10 @@ def test_thought(spark):
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
     got = {r["t"]: r["u"] for r in df.select("t", P.thought(F.col("t")).alias("u")).collect()}
     assert got == cases | {None: None}
+
+
+def test_macros_with_brackets():
+    from lemmaworks.operators.spans import macros
+
+    text = "\\newcommand{\\R}{\\mathbb{R}} \\def\\x#1{no} \\newcommand{\\y}[2]{no #1} \\renewcommand*{\\z}[some text]{yes}\n\\newcommand{\\w} [a] [b]{last}\n\\def\\q{{a}{b}}"
+    assert macros(text) == {"\\R": "{\\mathbb{R}}", "\\z": "{yes}", "\\w": "{last}", "\\q": "{{a}{b}}"}
