@@ -189,18 +189,19 @@ def on_sides(words: DataFrame, splits: DataFrame, train: str) -> DataFrame:
 def overlaps(df: DataFrame, id_col: str, split_col: str, text_cols: list[str], threshold: float = 0.7, train: str = "train", ordered: bool = False, splits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` of all texts of ``text_cols``.
 
-    members: (field, id, split, tid), repeated where rows are; ``tid`` names a content of a field.  links: (tid_eval, tid_train, n_eval,
+    members: (field, id, split, tid), repeated where rows of ``df`` or ``splits`` are; ``tid`` names a content of a field.  links: (tid_eval, tid_train, n_eval,
     n_train, shared, similarity): contents of an evaluation and of the training split with at least ``threshold``
     of the longer text's words in common; equal contents link a tid to itself.  With ``ordered`` also ``seeds`` and
     ``aligned`` (words in one order, see ``align``).  The split of an id stands in ``splits`` (id and split column), or
     in ``df`` itself; an id with several splits belongs to each.  Rows without id, split or text, and texts without
     words, are left out; repeated rows count once.
     """
-    of = (df if splits is None else splits).select(F.col(id_col).alias("id"), F.col(split_col).alias("split")).where("id is not null and split is not null").distinct()
-    of = stage(of, "splits")
+    of = (df if splits is None else splits).select(F.col(id_col).alias("id"), F.col(split_col).alias("split")).where("id is not null and split is not null")
+    of = stage(of.distinct() if splits is None else of, "splits")
     words = stage(contents(df, id_col, text_cols, ordered), "contents")
     members = stage(words.select("field", "id", "tid", "n").join(of, "id").select("field", "id", "split", "tid", "n"), "members")
     held = members.groupBy("tid", "n").agg(F.bool_or(F.col("split") != train).alias("x"), F.bool_or(F.col("split") == train).alias("y"))
+    held = stage(held, "held")
     texts = on_sides(words, of, train)
     cand = stage(close_pairs(texts, threshold, words.select(F.col("tid").alias("c"), "toks")), "near")
     near = close_links(words.withColumnRenamed("tid", "c"), cand, threshold).select(F.col("a").alias("tid_eval"), F.col("b").alias("tid_train"), F.col("n_a").alias("n_eval"), F.col("n_b").alias("n_train"), F.col("shared").cast("long").alias("shared"))
