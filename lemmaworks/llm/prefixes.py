@@ -30,6 +30,8 @@ BUCKETS = 1 << 18
 #: 64-bit words of a sketch, and those that are compared first.
 SKETCH, FIRST = 4, 3
 BITS = 64 * FIRST
+#: A row whose rest has fewer spare tokens than this can differ from a partner in so few that FIRST words are enough for it.
+NARROW = 13
 #: Texts of a token that are compared in one cell, about.
 CELL = 1 << 15
 #: Cells of no more rows than this are compared by shifts, many at a time.
@@ -87,6 +89,11 @@ def needed(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(n * threshold - 1e-9).astype(np.int64)
 
 
+def wide(n: np.ndarray, rest: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows carry all words of their sketch; of a pair with another row only the first ones are compared."""
+    return rest - needed(n, threshold) >= NARROW
+
+
 def entries(tok: np.ndarray, n: np.ndarray, counts: np.ndarray, place: np.ndarray, threshold: float):
     """(row, token, rest, sketch) of the rarest tokens of each of up to SLICE rows: ``rest`` tokens stand at or behind the
     token, and ``sketch`` (SKETCH columns) is theirs.  Tokens that no other text has are left out.  ``place`` puts the
@@ -105,7 +112,9 @@ def entries(tok: np.ndarray, n: np.ndarray, counts: np.ndarray, place: np.ndarra
     for w in range(SKETCH):
         upto = np.r_[np.uint64(0), np.bitwise_xor.accumulate(np.where(word == w, bit, np.uint64(0)))] if len(tok) else np.zeros(1, np.uint64)
         sketch[:, w] = upto[ends[row[keep]]] ^ upto[keep]
-    return row[keep], tok[keep], n[row[keep]] - at[keep], sketch
+    rest = n[row[keep]] - at[keep]
+    sketch[~wide(n[row[keep]], rest, threshold), FIRST:] = 0  # never looked at, and packs to nothing
+    return row[keep], tok[keep], rest, sketch
 
 
 def cells(row: np.ndarray, tok: np.ndarray, c: np.ndarray, counts: np.ndarray):
@@ -165,12 +174,13 @@ def signs(sketch: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1).astype(np.float32) * np.float32(2) - np.float32(1)
 
 
-def distance(sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def distance(sketch: np.ndarray, full: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     bits = np.bitwise_count(sketch[a] ^ sketch[b])
-    return sum(bits[:, w].astype(np.int64) for w in range(SKETCH))
+    out = sum(bits[:, w].astype(np.int64) for w in range(FIRST))
+    return out + (full[a] & full[b]) * sum(bits[:, w].astype(np.int64) for w in range(FIRST, SKETCH))
 
 
-def close(n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close(n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, full: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i of x, j of y), n[i] <= n[j], of rows of one token whose sizes, places and sketches allow the threshold."""
     y = y[np.argsort(n[y], kind="stable")]
     ny, oy = n[y], needed(n[y], threshold)
@@ -197,11 +207,11 @@ def close(n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, x: np.ndarray, y:
                 if len(hit):
                     p, q = hit // (e - j), j + hit % (e - j)
                     a, b = xs[p], y[q]
-                    ok = (n[a] <= n[b]) & (distance(sketch, a, b) <= rest[a] + rest[b] - 2 * oy[q])
+                    ok = (n[a] <= n[b]) & (distance(sketch, full, a, b) <= rest[a] + rest[b] - 2 * oy[q])
                     yield a[ok], b[ok]
 
 
-def close_small(key: np.ndarray, n: np.ndarray, rest: np.ndarray, side: np.ndarray, half: np.ndarray, sketch: np.ndarray, small: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_small(key: np.ndarray, n: np.ndarray, rest: np.ndarray, side: np.ndarray, half: np.ndarray, sketch: np.ndarray, full: np.ndarray, small: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The same for all pairs of rows of one key whose cell is small; key is sorted."""
     at = np.flatnonzero(small)
     for d in range(1, SMALL):
@@ -213,7 +223,7 @@ def close_small(key: np.ndarray, n: np.ndarray, rest: np.ndarray, side: np.ndarr
         may = (side[a] == 2) | (side[a] != side[b])
         may &= (half[a] == 2) | (half[a] != half[b])
         a, b = a[may], b[may]
-        ok = distance(sketch, a, b) <= rest[a] + rest[b] - 2 * needed(np.maximum(n[a], n[b]), threshold)
+        ok = distance(sketch, full, a, b) <= rest[a] + rest[b] - 2 * needed(np.maximum(n[a], n[b]), threshold)
         yield a[ok], b[ok]
 
 
@@ -221,10 +231,10 @@ def compared(cols: list[np.ndarray], threshold: float) -> np.ndarray | None:
     """Unique (a, b) among the rows (key, c, n, rest, role, sketch) of whole cells."""
     order = np.argsort(cols[0], kind="stable")
     key, c, n, rest, role, sketch = (x[order] for x in cols)
-    side, half = role // 3, role % 3
+    side, half, full = role // 3, role % 3, wide(n, rest, threshold)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[starts, len(key)])
-    found = list(close_small(key, n, rest, side, half, sketch, np.repeat((size > 1) & (size <= SMALL), size), threshold))
+    found = list(close_small(key, n, rest, side, half, sketch, full, np.repeat((size > 1) & (size <= SMALL), size), threshold))
     for lo, k in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
         g, d, h = np.arange(lo, lo + k), side[lo : lo + k], half[lo : lo + k]
         two, own = d[0] < 2, h[0] == 2
@@ -237,7 +247,7 @@ def compared(cols: list[np.ndarray], threshold: float) -> np.ndarray | None:
         else:
             tries = [(h == 0, h == 1), (h == 1, h == 0)]
         for x, y in tries:
-            found += close(n, rest, sketch, g[x], g[y], threshold)
+            found += close(n, rest, sketch, full, g[x], g[y], threshold)
     if not found:
         return None
     i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
