@@ -91,11 +91,12 @@ def filter_by_category(pairs: DataFrame, metadata: DataFrame, category: str, pre
     return pairs.withColumn("k", L.file_id(F.col("paper_id"))).join(keep, "k", "left_semi").drop("k")
 
 
-def training_records(pairs: DataFrame, negs: DataFrame, min_negatives: int = MIN_NEGATIVES, max_negatives: int | None = None, prompt: str | None = None) -> DataFrame:
+def training_records(pairs: DataFrame, negs: DataFrame, min_negatives: int = MIN_NEGATIVES, max_negatives: int | None = None, prompt: str | None = None, order: str | None = None) -> DataFrame:
     """(pair_id, query, pos, neg, drop_reason[, prompt]).  Empty texts, missing negatives, and fewer than ``min_negatives``
-    after those equal to the positive are gone, drop a pair; the reason is kept."""
+    after those equal to the positive are gone, drop a pair; the reason is kept.  Of several rows of negatives of one pair
+    the last by ``order`` counts; without ``order`` there must be one."""
     trim = L.collapse_ends
-    n = negs.select("pair_id", "negatives")
+    n = negs.select("pair_id", "negatives") if order is None else negs.groupBy("pair_id").agg(F.max_by("negatives", order).alias("negatives"))
     j = pairs.select("pair_id", trim(F.col("query")).alias("query"), trim(F.col("positive_text")).alias("p")).join(n, "pair_id", "left")
     neg = F.filter(F.transform("negatives", lambda x: trim(x["text"])), lambda t: t.isNotNull() & (t != "") & (t != F.col("p")))
     j = j.withColumn("neg", F.slice(neg, F.lit(1), F.lit(max_negatives)) if max_negatives else neg)

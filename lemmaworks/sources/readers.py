@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,24 @@ def read_papers(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".t
     return rows.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
+def read_paper(spark: SparkSession, root: str, paper_id: str, comments: bool = False) -> DataFrame:
+    """(paper_id, text) of one paper: only its folder is listed.  Comments are taken out unless ``comments`` is set."""
+    from lemmaworks.functions.latex import strip_comments
+
+    one = read_papers(spark, f"{root.rstrip('/')}/{paper_id}").where("paper_id = '.'").withColumn("paper_id", F.lit(paper_id))
+    return one if comments else one.withColumn("text", strip_comments(F.col("text")))
+
+
+def read_training_files(spark: SparkSession, paths: list[str], schema: str = "query string") -> tuple[DataFrame, list[str]]:
+    """``(rows, missing)``: the union of training files, each row with its ``file``, and the files that are not there."""
+    there = [p for p in paths if exists(spark, p)]
+    want = T.StructType.fromDDL(schema)
+    out = spark.createDataFrame([], T.StructType([*want.fields, T.StructField("file", T.StringType())]))
+    for p in there:
+        out = out.unionByName(read_json_lines(spark, p, schema).withColumn("file", F.lit(p)))
+    return out, [p for p in paths if p not in there]
+
+
 def read_json_lines(spark: SparkSession, paths: str | list[str], schema: str | T.StructType, policy: str = "skip", keep_raw: bool = False) -> DataFrame:
     """JSON lines with a schema.  ``policy``: 'fail' on a bad line, 'skip' it, or 'mark' it in the column ``_bad``.
 
@@ -72,14 +91,26 @@ def read_matrix(spark: SparkSession, npy: str, metadata: DataFrame | None = None
     return out if metadata is None else out.join(metadata, id_col)
 
 
+def read_metadata(spark: SparkSession, path: str, schema: str, id_col: str = "row") -> DataFrame:
+    """(row, ...) of a JSON file that holds one array of objects, numbered as they stand; it goes with a matrix of as many rows."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{', '.join(f.name + ':' + f.dataType.simpleString() for f in T.StructType.fromDDL(schema).fields)}>>")).alias(id_col, "m"))
+    return whole.select(F.col(id_col).cast("long").alias(id_col), "m.*")
+
+
 def read_points(spark: SparkSession, path: str, schema: str = "x double, y double, text string, paper_id string, type string, categories string") -> DataFrame:
     """CSV with a header and texts over several lines; ids stay strings, so leading zeros survive."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
 
 
-def read_lines(spark: SparkSession, path: str | None = None, literal: str | None = None) -> DataFrame:
-    """(text) of the lines of a file, or of one literal; trimmed, empty ones left out."""
-    rows = spark.createDataFrame([(literal,)], "text string") if path is None else spark.read.text(path).withColumnRenamed("value", "text")
+def read_lines(spark: SparkSession, path: str | None = None, literal: str | None = None, field: str = "text", lines: Iterable[str] | None = None) -> DataFrame:
+    """(text) of one literal, of ``lines`` (such as standard input; a driver's own small input), of the field of a file of JSON
+    lines (by its ending), or of the lines of a text file; trimmed, empty ones left out."""
+    if literal is not None or lines is not None:
+        rows = spark.createDataFrame([(x.rstrip("\n"),) for x in ([literal] if literal is not None else lines)], "text string")
+    elif path.endswith((".jsonl", ".jsonl.gz")):
+        rows = read_json_lines(spark, path, f"{field} string").select(F.col(field).alias("text"))
+    else:
+        rows = spark.read.text(path).withColumnRenamed("value", "text")
     return rows.select(F.trim("text").alias("text")).where("text <> ''")
 
 

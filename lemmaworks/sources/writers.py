@@ -27,6 +27,16 @@ def write_buckets(df: DataFrame, path: str, category: str = "category") -> None:
     df.write.mode("overwrite").partitionBy(category).parquet(path)
 
 
+def write_bucket_set(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, routes: DataFrame, root: str) -> None:
+    """An evaluation set by bucket: ``root/queries`` and ``root/qrels`` as JSON lines with one folder for each category of
+    ``routes`` (qid, category), ``root/corpus`` once.  A query without a route is in no bucket."""
+    r = routes.select("qid", "category")
+    by = lambda df, name: df.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("category").json(f"{root}/{name}")
+    by(queries.join(r.withColumnRenamed("qid", "id"), "id"), "queries")
+    by(qrels.join(r, "qid"), "qrels")
+    write_json_lines(corpus, f"{root}/corpus")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
@@ -45,6 +55,12 @@ def markdown_report(df: DataFrame, title: str, limit: int = 1000) -> str:
     return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows) + "\n"
 
 
+def metric_report(means: dict[str, float], title: str, judged: int, missing: int = 0) -> str:
+    """Means of a run as Markdown, metrics by their report names, in the order given."""
+    rows = "\n".join(f"| {metric_name(k)} | {v:.5f} |" for k, v in means.items())
+    return f"# {title}\n\n{judged} judged queries, {missing} without a result\n\n| metric | mean |\n|---|---|\n{rows}\n"
+
+
 def metric_name(name: str) -> str:
     """``ndcg_at_10`` as ``ndcg_cut_10``; other metrics as ``recall_100``."""
     base, _, k = name.rpartition("_at_")

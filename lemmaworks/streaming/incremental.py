@@ -39,6 +39,14 @@ def check_model(config: dict, classes: list[str], head_norm: float) -> None:
         raise ValueError(f"checkpoint does not fit: {', '.join(wrong) or 'its head is zero'}")
 
 
+def limit_thinking(tokens: list[int], begin: int, end: int, cap: int) -> int | None:
+    """The token that a decoder must take next: ``end`` once more than ``cap`` tokens were thought since the last ``begin``
+    without an end; None if it is free."""
+    at = max((i for i, t in enumerate(tokens) if t == begin), default=-1)
+    thinking = at >= 0 and end not in tokens[at:]
+    return end if thinking and len(tokens) - at - 1 >= cap else None
+
+
 def token_estimate(c):
     """Tokens of a text without a tokenizer: words, each for every four letters begun, and single signs; null for null."""
     return F.regexp_count(c, F.lit(r"\p{L}{1,4}|\p{N}{1,3}|[^\s\p{L}\p{N}]"))

@@ -135,3 +135,31 @@ def test_small_contracts(spark):
     both = S.with_definitions(part, spark.createDataFrame([("p", "s2", 2, "z"), ("p", "s1", 0, "y")], part.schema)).collect()
     assert [r["id"] for r in sorted(both, key=lambda r: r["ordinal"])] == ["d1", "s1", "s2"]
     assert spark.range(1).select(G.is_statement(F.lit("p::a0001")).alias("x")).first()["x"] is False
+
+
+def test_more_sources(spark, tmp_path):
+    import json
+
+    (tmp_path / "in/a/b").mkdir(parents=True)
+    (tmp_path / "in/a/x.tex").write_text("one % no\n")
+    (tmp_path / "in/a/b/y.tex").write_text("deep")
+    root = str(tmp_path / "in")
+    assert [tuple(r) for r in readers.read_paper(spark, root, "a").collect()] == [("a", "one \n")] and readers.read_paper(spark, root, "a", True).first()["text"] == "one % no\n"
+    (tmp_path / "t.jsonl").write_text('{"query": "q"}\n{"query": "r"}\n')
+    rows, missing = readers.read_training_files(spark, [str(tmp_path / "t.jsonl"), str(tmp_path / "none.jsonl")])
+    assert rows.count() == 2 and missing == [str(tmp_path / "none.jsonl")] and rows.first()["file"].endswith("t.jsonl")
+    assert [r["text"] for r in readers.read_lines(spark, str(tmp_path / "t.jsonl"), field="query").collect()] == ["q", "r"]
+    assert [r["text"] for r in readers.read_lines(spark, lines=["a\n", "\n", " b"]).collect()] == ["a", "b"] and readers.read_lines(spark, literal=" x ").first()["text"] == "x"
+    (tmp_path / "m.json").write_text(json.dumps([{"id": "u", "n": 1}, {"id": "v"}]))
+    assert [tuple(r) for r in readers.read_metadata(spark, str(tmp_path / "m.json"), "id string, n int").orderBy("row").collect()] == [(0, "u", 1), (1, "v", None)]
+    q = spark.createDataFrame([("1", "t"), ("2", "u"), ("3", "no route")], "id string, text string")
+    writers.write_bucket_set(q, q, q.select(F.col("id").alias("qid"), F.lit("d").alias("docid"), F.lit(1).alias("relevance")), spark.createDataFrame([("1", "A"), ("2", "B")], "qid string, category string"), str(tmp_path / "set"))
+    assert {r["category"]: r["id"] for r in spark.read.json(str(tmp_path / "set/queries")).collect()} == {"A": 1, "B": 2} or spark.read.json(str(tmp_path / "set/queries")).count() == 2
+    assert "| ndcg_cut_10 | 0.50000 |" in writers.metric_report({"ndcg_at_10": 0.5}, "t", 3, 1)
+
+
+def test_thinking_and_last_negatives(spark):
+    assert I.limit_thinking([1, 5, 5], 1, 2, 2) == 2 and I.limit_thinking([1, 5], 1, 2, 2) is None and I.limit_thinking([1, 5, 2, 5, 5, 5], 1, 2, 2) is None and I.limit_thinking([], 1, 2, 0) is None
+    n = spark.createDataFrame([("p", 1, [("s", "L", "old")] * 5), ("p", 2, [("s", "L", "new")] * 5)], "pair_id string, line int, negatives array<struct<stmt_id:string,type:string,text:string>>")
+    pr = spark.createDataFrame([("p", "q", "t")], "pair_id string, query string, positive_text string")
+    assert C.training_records(pr, n, order="line").first()["neg"] == ["new"] * 5
