@@ -218,6 +218,46 @@ def test_prefix_cells():
     assert len(set(key)) == 6 and len(met) == 60 * 59 // 2 and set(met.values()) == {1}
 
 
+@pytest.mark.parametrize("cell,small,sides", [(1 << 15, 24, False), (7, 24, False), (40, 3, False), (1 << 15, 3, True), (9, 3, True), (1 << 15, 24, True)])
+def test_candidates_lose_nothing(monkeypatch, cell, small, sides):
+    """Every pair at the threshold is a candidate, whatever the sizes of cells and tiles; packing changes nothing."""
+    monkeypatch.setattr(prefixes, "CELL", cell)
+    monkeypatch.setattr(prefixes, "SMALL", small)
+    monkeypatch.setattr(prefixes, "ROWS", 5)
+    monkeypatch.setattr(prefixes, "COLUMNS", 11)
+    rnd = np.random.default_rng(cell + small)
+    sets = []
+    for _ in range(60):
+        base = rnd.choice(120, rnd.integers(1, 60), replace=False)
+        sets.append(base)
+        for _ in range(2):
+            keep = base[rnd.random(len(base)) < 0.85]
+            sets.append(np.unique(np.r_[keep, rnd.choice(120, rnd.integers(0, 8), replace=False), base[:1]]))
+    sets = [np.unique(x) for x in sets]
+    n = np.array([len(x) for x in sets])
+    tok = prefixes.mix(np.concatenate(sets).astype(np.uint64), 3)
+    c = np.arange(len(sets)) * 7 + 1
+    side = rnd.integers(0, 2, len(sets)).astype(np.int8) if sides else np.full(len(sets), 2, np.int8)
+    counts = np.bincount(prefixes.bucket(prefixes.short(tok)), minlength=prefixes.BUCKETS)
+    place = np.empty(prefixes.BUCKETS, np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(prefixes.BUCKETS)
+    row, t, rest, sketch = prefixes.entries(tok, n, counts, place, 0.7)
+    at, key, half = prefixes._cells(t, c[row].view(np.uint64), counts)
+    r = row[at]
+    cols = [key, c[r], n[r], rest[at], (side[r] * 3 + half).astype(np.int8), sketch[at]]
+    order = np.argsort(key, kind="stable")
+    cols = [x[order] for x in cols]
+    back = prefixes.unpack(pa.py_buffer(prefixes.pack(*cols)))
+    assert all((np.asarray(x) == np.asarray(y)).all() for x, y in zip(cols, back))
+    got = {tuple(x) for x in prefixes.compared(list(back), 0.7).tolist()}
+    want = set()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if len(np.intersect1d(x, y)) >= 0.7 * max(len(x), len(y)) - 1e-9 and (i < j if not sides else (side[i], side[j]) == (0, 1)):
+                want.add((int(c[i]), int(c[j])))
+    assert want <= got and len(want) > 20
+
+
 # Markup -------------------------------------------------------------------------------------------------------
 
 MARKED = ["a <b>b</b>", "x &nbsp; y", "<!-- c --> d", "**bold** text", "a _b_ c", "`code` x", "# Title\n\ntext", "- one\n- two", "> said", "~~no~~ yes", "[a](#b) c", "[[a|b]] c", "''it'' x", "== H ==\nx", "{{cite|a}} b", "\\emph{a} b", "{\\it a} b", "\\begin{itemize}\\item a\\end{itemize}", "x \\qed", "a\\label{b}", "see~\\ref{x}", "```\nx\n```", "\\begin{verbatim}\nx\n\\end{verbatim}", "<pre><code>x</code></pre>", "<math>x</math> y", "a<br/>b", "\\begin{equation} x \\end{equation}"]
