@@ -336,7 +336,7 @@ def render(root: Node) -> str:
 # Labelled pages -------------------------------------------------------------------------------------
 
 _WORDS = "the space of smooth maps carries a natural norm which is bounded on every compact part so that limit exists and we may choose its value after passing to a finite cover where both sides agree".split()
-_SIGNS = ["C*-algebras and W*-algebras", "$n$ < 4", "a > b", "3 < 5", "x = 2", "AT&T", "R&D", "case #5", "a ~ b", "p* and q*", "[12]", "[see above]", "5 * 3", "2^n", "x_1 and x_2", "H_*", "f|_U", "|x|", "a < b and c > d", "[REF]", "Lemma~[REF]", "[TARGET]", "G* <", "- and so on", "#S"]
+_SIGNS = ["C*-algebras and W*-algebras", "$n$ < 4", "a > b", "3 < 5", "x = 2", "AT&T", "R&D", "case #5", "a ~ b", "p* and q*", "[12]", "[see above]", "5 * 3", "2^n", "x_1 and x_2", "H_*", "f|_U", "|x|", "a < b and c > d", "[REF]", "Lemma~[REF]", "[TARGET]", "G* <", "- and so on", "#S", "2*7", "k*3", "K^*-modules", "7*5*2"]
 
 
 def labelled_pages(n: int = 600, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:

@@ -281,6 +281,13 @@ def test_rule_lines(spark):
     assert all(seen)
 
 
+def test_prose_signs_not_trained_on():
+    m = markup.default_model()
+    signs = ["B*-algebras and H*-modules", "e.g. 3*4 = 12", "C^*-dynamical systems", "2 < 3 and 5 > 4", "Smith & Jones", "f: X -> Y", "if a < b then c", "100 < x", "see #7 below", "the 1st - and last - point", "a|b", "[1] Smith", "p-adic * q-adic", "n! > 2n", "http://x.org/a_b"]
+    assert not [t for t in signs if markup.has_markup(m.marginals(markup.parse(t)))]
+    assert not set(signs) & set(markup._SIGNS)
+
+
 def test_rendering():
     m = markup.default_model()
     show = lambda t: markup.render(m.marginals(markup.parse(t)))
