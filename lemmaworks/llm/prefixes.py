@@ -8,7 +8,7 @@ of fixed size; any order keeps the filter complete, the counts only make it narr
 At the first token that a pair has in common, at places i and j, all that it shares stands at or behind these
 places.  So each row of a token carries the parity sketch of its *rest* (each token flips one bit), and the rests
 may differ in at most ``(n - i) + (m - j) - 2 o`` tokens, which the Hamming distance of their sketches never exceeds.
-Distances of all rows of a token are one product of matrices of signs.
+Rows of a token are compared in tiles, by the bits of one or two folded words.
 
 Rows travel as packed blocks, one for each bucket of tokens and task.  The rows of a frequent token are dealt to
 cells of bounded size, so that no task holds or compares all of them.
@@ -29,15 +29,16 @@ from lemmaworks.session import partitions_for
 BUCKETS = 1 << 18
 #: 64-bit words of a sketch, and those that are compared first.
 SKETCH, FIRST = 4, 3
-BITS = 64 * FIRST
 #: A row whose rest has fewer spare tokens than this can differ from a partner in so few that FIRST words are enough for it.
 NARROW = 13
-#: Texts of a token that are compared in one cell, about.
-CELL = 1 << 15
+#: Texts of a token that are compared in one cell, about: what a task can hold.  A row travels once for each cell of its token.
+CELL = 1 << 19
 #: Cells of no more rows than this are compared by shifts, many at a time.
 SMALL = 24
-#: Tile of one product, and classes of rows by how long a partner they may have.
-ROWS, COLUMNS, BANDS = 96, 2048, 4
+#: Tile of rows that are compared at a time.
+ROWS, COLUMNS, BAND = 32, 4096, 0.5
+#: Pairs that may differ in no more bits than this are told apart by one folded word, others by two.
+LOOSE = 18
 #: Rows that a task compares at a time, about, and bytes of packed rows that a task keeps before it sends them.
 BLOCK_ROWS, KEEP_BYTES = 25_000, 64 << 20
 #: Texts sorted at a time; their number takes 14 bits of a sort key.
@@ -170,8 +171,11 @@ def unpack(block: pa.Buffer):
     return np.repeat(key, times), c, n, n - before, role, sketch.reshape(-1, SKETCH)
 
 
-def signs(sketch: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1).astype(np.float32) * np.float32(2) - np.float32(1)
+def folds(sketch: np.ndarray) -> np.ndarray:
+    """The first FIRST words laid on two and, as a third, on one: every bit falls on one of theirs, which never adds to a distance."""
+    low, last = np.uint64(0xFFFFFFFF), sketch[:, FIRST - 1]
+    a, b = sketch[:, 0] ^ (last & low), sketch[:, 1] ^ (last & ~low)
+    return np.stack([a, b, a ^ b])
 
 
 def distance(sketch: np.ndarray, full: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,35 +184,54 @@ def distance(sketch: np.ndarray, full: np.ndarray, a: np.ndarray, b: np.ndarray)
     return out + (full[a] & full[b]) * sum(bits[:, w].astype(np.int64) for w in range(FIRST, SKETCH))
 
 
-def close(n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, full: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close(n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, full: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i of x, j of y), n[i] <= n[j], of rows of one token whose sizes, places and sketches allow the threshold."""
+    before = np.setbufsize(256)  # else numpy copies both sides of a tile of fewer than 3,000 columns, which takes twice the time of comparing
+    try:
+        return list(_close(n, rest, sketch, full, x, y, threshold))
+    finally:
+        np.setbufsize(before)
+
+
+def _close(n: np.ndarray, rest: np.ndarray, sketch: np.ndarray, full: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if not len(x) or not len(y):
+        return
     y = y[np.argsort(n[y], kind="stable")]
     ny, oy = n[y], needed(n[y], threshold)
-    # distance <= rest + rest - 2 o as one product: dot - BITS + 2 rest_x + (2 rest_y - 4 o) >= 0
-    right = np.empty((BITS + 2, len(y)), np.float32)
-    right[:BITS] = signs(sketch[y, :FIRST]).T
-    right[BITS], right[BITS + 1] = 1, 2 * rest[y] - 4 * oy
+    spare = rest[y] - 2 * oy + 1  # a pair may differ in less than rest_x + spare_y
+    right = folds(sketch[y])
+    # rows of a tile have nearly the same rest, so the same limit, and nearly the same size
+    x = x[np.argsort(rest[x], kind="stable")]
+    band = np.arange(len(x)) // max(ROWS, int(BAND * (len(x) * ROWS) ** 0.5))
+    x = x[np.lexsort((n[x], band))]
+    left = folds(sketch[x])[:, :, None]
     limit = np.floor(rest[x] / threshold + 1e-6).astype(np.int64)  # the longest partner
-    bands = BANDS if len(x) > 2 * ROWS else 1
-    band = np.clip((limit / n[x] - 1) / (1 / threshold - 1 + 1e-9) * bands, 0, bands - 1).astype(np.int64)
-    for k in range(bands):
-        at = np.flatnonzero(band == k)
-        at = at[np.argsort(n[x[at]], kind="stable")]
-        for lo in range(0, len(at), ROWS):
-            rows = at[lo : lo + ROWS]
-            xs = x[rows]
-            left = np.empty((len(xs), BITS + 2), np.float32)
-            left[:, :BITS] = signs(sketch[xs, :FIRST])
-            left[:, BITS], left[:, BITS + 1] = 2 * rest[xs] - BITS, 1
-            first, last = np.searchsorted(ny, n[xs[0]]), np.searchsorted(ny, limit[rows].max(), side="right")
-            for j in range(first, last, COLUMNS):
-                e = min(j + COLUMNS, last)
-                hit = np.flatnonzero((left @ right[:, j:e]).ravel() > -0.5)
-                if len(hit):
-                    p, q = hit // (e - j), j + hit % (e - j)
-                    a, b = xs[p], y[q]
-                    ok = (n[a] <= n[b]) & (distance(sketch, full, a, b) <= rest[a] + rest[b] - 2 * oy[q])
-                    yield a[ok], b[ok]
+    ends = np.r_[np.flatnonzero(np.diff(band)) + 1, len(x)]
+    begins = np.concatenate([np.arange(lo, hi, ROWS) for lo, hi in zip(np.r_[0, ends], ends)])
+    firsts, lasts = np.searchsorted(ny, n[x[begins]]), np.searchsorted(ny, np.maximum.reduceat(limit, begins), side="right")
+    most = np.maximum.reduceat(rest[x], begins)
+    size = min(ROWS, len(x)) * min(COLUMNS, len(y))
+    words, bits, more, below = (np.empty(size, k) for k in (np.uint64, np.uint8, np.uint8, bool))
+    for lo, hi, first, last, top in zip(begins.tolist(), [*begins[1:].tolist(), len(x)], firsts.tolist(), lasts.tolist(), most.tolist()):
+        for j in range(first, last, COLUMNS):
+            e = min(j + COLUMNS, last)
+            may = np.minimum(np.maximum(spare[j:e] + top, 0), 255).astype(np.uint8)
+            shape = hi - lo, e - j
+            w, k, m, ok = (v[: shape[0] * shape[1]].reshape(shape) for v in (words, bits, more, below))
+            one = np.count_nonzero(may > LOOSE) * 8 <= len(may)
+            np.bitwise_count(np.bitwise_xor(left[2 if one else 0, lo:hi], right[2 if one else 0, j:e], out=w), out=k)
+            if not one:
+                np.bitwise_count(np.bitwise_xor(left[1, lo:hi], right[1, j:e], out=w), out=m)
+                np.add(k, m, out=k)
+            hit = np.less(k, may, out=ok).ravel().nonzero()[0]
+            if len(hit):
+                p, q = np.divmod(hit, e - j)
+                a, q = x[lo + p], j + q
+                b = y[q]
+                ok = (n[a] <= n[b]) & (oy[q] <= rest[a])
+                a, b, q = a[ok], b[ok], q[ok]
+                ok = distance(sketch, full, a, b) < rest[a] + spare[q]
+                yield a[ok], b[ok]
 
 
 def close_small(key: np.ndarray, n: np.ndarray, rest: np.ndarray, side: np.ndarray, half: np.ndarray, sketch: np.ndarray, full: np.ndarray, small: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -258,6 +259,34 @@ def test_candidates_lose_nothing(monkeypatch, cell, small, sides):
     assert want <= got and len(want) > 20
 
 
+def test_hot_lists():
+    """Rows of a token of 400,000 texts travel once, and a long list is compared tile by tile, in little memory and as pair by pair."""
+    tok = np.repeat(np.uint64(5), 1000)
+    at, _, half = prefixes._cells(tok, np.arange(1000).astype(np.uint64), np.full(prefixes.BUCKETS, 400_000))
+    assert len(at) == 1000 and set(half) == {2}
+    rnd = np.random.default_rng(3)
+    n = rnd.integers(40, 110, 40_000)
+    rest = n - (rnd.random(len(n)) * (n - prefixes.needed(n, 0.7) + 1)).astype(int)
+    sketch = np.zeros((len(n), prefixes.SKETCH), np.uint64)
+    for i in range(400):  # copies, some of them with a few bits changed, and rows that differ in all
+        sketch[100 * i : 100 * i + 100] = rnd.integers(0, 1 << 63, prefixes.SKETCH)
+    for w in range(prefixes.FIRST):
+        sketch[::3, w] ^= np.uint64(1) << rnd.integers(0, 64, len(sketch[::3])).astype(np.uint64)
+    full, some = prefixes.wide(n, rest, 0.7), np.arange(1500)
+    got = [np.concatenate(k) for k in zip(*prefixes.close(n, rest, sketch, full, some, some[::-1], 0.7))]
+    i, j = (k.ravel() for k in np.meshgrid(some, some, indexing="ij"))
+    o = prefixes.needed(n[j], 0.7)
+    ok = (n[i] <= n[j]) & (o <= rest[i]) & (prefixes.distance(sketch, full, i, j) <= rest[i] + rest[j] - 2 * o)
+    assert ok.sum() > 10_000 and sorted(zip(*got)) == list(zip(i[ok], j[ok]))
+    tracemalloc.start()
+    try:
+        for _ in prefixes.close(n, rest, sketch, full, np.arange(500), np.arange(len(n)), 0.7):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 300 * len(n)
+    finally:
+        tracemalloc.stop()
+
+
 # Markup -------------------------------------------------------------------------------------------------------
 
 MARKED = ["a <b>b</b>", "x &nbsp; y", "<!-- c --> d", "**bold** text", "a _b_ c", "`code` x", "# Title\n\ntext", "- one\n- two", "> said", "~~no~~ yes", "[a](#b) c", "[[a|b]] c", "''it'' x", "== H ==\nx", "{{cite|a}} b", "\\emph{a} b", "{\\it a} b", "\\begin{itemize}\\item a\\end{itemize}", "x \\qed", "a\\label{b}", "see~\\ref{x}", "```\nx\n```", "\\begin{verbatim}\nx\n\\end{verbatim}", "<pre><code>x</code></pre>", "<math>x</math> y", "a<br/>b", "\\begin{equation} x \\end{equation}"]
